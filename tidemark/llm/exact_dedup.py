@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_az
+from tidemark.llm.common import lower_az, written
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
@@ -24,20 +24,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).alias("doc_id"), lower_az(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
     base = base.withColumn("h", F.unhex(F.md5("norm")))
     groups = base.groupBy("h").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    held = base.join(groups, "h")
-    out = ["doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.sha2("norm", 256).alias("text_sha256")]
-    single = held.filter("n = 1").select(*out)
-    many = held.filter("n > 1")
-    keepers = many.filter("doc_id <=> keep_id").groupBy("h", "keep_id").agg(F.first("norm").alias("keeper"))
-    # the id comes first: it makes this an exchange of its own, whose large partitions can be split
-    many = many.withColumnRenamed("h", "mh").withColumnRenamed("keep_id", "mk")
-    seen = many.join(keepers, F.col("mk").eqNullSafe(F.col("keep_id")) & (F.col("mh") == F.col("h")))
-    seen = seen.select("doc_id", "keep_id", "n", "norm", "h", (F.col("norm") == F.col("keeper")).alias("same"))
-    other = seen.filter("NOT same")
-    regrouped = other.join(other.groupBy("h", "norm").agg(best("doc_id").alias("own_id"), F.count(F.lit(1)).alias("own_n")), ["h", "norm"])
-    regrouped = regrouped.select("doc_id", F.col("own_id").alias("keep_id"), F.col("own_n").alias("n"), "norm")
+    held = base.join(groups, "h").select("doc_id", "keep_id", "n", "h", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("n") > 1, F.col("norm")).alias("norm"))
+    held = written(held, "held")  # each text is shuffled once; only those of groups are kept for the comparison
+    mine = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    out = ["doc_id", "keep_id", F.col("n").alias("group_size"), mine.alias("kept"), "text_sha256"]
+    single, many = held.filter("n = 1").select(*out), held.filter("n > 1")
+    keepers = many.filter(mine).groupBy(F.col("h").alias("kh")).agg(F.first("norm").alias("keeper"))
+    # the rows of a hash group that aren't its keeper's bytes: none, unless two texts share all 128 bits
+    other = many.join(keepers, F.col("h") == F.col("kh")).filter("norm <> keeper").select("doc_id", "h", "norm", "text_sha256")
+    other = written(other, "collisions")
+    anew = other.groupBy("h", "norm").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    regrouped = other.join(anew, ["h", "norm"])
     taken = other.groupBy("h").agg(F.count(F.lit(1)).alias("gone"))
-    same = seen.filter("same").join(taken, "h", "left").select("doc_id", "keep_id", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n"), "norm")
+    same = many.join(other.select("h", "norm"), ["h", "norm"], "left_anti").join(taken, "h", "left")
+    same = same.withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0)))
     return single.unionByName(same.select(*out)).unionByName(regrouped.select(*out))
 
 
