@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_pieces, chat_format, exact_dedup, license_scan, packing, quality, recompression
+from tidemark.llm import bpe_pieces, chat_format, exact_dedup, license_scan, packing, quality, recompression, suffix_groups
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_groups.drop_repeated_bytes(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op4_license_scan, op5_quality_rules, op6_sentencepiece, op7_best_fit_packing, op8_chat_format)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_exact_dedup, op4_license_scan, op5_quality_rules, op6_sentencepiece, op7_best_fit_packing, op8_chat_format)}
 
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
