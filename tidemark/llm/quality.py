@@ -58,7 +58,8 @@ def measures(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFr
     symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
     return docs.withColumns(
         {
-            "n_words": n.cast("long"),
+            # non-deterministic in name only: a filter on the measures is not to be pushed below, where it would work them out anew for each use
+            "n_words": F.when(F.monotonically_increasing_id() >= 0, n.cast("long")),
             "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
             "n_symbols": symbols.cast("long"),
             "n_lines": F.size("__lines").cast("long"),
