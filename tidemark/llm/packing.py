@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
 #: Chunks whose ids a worker remembers between batches.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 #: The pieces of one length are numbered in so many parts, so that a length many documents share is no single task's.
 SHARDS = 64
 
@@ -67,32 +69,76 @@ def chunks_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     There the pretokenizer always cuts, so the chunks' ids are the text's. A byte that may end a wide white-space
     character doesn't count.
     """
+    at = np.flatnonzero(data == 32)
+    at = at[at > 0]
+    last = data[at - 1]
+    # The last bytes of the white-space characters beyond ASCII (U+0085, A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000).
+    ends = np.zeros(256, bool)
+    ends[[0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
+    # The first bytes of those of two and of three bytes; 9 to 13 and 28 to 32 are ASCII's own.
+    blank = (last == 32) | ((last >= 9) & (last <= 13)) | ((last >= 0x1C) & (last <= 0x1F))
+    wide = ends[last] & ((data[np.maximum(at - 2, 0)] == 0xC2) | ((data[np.maximum(at - 3, 0)] >= 0xE1) & (data[np.maximum(at - 3, 0)] <= 0xE3)))
     cut = np.zeros(len(data), bool)
     cut[starts] = True
-    before = data[:-1]
-    # The last bytes of the white-space characters beyond ASCII (U+0085, A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000).
-    wide = np.isin(before, np.array([0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F], np.uint8))
-    if len(data) > 2:
-        lead = np.zeros(len(before), bool)
-        lead[1:] = data[:-2] == 0xC2
-        lead[2:] |= np.isin(data[:-3], np.array([0xE1, 0xE2, 0xE3], np.uint8))
-        wide &= lead
-    blank = (before == 32) | ((before >= 9) & (before <= 13)) | ((before >= 0x1C) & (before <= 0x1F)) | wide
-    cut[1:] |= (data[1:] == 32) & ~blank
+    cut[at[~(blank | wide)]] = True
     return np.flatnonzero(cut)
 
 
+class ByteTokenizer:
+    """Ids of chunks by the file's vocabulary: a byte-level BPE without special strings runs in tiktoken, which merges by the same ranks.
+
+    Chunks with an added token's string, and the first few hundred of each call for a check, go through tokenizers itself.
+    """
+
+    # Fixed value: the pattern of the byte-level pretokenizer.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, tokenizer_file: str, checked: int = 200):
+        from tokenizers import Tokenizer
+
+        self.slow, self.checked = Tokenizer.from_file(tokenizer_file), checked
+        spec = json.loads(self.slow.to_str())
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        before = spec["pre_tokenizer"] or {}
+        vocabulary = spec["model"].get("vocab", {})
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        other = [b for b in range(256) if b not in shown]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
+        plain = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and spec["model"]["type"] == "BPE"
+        self.fast = None
+        if plain and all(c in byte_of for t in vocabulary for c in t if t.encode() not in self.special):
+            ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t.encode() not in self.special}
+            self.fast = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, chunks: list[bytes]) -> list[bytes]:
+        """Each chunk's ids, as little-endian numbers of four bytes."""
+        texts = [c.decode() for c in chunks]
+        if self.fast is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
+        told = self.slow.encode_batch_fast(texts[: self.checked], add_special_tokens=False)
+        ids = [e.ids for e in told] + [self.fast.encode_ordinary(t) for t in texts[self.checked :]]
+        if [self.fast.encode_ordinary(t) for t, c in zip(texts[: self.checked], chunks, strict=False) if not any(s in c for s in self.special)] != [i for i, c in zip(ids[: self.checked], chunks, strict=False) if not any(s in c for s in self.special)]:
+            raise ValueError("the two tokenizers differ on a chunk of this batch")
+        for s in self.special:
+            for i in [i for i, c in enumerate(chunks) if s in c]:
+                ids[i] = self.slow.encode(texts[i], add_special_tokens=False).ids
+        ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+        data, lo, out = np.fromiter((y for x in ids for y in x), "<u4", ends[-1] // 4 if ends else 0).tobytes(), 0, []
+        for hi in ends:
+            out.append(data[lo:hi])
+            lo = hi
+        return out
+
+
 def _pieces(tokenizer_file: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
+        tokenizer = ByteTokenizer(tokenizer_file)
         ids_of: dict[bytes, bytes] = {}
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for lo in range(0, batch.num_rows, 3000):
+                part = batch.slice(lo, 3000)
                 texts = [t or b"" for t in part.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
                 data = np.frombuffer(b"".join(texts), np.uint8)
                 sizes = np.array([len(t) for t in texts], np.int64)
@@ -104,15 +150,21 @@ def _pieces(tokenizer_file: str, end_id: int, length: int):
                 if len(ids_of) > REMEMBERED:
                     ids_of = {}
                 new = [w for w in words if w not in ids_of]
-                got = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                ids_of.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got, strict=True))
+                ids_of.update(zip(new, tokenizer.encode(new), strict=True))
                 table = [ids_of[w] for w in words]
-                codes = coded.indices.to_pylist()
-                cuts = np.searchsorted(at, ends).tolist()
+                # all ids of the slice in a row: of each chunk its own, wherever they stand in the table
+                sizes4 = np.fromiter(map(len, table), np.int64, len(table)) // 4
+                first4 = np.cumsum(sizes4) - sizes4
+                every = np.frombuffer(b"".join(table), "<u4")
+                codes = coded.indices.to_numpy()
+                count = sizes4[codes]
+                stop = np.cumsum(count)
+                flat = every[np.repeat(first4[codes] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
+                bounds4 = np.append(0, stop)[np.searchsorted(at, ends)].tolist()
                 rows: dict[str, list] = {"doc": [], "piece": [], "start": [], "length": [], "crc": []}
                 a = 0
-                for k, b in enumerate(cuts):
-                    ids = b"".join([table[c] for c in codes[a:b]]) + end
+                for k, b in enumerate(bounds4):
+                    ids = flat[a:b].tobytes() + end
                     a, n = b, len(ids) // 4
                     first = n if n <= length else n % length or length
                     start, piece = 0, 0
