@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_pieces, chat_format, exact_dedup, jaccard_join, license_scan, packing, quality, recompression, suffix_groups
+from tidemark.llm import bpe_pieces, chat_format, exact_dedup, jaccard_join, license_scan, line_dedup, packing, quality, recompression, suffix_groups
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,12 +66,16 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(_read(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_exact_dedup, op4_license_scan, op5_quality_rules, op6_sentencepiece, op7_best_fit_packing, op8_chat_format, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_exact_dedup, op4_license_scan, op5_quality_rules, op6_sentencepiece, op7_best_fit_packing, op8_chat_format, op9_line_dedup, op10_jaccard_join)}
 
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
