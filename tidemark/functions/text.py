@@ -95,4 +95,4 @@ def months_until(year: Column, month: Column, as_of: Column) -> Column:
 
 def fenced_json(text: Column) -> Column:
     """A model's answer without markdown fences."""
-    return F.trim(F.regexp_replace(text, r"^\s*```(?:json)?|```\s*$", ""))
+    return F.regexp_replace(F.regexp_replace(text, r"^\s*```(?:json)?|```\s*$", ""), r"^\s+|\s+$", "")
