@@ -24,7 +24,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).alias("doc_id"), lower_az(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
     base = base.withColumn("h", F.unhex(F.md5("norm")))
     groups = base.groupBy("h").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    held = base.join(groups, "h").select("doc_id", "keep_id", "n", "h", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("n") > 1, F.col("norm")).alias("norm"))
+    # stored, the groups are a side of their own in the join, so that the rows of a hot text can be split
+    groups = written(groups.withColumnRenamed("h", "gh"), "groups")
+    held = base.join(groups, F.col("h") == F.col("gh")).select("doc_id", "keep_id", "n", "h", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("n") > 1, F.col("norm")).alias("norm"))
     held = written(held, "held")  # each text is shuffled once; only those of groups are kept for the comparison
     mine = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     out = ["doc_id", "keep_id", F.col("n").alias("group_size"), mine.alias("kept"), "text_sha256"]
