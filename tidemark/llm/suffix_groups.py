@@ -17,7 +17,7 @@ GRAM, SPACING, SHARED = 12, 32, 48
 #: A token is what lies between places whose next CUT bytes hash under one in EVERY.
 CUT, EVERY = 3, 12
 #: Tokens that one suffix array is built over.
-MOST_TOKENS = 150_000
+MOST_TOKENS = 60_000
 
 
 def suffix_array(text: list[int]) -> list[int]:
