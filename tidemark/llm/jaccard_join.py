@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,11 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
+def as_smaller(n, percent: int):
+    """The least overlap of a set of n with a partner that isn't smaller: percent / (100 + percent) of both sizes."""
+    return -(-2 * percent * n // (100 + percent))
+
+
 def matches(n, level: int):
     return n * level // 100 + 1
 
@@ -142,7 +148,7 @@ def _heard(words: int, percent: int, buckets: int):
                 names = sets.name[at]
                 entries = L.Entries(names, np.zeros(len(names), U64), np.zeros(len(names), bool), buckets)
                 shared = L.joined(row["replies"], 0, buckets)[entries.place] > 0
-                hits = np.bincount(sets.owner[at], shared, minlength=len(own))
+                hits = np.bincount(sets.owner[at], shared, minlength=len(own)).astype(np.int64)
                 some, _, _, _ = _by_print(sets, buckets)
                 rep = own.copy()
                 rep[some] = L.joined(row["replies"], buckets).view(np.int64)
@@ -150,7 +156,8 @@ def _heard(words: int, percent: int, buckets: int):
                 # of texts in this pack that have one id and one set, one is enough
                 kept &= np.isin(np.arange(len(own)), np.unique(np.where(kept, own, -1), return_index=True)[1])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(kept, sets.size, 0))), pa.int32()), pa.array(sets.name[kept[sets.owner]].view(np.int64)), mask=pa.array(~kept))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sets.size, pa.int64()), pa.array(rep), lists], ["doc_id", "n", "rep", "names"])
+                asked = np.maximum(np.bincount(sets.owner[at], minlength=len(own)), 1)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sets.size, pa.int64()), pa.array(rep), pa.array(hits * 1000 // asked, pa.int64()), lists], ["doc_id", "n", "rep", "score", "names"])
 
     return run
 
@@ -168,44 +175,122 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _hubs(sets: DataFrame) -> DataFrame:
-    """(x, y): y is, of the least sets among those that hold one of x's smallest names, the one that most of them lead to."""
-    small = sets.select("rep", F.explode(F.slice("names", 1, SKETCH)).alias("name"))
-    hub = written(small.groupBy("name").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("name", "hub"), "hubs")
-    seen = small.join(hub, "name").filter("hub <> rep").groupBy("rep", "hub").count()
+    """(x, y): y is, of the sets that lead the sets with one of x's smallest names, the one that most of those names lead to.
+
+    The set that shares most of its names with others leads: where copies are made of one text, that text does, and
+    not one of its copies, which may be alike with it but not with each other.
+    """
+    small = sets.select("rep", "score", F.explode(F.slice("names", 1, SKETCH)).alias("name"))
+    lead = small.groupBy("name").agg(F.max(F.struct("score", (-F.col("rep")).alias("back"))).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    lead = written(lead.select("name", (-F.col("lead.back")).alias("hub")), "hubs")
+    seen = small.join(lead, "name").filter("hub <> rep").groupBy("rep", "hub").count()
     best = seen.groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("back"))).alias("best"))
     return best.select(F.col("rep").alias("x"), (-F.col("best.back")).alias("y"))
 
 
-def _across(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) of sets in different parts that may link: all of them, by prefixes.
+def _set_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as w:
+                w.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 66], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack_id", "body"])
+
+
+class SetPack:
+    """Stored sets with the parts they belong to."""
+
+    def __init__(self, body: bytes):
+        batch = pa.ipc.open_stream(body).read_all().combine_chunks().to_batches()[0]
+        self.rep, self.part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "part"))
+        lists = pa.concat_arrays([batch.column("names").cast(pa.list_(pa.int64()))])
+        self.size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.name = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
+        self.owner = np.repeat(np.arange(len(self.size)), self.size)
+
+    def entries(self, buckets: int) -> L.Entries:
+        return L.Entries(self.name, mix(self.part[self.owner].view(U64)), np.zeros(len(self.name), bool), buckets)
+
+
+def _parts_question(buckets: int):
+    def send(row: dict):
+        return SetPack(row["body"]).entries(buckets).letters()
+
+    return send
+
 
-    Only names that stand in more than one part count. For each set the level is chosen whose prefix promises the fewest
-    candidates: the number of sets its names lead to, over the matches asked for. A set that has fewer such names
-    than some level asks of it has no partner. Of a pair, the lower level's matches are asked.
+def _ranks(_: int, payloads: list[bytes]) -> list[bytes]:
+    """For each name: 0 if it stands in one part only, else a rank that grows with how often it was sent."""
+    parts = [L.opened(p) for p in payloads]
+    short, long = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    detail, weight = long & ~U64(1), 1 + (long & U64(1)).astype(np.int64)
+    order = np.lexsort((detail, short))
+    s, d = short[order], detail[order]
+    new = np.append(True, s[1:] != s[:-1])
+    at = np.cumsum(new) - 1
+    kinds, often = np.bincount(at, new | np.append(True, d[1:] != d[:-1])), np.bincount(at, weight[order])
+    rank = np.where(kinds > 1, np.minimum(1 + 4 * np.log2(np.maximum(often, 1)), 255), 0).astype(np.uint8)
+    out = np.empty(len(s), np.uint8)
+    out[order] = rank[at]
+    return [zlib.compress(x.tobytes(), 1) for x in np.split(out, np.cumsum([len(p[0]) for p in parts])[:-1])]
+
+
+def _prefixes(percent: int, buckets: int):
+    """Of the sets that may have a partner in another part: the names of the prefix at the cheapest level.
+
+    The order of all prefixes: names that stand in one part only come first (they are no match for any other part),
+    then the others from rare to frequent. A set with fewer of the latter than a partner must share has no partner.
     """
-    sets = sets.join(parts, sets["rep"] == parts["id"], "left").select("rep", "names", F.coalesce("component", "rep").alias("part"))
-    n = F.size("names").cast("long")
-    need = lambda z, p: F.ceil(z * p / F.lit(100)).cast("long")
-    base = n - need(n, percent)
-    reach = base + F.floor(n * LEVELS[-1] / F.lit(100)) + 1
-    long_ = sets.select("rep", "part", n.alias("n"), F.posexplode(F.slice("names", F.lit(1), reach.cast("int"))).alias("pos", "name"))
-    wide = long_.groupBy("name").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("df")).filter("lo <> hi").select("name", "df")
-    held = written(long_.join(wide, "name"), "across")
-    level = lambda p: F.floor(F.col("n") * p / F.lit(100)) + 1
-    floor_ = lambda p: F.floor(need(F.col("n"), percent) * p / F.lit(100)) + 1
-    in_ = lambda p: F.col("pos") < F.col("n") - need(F.col("n"), percent) + level(p)
-    sums = [x for p in LEVELS for x in (F.count_if(in_(p)).alias(f"c{p}"), F.sum(F.when(in_(p), F.col("df")).otherwise(0)).alias(f"cost{p}"))]
-    plan = held.groupBy("rep", "n").agg(*sums)
-    for p in LEVELS:
-        plan = plan.filter(F.col(f"c{p}") >= floor_(p))
-    cheapest = F.least(*[F.struct((F.col(f"cost{p}") / level(p)).alias("cost"), F.lit(p).alias("level")) for p in LEVELS])["level"]
-    plan = written(plan.select(F.col("rep").alias("r"), cheapest.alias("level")), "levels")
-    some = held.join(plan, F.col("rep") == F.col("r")).filter(F.col("pos") < F.col("n") - need(F.col("n"), percent) + F.floor(F.col("n") * F.col("level") / F.lit(100)) + 1)
-    some = written(some.select("rep", "part", "n", "name", F.floor(F.col("n") * F.col("level") / F.lit(100)).alias("more")), "prefixes")
-    a, b = (some.select("name", *[F.col(c).alias(f"{s}_{c}") for c in ("rep", "part", "n", "more")]) for s in "xy")
-    sized = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & (F.col("x_rep") < F.col("y_rep")) & (F.col("x_part") != F.col("y_part"))
-    pairs = a.join(b, "name").filter(sized).groupBy("x_rep", "y_rep", F.least("x_more", "y_more").alias("more")).count()
-    return pairs.filter("count > more").select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                p = SetPack(row["body"])
+                rank = L.joined(row["replies"])[p.entries(buckets).place]
+                across = np.bincount(p.owner, rank > 0, minlength=len(p.size)).astype(np.int64)
+                need = needed(p.size, percent)
+                use = np.flatnonzero((rank > 0) & (across >= need)[p.owner])
+                use = use[np.lexsort((p.name[use], rank[use], p.owner[use]))]
+                owner = p.owner[use]
+                left = np.bincount(owner, minlength=len(p.size))
+                place = np.arange(len(use)) - (np.cumsum(left) - left)[owner]
+                often = 2.0 ** ((rank[use].astype(float) - 1) / 4)
+                price = []
+                for level in LEVELS:
+                    inside = place < (across - need + matches(p.size, level))[owner]
+                    price.append(np.bincount(owner, often * inside, minlength=len(p.size)) / matches(p.size, level))
+                more = p.size * np.array(LEVELS)[np.argmin(price, axis=0)] // 100
+                own = place < (across - need + more + 1)[owner]
+                use, owner, place = use[own], owner[own], place[own]
+                # as the smaller of a pair a set must share more, so that a shorter prefix will do
+                first = place < (across - as_smaller(p.size, percent) + more + 1)[owner]
+                columns = [p.rep[owner], p.part[owner], p.size[owner], across[owner], more[owner], p.name[use].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(first)], ["rep", "part", "n", "across", "more", "name", "first"])
+
+    return run
+
+
+def _across(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of sets in different parts that may link: all of them, by prefixes. Of a pair, the lower level's matches are asked."""
+    sets = sets.join(parts, sets["rep"] == parts["id"], "left").select("rep", F.coalesce("component", "rep").alias("part"), "names")
+    packs = written(sets.mapInArrow(_set_packs, "pack_id long, body binary"), "set_packs", compression="none")
+    buckets = L.bucket_count(packs)
+    replies = L.exchange(packs, _parts_question(buckets), _ranks, buckets)
+    some = L.asked(packs, replies, "replies").mapInArrow(_prefixes(percent, buckets), "rep long, part long, n long, across long, more long, name long, first boolean")
+    some = written(some, "prefixes")
+    a, b = (d.select("name", *[F.col(c).alias(f"{s}_{c}") for c in ("rep", "part", "n", "across", "more")]) for s, d in (("x", some.filter("first")), ("y", some)))
+    both = percent * (F.col("x_n") + F.col("y_n"))
+    # x is the smaller; a pair shares at most the names of either that stand in other parts
+    ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_rep") < F.col("y_rep")))
+    sized = ordered & (100 * F.col("x_n") >= percent * F.col("y_n")) & ((100 + percent) * F.least("x_across", "y_across") >= both) & (F.col("x_part") != F.col("y_part"))
+    pairs = a.join(b, "name").filter(sized).groupBy("x_rep", "y_rep", "x_n", "y_n", "x_more", "y_more").count()
+    # beyond the names shared in the prefixes, at most what one of the two has behind its own
+    rest = lambda c, d: F.ceil(percent * c * F.col(d[0]) / F.lit(d[1])) - F.col(d[2]) - 1
+    behind = F.greatest(rest(2, ("x_n", 100 + percent, "x_more")), rest(1, ("y_n", 100, "y_more")))
+    hold = (F.col("count") > F.least("x_more", "y_more")) & ((100 + percent) * (F.col("count") + behind) >= both)
+    return pairs.filter(hold).select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -219,16 +304,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. Every set's names are in hash order, and the prefix in which a partner must share FIRST_CUT hundredths of its size
        is asked about: sets with too few shared names have no partner. Equal sets get one representative.
     2. Each representative left is held against one other, its hub; links are put together to components.
-    3. For sets in different components all pairs that adaptive prefixes allow are verified. So no link is lost,
-       and a group of very many near copies isn't expanded into its pairs.
+    3. For sets in different components all pairs that adaptive prefixes allow are verified, in an order of names from
+       rare to frequent. So no link is lost, and a group of very many near copies isn't expanded into its pairs.
     """
     packs = L.packs_of(docs, id_col, text_col)
     buckets = L.bucket_count(packs)
     replies = L.exchange(packs, _question(words, percent, buckets), _answer(buckets), buckets)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = L.asked(packs, replies, "replies").mapInArrow(_heard(words, percent, buckets), f"doc_id {kind}, n long, rep long, names array<bigint>")
+    rows = L.asked(packs, replies, "replies").mapInArrow(_heard(words, percent, buckets), f"doc_id {kind}, n long, rep long, score long, names array<bigint>")
     rows = written(rows, "sets")
-    sets = rows.filter("names IS NOT NULL").select("rep", "names")
+    sets = rows.filter("names IS NOT NULL").select("rep", "score", "names")
     links = written(_verified(_hubs(sets), sets, percent), "hub_links")
     parts = components(links)
     more = written(_verified(_across(sets, parts, percent), sets, percent), "more_links")
