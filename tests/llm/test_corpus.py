@@ -274,3 +274,17 @@ def test_pipeline(spark, tmp_path):
     assert passage not in left[22] and passage not in left[23] and left[2] == clean[2]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.count() == stages["best-fit packing"].count() > 0
+
+
+def test_lines_without_spaces(spark):
+    """All of a line counts, whether it has spaces or not."""
+    urls = [f"https://example.org/a/b/{name}.html" for name in ("first", "zzz/other", "quite-another-page")]
+    unlike = [*urls, "データの重複を取り除くための" + "長い日本語の文です" * 2, "データの重複を取り除くための" + "全く別の内容がここに続く"]
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghijklmnop") for _ in range(900))
+    docs = [*enumerate([*unlike, long, long[:450] + "Z" + long[451:], "short", "shorn"])]
+    got = {r.doc_id for r in line_dedup.repeated_lines(table(spark, docs)).collect()}
+    assert got == {len(unlike) + 1}
+    q = line_dedup.SHINGLE
+    lines = spark.createDataFrame([(i, t) for i, t in docs], "id long, line string").select("id", F.size(line_dedup.shingles(F.col("line"))).alias("n"))
+    assert {r.id: r.n for r in lines.collect()} == {i: len({t[k : k + q] for k in range(max(1, len(t) - q + 1))}) for i, t in docs}
