@@ -288,3 +288,28 @@ def test_lines_without_spaces(spark):
     q = line_dedup.SHINGLE
     lines = spark.createDataFrame([(i, t) for i, t in docs], "id long, line string").select("id", F.size(line_dedup.shingles(F.col("line"))).alias("n"))
     assert {r.id: r.n for r in lines.collect()} == {i: len({t[k : k + q] for k in range(max(1, len(t) - q + 1))}) for i, t in docs}
+
+
+@pytest.mark.parametrize("few", [10**6, 8])
+def test_lines_with_boilerplate(spark, monkeypatch, few):
+    """Alike lines whose bands are led by other lines, in bands with few lines and in crowded ones."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    boiler, lines = letters(200), []
+    for _ in range(120):
+        own = letters(100)
+        lines += [boiler + own, boiler + "".join("#" if k in (15, 40, 65, 90) else c for k, c in enumerate(own))]
+    rng.shuffle(lines)
+    q = line_dedup.SHINGLE
+    sets = [{t[k : k + q] for k in range(len(t) - q + 1)} for t in lines]
+    head = list(range(len(lines)))
+    for j in range(len(lines)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                head[j] = min(head[j], head[i])
+    want = {i for i, h in enumerate(head) if h != i}
+    assert len(want) == 120
+    got = {r.doc_id for r in line_dedup.repeated_lines(table(spark, list(enumerate(lines)))).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
