@@ -155,3 +155,24 @@ def test_prune_is_idempotent(spark):
     e = spark.createDataFrame([("a", "b", "k")], "src string, dst string, kind string")
     once = graph.pruned(v, e)
     assert sorted(r.id for r in once.collect()) == ["a", "b"] == sorted(r.id for r in graph.pruned(once, e).collect())
+
+
+def test_boosting_rounds(spark, sf_dir, monkeypatch):
+    """The query trains the reference's 50 rounds."""
+    from pyspark.ml import classification
+
+    from tidemark.plans import catalog
+
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def model(**asked):
+        seen.append((asked["maxIter"], asked["maxDepth"], asked["stepSize"]))
+        raise Stop
+
+    monkeypatch.setattr(classification, "GBTClassifier", model)
+    with pytest.raises(Stop):
+        catalog.QUERIES["gbt_walk_forward"](spark, sf_dir)
+    assert seen == [(50, 2, 0.05)]

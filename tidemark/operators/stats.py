@@ -81,7 +81,7 @@ def folds(rows: DataFrame, order: list[str], k: int = 3) -> DataFrame:
     return out.withColumn("fold", F.when(F.col("__rn") <= first, 0).otherwise(F.floor((F.col("__rn") - first - 1) / size) + 1).cast("int")).drop("__p", "__q", "__before", "__n", "__rn")
 
 
-def walk_forward_gbt(rows: DataFrame, features: list[str], label: str, k: int = 3, depth: int = 2, step: float = 0.05, rounds: int = 20) -> DataFrame:
+def walk_forward_gbt(rows: DataFrame, features: list[str], label: str, k: int = 3, depth: int = 2, step: float = 0.05, rounds: int = 50) -> DataFrame:
     """fold, n, accuracy: boosted trees trained on all earlier folds and tested on each. rows have fold (see folds) and should be stored."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler

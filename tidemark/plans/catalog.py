@@ -757,7 +757,7 @@ def walk_forward_folds(t):
 @query()
 def gbt_walk_forward(t):
     rows = stats.folds(t.orders, ["o_orderdate", "o_orderkey"]).select("fold", F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 7).alias("k"), (F.col("o_totalprice") > 250000).alias("y")).cache()
-    return stats.walk_forward_gbt(rows, ["month", "k"], "y", rounds=5)
+    return stats.walk_forward_gbt(rows, ["month", "k"], "y")
 
 
 # --- names -----------------------------------------------------------------------------------------------------------
