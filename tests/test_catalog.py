@@ -42,3 +42,8 @@ def test_query(spark, sf_dir, duck, name):
         assert sorted(names) == columns
         at = [names.index(c) for c in columns]
         assert got == Counter(tuple(plain(r[i]) for i in at) for r in told.fetchall())
+
+
+@pytest.mark.parametrize(("name", "count"), [("kelly_size_all", "count(*) FROM lineitem"), ("director_upsert_all", "count(DISTINCT (l_partkey, l_suppkey)) FROM lineitem"), ("event_props_all", "count(*) FROM events")])
+def test_whole_tables(spark, sf_dir, duck, name, count):
+    assert catalog.QUERIES[name](spark, sf_dir).count() == duck.execute(f"SELECT {count}").fetchone()[0]

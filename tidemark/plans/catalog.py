@@ -285,6 +285,13 @@ def director_upsert(t):
     return tables.latest(rows.drop("day"), ["din", "cin"], "seq").drop("seq").join(seen, ["din", "cin"])
 
 
+@query("SELECT l_partkey AS din, l_suppkey AS cin, arg_max(l_orderkey, l_orderkey * 100 + l_linenumber) AS last_order, max(l_shipdate)::DATE AS seen FROM lineitem GROUP BY 1, 2")
+def director_upsert_all(t):
+    rows = t.lineitem.select(F.col("l_partkey").alias("din"), F.col("l_suppkey").alias("cin"), F.col("l_orderkey").alias("last_order"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_shipdate").cast("date").alias("day"))
+    seen = rows.groupBy("din", "cin").agg(F.max("day").alias("seen"))
+    return tables.latest(rows.drop("day"), ["din", "cin"], "seq").drop("seq").join(seen, ["din", "cin"])
+
+
 @query("SELECT scrip_code, event_date, min(id) AS id FROM announcements WHERE is_contract GROUP BY 1, 2 UNION ALL SELECT scrip_code, event_date, min(id) FROM announcements a WHERE is_board_change AND NOT EXISTS (SELECT 1 FROM announcements c WHERE c.is_contract AND c.scrip_code = a.scrip_code AND c.event_date = a.event_date) GROUP BY 1, 2", ("announcements",))
 def announcement_insert_new(t):
     first = lambda d: d.groupBy("scrip_code", "event_date").agg(F.min("id").alias("id"))
@@ -381,6 +388,11 @@ def event_props(t):
     return t.events.filter("value > 10").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query("SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events")
+def event_props_all(t):
+    return t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
 # --- indicators ------------------------------------------------------------------------------------------------------
 
 P = ("prices",)
@@ -724,6 +736,11 @@ def kelly_size(t):
     return x.select("l_orderkey", "l_linenumber", "l_partkey", F.round(portfolio.kelly_pct(F.col("l_discount") * 8, F.col("l_quantity"), F.col("l_tax") * 200 + 1), 4).alias("kelly"))
 
 
+@query("WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 8 AS p, l_quantity AS w, l_tax * 200 + 1 AS l FROM lineitem), k AS (SELECT *, (p - (1 - p) / (w / l)) * 100 AS full_ FROM x) SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN p > 0 AND full_ > 0 THEN least(full_ * 0.5, 5) ELSE 0 END, 4) AS kelly FROM k")
+def kelly_size_all(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(portfolio.kelly_pct(F.col("l_discount") * 8, F.col("l_quantity"), F.col("l_tax") * 200 + 1), 4).alias("kelly"))
+
+
 @query(
     """WITH x AS (SELECT o_orderkey, o_orderstatus = 'O' AS b, o_totalprice / 100 AS p, 10 AS q FROM orders), y AS (SELECT *, p * CASE WHEN b THEN 1.005::DOUBLE ELSE 0.995 END * q AS t FROM x),
 z AS (SELECT *, round(t * 0.001::DOUBLE, 2) AS stt, round(t * 0.0000325::DOUBLE, 2) AS txn, round(t * 0.000001::DOUBLE, 2) AS sebi, CASE WHEN b THEN round(t * 0.00015::DOUBLE, 2) ELSE 0 END AS stamp, CASE WHEN b THEN 0 ELSE 15.93::DOUBLE END AS dp FROM y)
