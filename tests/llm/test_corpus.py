@@ -313,3 +313,11 @@ def test_lines_with_boilerplate(spark, monkeypatch, few):
     assert len(want) == 120
     got = {r.doc_id for r in line_dedup.repeated_lines(table(spark, list(enumerate(lines)))).collect()}
     assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_repeated_rows(spark):
+    """A row that stands twice stays once, and an id keeps the text of its own that no other row has."""
+    long = " ".join(f"word{i}" for i in range(40))
+    docs = [(1, long), (1, long), (2, "one"), (2, "two"), (3, "ONE"), (4, long), (4, long), (None, "two"), (None, "six"), (None, "six")]
+    got = Counter((r.doc_id, r.text) for r in exact_dedup.drop_exact_copies(table(spark, docs)).collect())
+    assert got == Counter([(4, long), (2, "two"), (3, "ONE"), (None, "six")])

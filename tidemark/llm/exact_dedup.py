@@ -44,6 +44,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """docs without the rows whose text another row repeats; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col, keep).filter("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """docs without the rows whose text another row repeats; all columns stay. Of rows that repeat an id and its text, any one stays."""
+    told = exact_groups(docs, id_col, text_col, keep).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha256"))
+    told = told.agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")).filter("NOT __kept OR __n > 1")
+    told = written(told, "verdicts")
+    hashed = docs.withColumn("__hash", F.sha2(lower_az(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    rows = hashed.join(told, (F.col("__hash") == F.col("__sha256")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    once, again = rows.filter("__kept IS NULL"), rows.filter("__kept").dropDuplicates([id_col, "__hash"])
+    return once.unionByName(again).drop("__hash", "__id", "__sha256", "__kept", "__n")
