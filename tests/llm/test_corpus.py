@@ -321,3 +321,12 @@ def test_repeated_rows(spark):
     docs = [(1, long), (1, long), (2, "one"), (2, "two"), (3, "ONE"), (4, long), (4, long), (None, "two"), (None, "six"), (None, "six")]
     got = Counter((r.doc_id, r.text) for r in exact_dedup.drop_exact_copies(table(spark, docs)).collect())
     assert got == Counter([(4, long), (2, "two"), (3, "ONE"), (None, "six")])
+
+
+def test_jaccard_repeated_ids(spark):
+    """Rows with one id and different texts in one pack share their links; -1 is an id like others."""
+    a, b, c = ([f"{k}{i}" for i in range(60)] for k in "abc")
+    edit = lambda w: " ".join([*w[:-1], "edit"])
+    docs = [(5, "a text that no other is like"), (1, " ".join(a)), (1, " ".join(b)), (2, edit(a)), (3, edit(b)), (-1, " ".join(c)), (9, edit(c))]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.near_copies(table(spark, docs).coalesce(1)).collect()}
+    assert got == {(5, 5), (1, 1), (2, 1), (3, 1), (-1, -1), (9, -1)}

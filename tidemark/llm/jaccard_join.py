@@ -149,12 +149,15 @@ def _heard(words: int, percent: int, buckets: int):
                 entries = L.Entries(names, np.zeros(len(names), U64), np.zeros(len(names), bool), buckets)
                 shared = L.joined(row["replies"], 0, buckets)[entries.place] > 0
                 hits = np.bincount(sets.owner[at], shared, minlength=len(own)).astype(np.int64)
-                some, _, _, _ = _by_print(sets, buckets)
+                some, _, one, two = _by_print(sets, buckets)
                 rep = own.copy()
                 rep[some] = L.joined(row["replies"], buckets).view(np.int64)
                 kept = (sets.size > 0) & (hits >= matches(needed(sets.size, percent), FIRST_CUT)) & (rep == own)
                 # of texts in this pack that have one id and one set, one is enough
-                kept &= np.isin(np.arange(len(own)), np.unique(np.where(kept, own, -1), return_index=True)[1])
+                at_kept = np.flatnonzero(kept)
+                at_kept = at_kept[np.lexsort((at_kept, two[at_kept], one[at_kept], own[at_kept]))]
+                again = (np.diff(own[at_kept]) == 0) & (one[at_kept][1:] == one[at_kept][:-1]) & (two[at_kept][1:] == two[at_kept][:-1])
+                kept[at_kept[1:][again]] = False
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(kept, sets.size, 0))), pa.int32()), pa.array(sets.name[kept[sets.owner]].view(np.int64)), mask=pa.array(~kept))
                 asked = np.maximum(np.bincount(sets.owner[at], minlength=len(own)), 1)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sets.size, pa.int64()), pa.array(rep), pa.array(hits * 1000 // asked, pa.int64()), lists], ["doc_id", "n", "rep", "score", "names"])
