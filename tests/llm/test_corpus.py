@@ -330,3 +330,19 @@ def test_jaccard_repeated_ids(spark):
     docs = [(5, "a text that no other is like"), (1, " ".join(a)), (1, " ".join(b)), (2, edit(a)), (3, edit(b)), (-1, " ".join(c)), (9, edit(c))]
     got = {(r.doc_id, r.component_id) for r in jaccard_join.near_copies(table(spark, docs).coalesce(1)).collect()}
     assert got == {(5, 5), (1, 1), (2, 1), (3, 1), (-1, -1), (9, -1)}
+
+
+def test_chat_loss_mask(spark, sf_dir, monkeypatch):
+    """op8's loss columns come from the operator's mask: they match the SQL, and with a wrong mask they don't."""
+    import duckdb
+
+    from tidemark.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf_dir}/conversations.parquet')")
+    want = Counter(r for r in con.execute("SELECT conv_id, loss_chars, loss_sha256 FROM (" + queries.oracle_sql()["op8_chat_format"] + ")").fetchall())
+    got = lambda: Counter(tuple(r) for r in queries.op8_chat_format(spark, sf_dir).select("conv_id", "loss_chars", "loss_sha256").collect())
+    assert got() == want
+    real = chat_format.format_chats
+    monkeypatch.setattr(chat_format, "format_chats", lambda d: real(d, train_on="user"))
+    assert got() != want

@@ -55,7 +55,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.sql(f"SELECT -7L conv_id, turn, role, '{said}' text FROM VALUES (0L, 'user'), (1L, 'assistant') t(turn, role)")
     out = chat_format.format_chats(rows.unionByName(more)).withColumn("turns", chat_format.read_back(F.col("formatted")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    # the mask itself is cut out, so that a wrong one shows
+    cut = F.transform("loss_spans", lambda x: F.substring("formatted", x["start"].cast("int") + 1, x["length"].cast("int")))
+    loss = F.array_join(F.transform(cut, chat_format.unescape), "")
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
