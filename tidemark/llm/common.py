@@ -23,17 +23,36 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor can reach; under /tmp/checkpoints where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder under spark.checkpoint.dir, which every executor can reach. Where it is unset, one under /tmp in local mode, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     """df, written as Parquet into the shared folder and read again: cuts the lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, what, **options)
+
+
+class Scratch:
+    """Tables that a job writes into the shared folder, and that go when what is made of them is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.number = spark, shared_dir(spark), 0
+
+    def written(self, df: DataFrame, what: str, **options: str) -> DataFrame:
+        self.number += 1
+        path = f"{self.path}/{self.number}-{what}"
+        df.write.options(**options).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        """Delete all that was written; only for when no lazy table reads it any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import letters as L
-from tidemark.llm.common import written
+from tidemark.llm.common import Scratch, written
 from tidemark.llm.components import components
 from tidemark.llm.letters import U64, mix
 
@@ -24,6 +24,10 @@ NO_ID = (1 << 63) - 1
 FIRST_CUT, LEVELS = 15, (0, 5, 15)
 #: A set's smallest names, by which it finds the set to be held against first.
 SKETCH = 16
+#: The price of a candidate, in rows of the join that finds candidates.
+VERIFIED = 2
+#: Names in a pack of sets.
+SET_PACK = 1 << 19
 
 
 def needed(n, percent: int):
@@ -177,7 +181,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
-def _hubs(sets: DataFrame) -> DataFrame:
+def _hubs(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(x, y): y is, of the sets that lead the sets with one of x's smallest names, the one that most of those names lead to.
 
     The set that shares most of its names with others leads: where copies are made of one text, that text does, and
@@ -185,32 +189,41 @@ def _hubs(sets: DataFrame) -> DataFrame:
     """
     small = sets.select("rep", "score", F.explode(F.slice("names", 1, SKETCH)).alias("name"))
     lead = small.groupBy("name").agg(F.max(F.struct("score", (-F.col("rep")).alias("back"))).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    lead = written(lead.select("name", (-F.col("lead.back")).alias("hub")), "hubs")
+    lead = scratch.written(lead.select("name", (-F.col("lead.back")).alias("hub")), "hubs")
     seen = small.join(lead, "name").filter("hub <> rep").groupBy("rep", "hub").count()
     best = seen.groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("back"))).alias("best"))
     return best.select(F.col("rep").alias("x"), (-F.col("best.back")).alias("y"))
 
 
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 66], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack_id", "body"])
+
+
 def _set_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of SET_PACK names, or of one set that has more."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema) as w:
-                w.write_batch(part)
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 66], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack_id", "body"])
+        size = pc.fill_null(pc.list_value_length(batch.column("names")), 0).to_numpy(zero_copy_only=False)
+        pack = np.cumsum(size) // SET_PACK
+        cuts = np.flatnonzero(np.append(True, pack[1:] != pack[:-1])) if len(size) else np.zeros(0, np.int64)
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(size)], strict=True):
+            yield _packed(batch.slice(lo, hi - lo))
 
 
 class SetPack:
-    """Stored sets with the parts they belong to."""
+    """Stored sets with the parts they belong to, and the other numbers stored with them."""
 
     def __init__(self, body: bytes):
         batch = pa.ipc.open_stream(body).read_all().combine_chunks().to_batches()[0]
-        self.rep, self.part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "part"))
+        for c in batch.schema.names:
+            if c != "names":
+                setattr(self, c, batch.column(c).to_numpy(zero_copy_only=False))
         lists = pa.concat_arrays([batch.column("names").cast(pa.list_(pa.int64()))])
-        self.size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.held = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         self.name = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
-        self.owner = np.repeat(np.arange(len(self.size)), self.size)
+        self.owner = np.repeat(np.arange(len(self.held)), self.held)
 
     def entries(self, buckets: int) -> L.Entries:
         return L.Entries(self.name, mix(self.part[self.owner].view(U64)), np.zeros(len(self.name), bool), buckets)
@@ -223,27 +236,55 @@ def _parts_question(buckets: int):
     return send
 
 
-def _ranks(_: int, payloads: list[bytes]) -> list[bytes]:
-    """For each name: 0 if it stands in one part only, else a rank that grows with how often it was sent."""
+def _by_part(payloads: list[bytes]) -> tuple:
+    """The entries (name, part, packs) of all payloads in order, and what puts answers back: per payload, compressed."""
     parts = [L.opened(p) for p in payloads]
     short, long = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     detail, weight = long & ~U64(1), 1 + (long & U64(1)).astype(np.int64)
     order = np.lexsort((detail, short))
-    s, d = short[order], detail[order]
+    stops = np.cumsum([len(p[0]) for p in parts])[:-1]
+
+    def back(told: np.ndarray) -> list[bytes]:
+        out = np.empty(len(told), np.uint8)
+        out[order] = told
+        return [zlib.compress(x.tobytes(), 1) for x in np.split(out, stops)]
+
+    return short[order], detail[order], weight[order], back
+
+
+def _ranks(_: int, payloads: list[bytes]) -> list[bytes]:
+    """For each name: 0 if it stands in one part only, else a rank that grows with how often it was sent."""
+    s, d, weight, back = _by_part(payloads)
     new = np.append(True, s[1:] != s[:-1])
     at = np.cumsum(new) - 1
-    kinds, often = np.bincount(at, new | np.append(True, d[1:] != d[:-1])), np.bincount(at, weight[order])
-    rank = np.where(kinds > 1, np.minimum(1 + 4 * np.log2(np.maximum(often, 1)), 255), 0).astype(np.uint8)
-    out = np.empty(len(s), np.uint8)
-    out[order] = rank[at]
-    return [zlib.compress(x.tobytes(), 1) for x in np.split(out, np.cumsum([len(p[0]) for p in parts])[:-1])]
+    kinds, often = np.bincount(at, new | np.append(True, d[1:] != d[:-1])), np.bincount(at, weight)
+    return back(np.where(kinds > 1, np.minimum(1 + 4 * np.log2(np.maximum(often, 1)), 255), 0).astype(np.uint8)[at])
 
 
-def _prefixes(percent: int, buckets: int):
-    """Of the sets that may have a partner in another part: the names of the prefix at the cheapest level.
+#: What a set hears about a key: only its own part has it; its part has it more often than any other; another part has.
+OWN, MAIN, OTHER = range(3)
 
-    The order of all prefixes: names that stand in one part only come first (they are no match for any other part),
-    then the others from rare to frequent. A set with fewer of the latter than a partner must share has no partner.
+
+def _mains(_: int, payloads: list[bytes]) -> list[bytes]:
+    s, d, weight, back = _by_part(payloads)
+    new = np.append(True, s[1:] != s[:-1])
+    new_part = new | np.append(True, d[1:] != d[:-1])
+    key, part = np.cumsum(new) - 1, np.cumsum(new_part) - 1
+    kinds, often = np.bincount(key, new_part), np.bincount(part, weight)
+    of = key[new_part]  # each part's key
+    main = np.zeros(len(often), bool)
+    order = np.lexsort((often, of))
+    main[order[np.append(of[order][1:] != of[order][:-1], True)]] = True
+    return back(np.where(kinds[key] == 1, OWN, np.where(main[part], MAIN, OTHER)).astype(np.uint8))
+
+
+def _border(percent: int, buckets: int):
+    """Packs of the sets that may have a partner in another part, with the longest prefixes they need.
+
+    The order of all prefixes: names that stand in one part only come first (they are no match for any other part, and
+    aren't stored), then the others from rare to frequent. A set with fewer of the latter than a partner must share has
+    no partner. A set's level is the cheapest: each match its prefix promises costs a joined row, and each candidate,
+    of which a higher level leaves fewer, as much as VERIFIED rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,48 +293,127 @@ def _prefixes(percent: int, buckets: int):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 p = SetPack(row["body"])
                 rank = L.joined(row["replies"])[p.entries(buckets).place]
-                across = np.bincount(p.owner, rank > 0, minlength=len(p.size)).astype(np.int64)
-                need = needed(p.size, percent)
-                use = np.flatnonzero((rank > 0) & (across >= need)[p.owner])
+                across = np.bincount(p.owner, rank > 0, minlength=len(p.held)).astype(np.int64)
+                need = needed(p.held, percent)
+                some = (across >= need) & (p.held > 0)
+                use = np.flatnonzero((rank > 0) & some[p.owner])
                 use = use[np.lexsort((p.name[use], rank[use], p.owner[use]))]
                 owner = p.owner[use]
-                left = np.bincount(owner, minlength=len(p.size))
+                left = np.bincount(owner, minlength=len(p.held))
                 place = np.arange(len(use)) - (np.cumsum(left) - left)[owner]
                 often = 2.0 ** ((rank[use].astype(float) - 1) / 4)
                 price = []
                 for level in LEVELS:
-                    inside = place < (across - need + matches(p.size, level))[owner]
-                    price.append(np.bincount(owner, often * inside, minlength=len(p.size)) / matches(p.size, level))
-                more = p.size * np.array(LEVELS)[np.argmin(price, axis=0)] // 100
+                    inside = place < (across - as_smaller(p.held, percent) + matches(p.held, level))[owner]
+                    price.append(np.bincount(owner, often * inside, minlength=len(p.held)) * (1 + VERIFIED / matches(p.held, level)))
+                more = p.held * np.array(LEVELS)[np.argmin(price, axis=0)] // 100
                 own = place < (across - need + more + 1)[owner]
-                use, owner, place = use[own], owner[own], place[own]
-                # as the smaller of a pair a set must share more, so that a shorter prefix will do
-                first = place < (across - as_smaller(p.size, percent) + more + 1)[owner]
-                columns = [p.rep[owner], p.part[owner], p.size[owner], across[owner], more[owner], p.name[use].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(first)], ["rep", "part", "n", "across", "more", "name", "first"])
+                if not own.any():
+                    continue
+                held = np.bincount(owner[own], minlength=len(p.held))[some]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.array(p.name[use[own]].view(np.int64)))
+                columns = [p.rep[some], p.part[some], p.held[some], across[some], more[some]]
+                yield _packed(pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), lists], ["rep", "part", "n", "across", "more", "names"]))
+
+    return run
+
+
+def size_classes(largest: int) -> np.ndarray:
+    """The least size of each class, up to beyond largest: sizes of one class differ by less than 12 hundredths."""
+    least = [1]
+    while least[-1] <= largest:
+        least.append(max(least[-1] + 1, least[-1] * 112 // 100))
+    return np.array(least)
+
+
+#: A row leads to larger partners, follows for smaller ones, or is for partners of just its size.
+LEADS, FOLLOWS, EQUAL = range(3)
+
+
+class Keys:
+    """The keys by which border sets meet: a name of the prefix, with the size class of the smaller of the pair.
+
+    The larger a partner must be, the more it must share and the shorter the prefix is. So a set's prefix as the larger
+    one has a length for each class of smaller partners, and another for those of its own size: sets that differ from
+    one common text each in other places, the usual case, then don't meet by the names that all of them share.
+    """
+
+    def __init__(self, p: SetPack, percent: int):
+        place = np.arange(len(p.name)) - (np.cumsum(p.held) - p.held)[p.owner]
+        room = (p.across + p.more)[p.owner] - place  # of a prefix for partners that must share fewer than this
+        n, need = p.n, needed(p.n, percent)
+        least = size_classes(int(n.max(initial=0)))
+        own = np.searchsorted(least, n, side="right") - 1
+        code = lambda at, c: mix(p.name[at] ^ mix(c[p.owner[at]].astype(U64) + U64(1 << 20)))
+        first = np.flatnonzero(room >= as_smaller(n, percent)[p.owner])
+        found = [(first, code(first, own), LEADS), (first, code(first, n + (1 << 32)), EQUAL)]
+        lowest = np.searchsorted(least, need, side="right") - 1
+        for back in range(int((own - lowest).max(initial=-1)) + 1):
+            k = np.maximum(own - back, 0)
+            smallest = np.maximum(least[k], need)
+            share = -(-percent * (smallest + n) // (100 + percent))
+            at = np.flatnonzero((room >= share[p.owner]) & ((own - back >= lowest) & (smallest < n))[p.owner])
+            found.append((at, code(at, k), FOLLOWS))
+        self.at = np.concatenate([f[0] for f in found])
+        self.key = np.concatenate([f[1] for f in found])
+        self.side = np.concatenate([np.full(len(f[0]), f[2], np.int8) for f in found])
+        self.owner, self.place, self.pack = p.owner[self.at], place[self.at], p
+
+    def entries(self, buckets: int) -> L.Entries:
+        return L.Entries(self.key, mix(self.pack.part[self.owner].view(U64)), np.zeros(len(self.key), bool), buckets)
+
+
+def _keys_question(percent: int, buckets: int):
+    def send(row: dict):
+        return Keys(SetPack(row["body"]), percent).entries(buckets).letters()
+
+    return send
+
+
+def _prefixes(percent: int, buckets: int):
+    """The rows of keys that more than one part has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                p = SetPack(row["body"])
+                keys = Keys(p, percent)
+                told = L.joined(row["replies"])[keys.entries(buckets).place]
+                use = np.flatnonzero(told != OWN)
+                o = keys.owner[use]
+                columns = [keys.key[use].view(np.int64), p.rep[o], p.part[o], p.n[o], p.across[o], p.more[o], keys.place[use]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(keys.side[use].astype(np.int32)), pa.array(told[use] == MAIN)], PREFIX_COLUMNS)
 
     return run
 
 
-def _across(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) of sets in different parts that may link: all of them, by prefixes. Of a pair, the lower level's matches are asked."""
+PREFIX_COLUMNS = ["name", "rep", "part", "n", "across", "more", "place", "side", "main"]
+
+
+def _across(sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (x, y) of sets in different parts that may link: all of them, by prefixes.
+
+    Of a pair, x is the smaller, and the lower level's matches are asked. A key's main part, the one that has it most
+    often, isn't held against itself: its sets meet only those of other parts.
+    """
     sets = sets.join(parts, sets["rep"] == parts["id"], "left").select("rep", F.coalesce("component", "rep").alias("part"), "names")
-    packs = written(sets.mapInArrow(_set_packs, "pack_id long, body binary"), "set_packs", compression="none")
-    buckets = L.bucket_count(packs)
+    packs = scratch.written(sets.mapInArrow(_set_packs, "pack_id long, body binary"), "set_packs", compression="none")
+    buckets = L.bucket_count(packs.sparkSession)
     replies = L.exchange(packs, _parts_question(buckets), _ranks, buckets)
-    some = L.asked(packs, replies, "replies").mapInArrow(_prefixes(percent, buckets), "rep long, part long, n long, across long, more long, name long, first boolean")
-    some = written(some, "prefixes")
-    a, b = (d.select("name", *[F.col(c).alias(f"{s}_{c}") for c in ("rep", "part", "n", "across", "more")]) for s, d in (("x", some.filter("first")), ("y", some)))
-    both = percent * (F.col("x_n") + F.col("y_n"))
-    # x is the smaller; a pair shares at most the names of either that stand in other parts
-    ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_rep") < F.col("y_rep")))
-    sized = ordered & (100 * F.col("x_n") >= percent * F.col("y_n")) & ((100 + percent) * F.least("x_across", "y_across") >= both) & (F.col("x_part") != F.col("y_part"))
-    pairs = a.join(b, "name").filter(sized).groupBy("x_rep", "y_rep", "x_n", "y_n", "x_more", "y_more").count()
-    # beyond the names shared in the prefixes, at most what one of the two has behind its own
-    rest = lambda c, d: F.ceil(percent * c * F.col(d[0]) / F.lit(d[1])) - F.col(d[2]) - 1
-    behind = F.greatest(rest(2, ("x_n", 100 + percent, "x_more")), rest(1, ("y_n", 100, "y_more")))
-    hold = (F.col("count") > F.least("x_more", "y_more")) & ((100 + percent) * (F.col("count") + behind) >= both)
-    return pairs.filter(hold).select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y"))
+    border = scratch.written(L.asked(packs, replies, "replies").mapInArrow(_border(percent, buckets), "pack_id long, body binary"), "border", compression="none")
+    replies = L.exchange(border, _keys_question(percent, buckets), _mains, buckets)
+    some = L.asked(border, replies, "replies").mapInArrow(_prefixes(percent, buckets), "name long, rep long, part long, n long, across long, more long, place long, side int, main boolean")
+    some = scratch.written(some, "prefixes")
+    side = lambda s, d, meets: d.select("name", meets.alias("meets"), *[F.col(c).alias(f"{s}_{c}") for c in PREFIX_COLUMNS[1:]])
+    x = side("x", some.filter(F.col("side") != FOLLOWS), F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    y = side("y", some.filter(F.col("side") != LEADS), F.col("main"))
+    ordered = F.when(F.col("x_side") == EQUAL, F.col("x_rep") < F.col("y_rep")).otherwise(F.col("x_n") < F.col("y_n"))
+    share = F.expr(f"({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent}")  # names that the two must have in common
+    inside = lambda s: F.col(f"{s}_place") <= F.col(f"{s}_across") + F.col(f"{s}_more") - share
+    may = ordered & (F.col("x_part") != F.col("y_part")) & (100 * F.col("x_n") >= percent * F.col("y_n")) & (F.least("x_across", "y_across") >= share) & inside("x") & inside("y")
+    pairs = x.join(y, ["name", "meets"]).filter(may).groupBy("x_rep", "y_rep", "x_more", "y_more").count()
+    return pairs.filter(F.col("count") > F.least("x_more", "y_more")).select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -310,18 +430,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     3. For sets in different components all pairs that adaptive prefixes allow are verified, in an order of names from
        rare to frequent. So no link is lost, and a group of very many near copies isn't expanded into its pairs.
     """
-    packs = L.packs_of(docs, id_col, text_col)
-    buckets = L.bucket_count(packs)
+    scratch = Scratch(docs.sparkSession)
+    packs = L.packs_of(docs, id_col, text_col, scratch)
+    buckets = L.bucket_count(packs.sparkSession)
     replies = L.exchange(packs, _question(words, percent, buckets), _answer(buckets), buckets)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = L.asked(packs, replies, "replies").mapInArrow(_heard(words, percent, buckets), f"doc_id {kind}, n long, rep long, score long, names array<bigint>")
-    rows = written(rows, "sets")
+    rows = scratch.written(rows, "sets")
     sets = rows.filter("names IS NOT NULL").select("rep", "score", "names")
-    links = written(_verified(_hubs(sets), sets, percent), "hub_links")
+    links = scratch.written(_verified(_hubs(sets, scratch), sets, percent), "hub_links")
     parts = components(links)
-    more = written(_verified(_across(sets, parts, percent), sets, percent), "more_links")
+    more = scratch.written(_verified(_across(sets, parts, percent, scratch), sets, percent), "more_links")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
-    joined = rows.join(written(parts, "components"), F.col("rep") == F.col("id"), "left")
     component = F.coalesce("component", "rep")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != NO_ID, component).alias("component_id"))
+    out = rows.drop("names").join(parts, F.col("rep") == F.col("id"), "left")
+    out = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != NO_ID, component).alias("component_id")), "near_copies")
+    scratch.remove()
+    return out

@@ -14,12 +14,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shuffle_partitions, written
+from tidemark.llm.common import Scratch, shuffle_partitions
 
-PACK_BYTES = 2 << 20
+PACK_BYTES, MOST_PACK_BYTES = 2 << 20, 64 << 20
 U64 = np.uint64
 
 
@@ -82,10 +82,16 @@ def _pack(pack_bytes: int):
     return run
 
 
-def packs_of(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def pack_size(spark: SparkSession) -> int:
+    """Bytes of text in a pack: more with more buckets, so that the letters (packs times buckets) stay in proportion to the input."""
+    return min(max(PACK_BYTES, 512 * bucket_count(spark)), MOST_PACK_BYTES)
+
+
+def packs_of(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """pack_id and body, stored: the ids and texts of docs, a null text as an empty one. The random pack ids are fixed by being stored."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(_pack(pack_bytes), "pack_id long, body binary"), "packs", compression="none")
+    packed = rows.mapInArrow(_pack(pack_size(docs.sparkSession)), "pack_id long, body binary")
+    return scratch.written(packed, "packs", compression="none")
 
 
 def unpacked(body: bytes) -> tuple[pa.Array, pa.LargeBinaryArray]:
@@ -93,9 +99,9 @@ def unpacked(body: bytes) -> tuple[pa.Array, pa.LargeBinaryArray]:
     return batch.column(0), batch.column(1)
 
 
-def bucket_count(packs: DataFrame) -> int:
-    """Twice the shuffle partitions, which follow the input where they are set to; at most 65,536."""
-    return min(65_536, 2 * shuffle_partitions(packs.sparkSession))
+def bucket_count(spark: SparkSession) -> int:
+    """Twice the shuffle partitions, which are to follow the input, so that a bucket's letters fit in a task."""
+    return 2 * shuffle_partitions(spark)
 
 
 class Entries:

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from tidemark.llm import letters as L
+from tidemark.llm.common import Scratch
 from tidemark.llm.letters import U64, mix
 
 ROUNDS = 6
@@ -186,20 +187,21 @@ def _dropped(window: int, buckets: int):
     return run
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept of each row: its words without those in a window that also starts elsewhere.
 
     Words are runs of other bytes than space and 0x09 to 0x0D; kept joins those left by one space. A null or empty text
     has no words. Repeated rows are repeats of each other; a text repeated within itself counts too. Columns other than
-    the two named are not looked at.
+    the two named are not looked at; an empty table gives an empty result. scratch: takes what is stored on the way,
+    for the caller to remove.
 
     First every document asks which of its units (windows that settle the same recompression symbol) share that
     symbol, with the words that settle it, with any other place; where they do, which are equal as a whole. Only
     windows of units that share their symbol with unequal ones, and windows that settle none (long runs), are then
     compared one by one, by fingerprints of 96 bits over words of 64.
     """
-    packs = L.packs_of(docs, id_col, text_col)
-    buckets = L.bucket_count(packs)
+    packs = L.packs_of(docs, id_col, text_col, scratch or Scratch(docs.sparkSession))
+    buckets = L.bucket_count(packs.sparkSession)
     units = L.exchange(packs, _first_question(window, buckets), L.unit_classes, buckets)
     packs = L.asked(packs, units, "units")
     windows = L.exchange(packs, _second_question(window, buckets), L.repeated, buckets)

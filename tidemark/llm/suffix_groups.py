@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import letters as L
+from tidemark.llm.common import Scratch
 from tidemark.llm.letters import U64, mix
 
 #: An anchor is a place whose next GRAM bytes hash under one in SPACING; windows within WIDE bytes before it are its unit.
@@ -336,7 +337,7 @@ def _dropped(window: int, buckets: int):
     return run
 
 
-def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of each row: its UTF-8 bytes without those in a window that also starts elsewhere.
 
     A null text counts as empty. Repeated rows are repeats of each other. Columns other than the two named are not looked at.
@@ -347,8 +348,8 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edge of a passage that very many documents hold) doesn't go to one bucket: its windows are compared one by one,
     spread by fingerprints of 96 bits, and so are windows with no anchor in reach.
     """
-    packs = L.packs_of(docs, id_col, text_col)
-    buckets = L.bucket_count(packs)
+    packs = L.packs_of(docs, id_col, text_col, scratch or Scratch(docs.sparkSession))
+    buckets = L.bucket_count(packs.sparkSession)
     units = L.exchange(packs, _first_question(window, buckets), L.unit_classes, buckets)
     packs = L.asked(packs, units, "units")
     windows = L.exchange(packs, _second_question(window, buckets), _second_answer(window, buckets), buckets)
