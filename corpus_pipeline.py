@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, jaccard_join, packing, quality, recompression
-from tidemark.llm.common import written
+from tidemark.llm.common import Scratch, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,8 +32,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text without the words of 35-word windows that also start elsewhere; a text that loses words is joined by single spaces, one that loses all goes."""
-    found = recompression.drop_repeats(docs).filter("n_removed > 0").select(F.col("doc_id").alias("id"), "kept")
+    scratch = Scratch(spark)
+    found = recompression.drop_repeats(docs, scratch=scratch).filter("n_removed > 0").select(F.col("doc_id").alias("id"), "kept")
     found = written(found, "shortened")
+    scratch.remove()
     out = docs.select(*COLUMNS).join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").withColumn("text", F.coalesce("kept", "text"))
     return out.filter("text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
