@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.params import SUPERSTARS
 from tidemark.functions.text import normal_name
 
 
@@ -63,23 +65,76 @@ def block_ratio(a: Column, b: Column) -> Column:
     return _udf(lambda x, y: SequenceMatcher(None, x, y).ratio())(a, b)
 
 
+def _length_class(length: Column, threshold: float) -> Column:
+    """Lengths whose ratio can reach threshold are in one class or in neighbouring ones."""
+    return F.floor(F.log(F.greatest(length, F.lit(1))) / math.log((200 - threshold) / threshold)).cast("int")
+
+
+def _fitting(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of a(a, ..) and b(b, ..) whose lengths let their ratio reach threshold, joined on classes of length."""
+    x = a.withColumn("__c", F.explode(F.sequence(_length_class(F.length("a"), threshold) - 1, _length_class(F.length("a"), threshold) + 1)))
+    y = b.withColumn("__c", _length_class(F.length("b"), threshold))
+    fits = 200 * F.least(F.length("a"), F.length("b")) >= threshold * (F.length("a") + F.length("b"))
+    return x.join(y, "__c").filter(fits).drop("__c")
+
+
+# Words of an institution's name.
+INSTITUTIONS = ("MUTUAL FUND", "CAPITAL", "SECURITIES", "HOLDINGS", "INVESTMENT", "ASSET MANAGEMENT", "FUND")
+
+
+def tracked_names(names: DataFrame, donors: DataFrame, stars: tuple[str, ...] = SUPERSTARS, star_score: float = 90.0, donor_score: float = 75.0) -> DataFrame:
+    """client, why of the tracked among names(client), each name once: 'superstar', 'institution' or 'donor' (of donors(name)), the first that holds.
+
+    An investor's name must be over star_score by the ratio of word sets, a donor's at least donor_score; donors are
+    compared as they are written, clients in capitals. Only names that are neither an investor's nor an institution's
+    are held against the donors: against those that share a word, and those of a length that lets the whole be alike.
+    """
+    upper = names.select("client").filter("client IS NOT NULL").distinct().withColumn("a", F.upper("client"))
+    best = _udf(lambda x, _: max((set_ratio(star, x) for star in stars), default=0.0))(F.col("a"), F.col("a"))
+    seen = upper.withColumn("why", F.when(best > star_score, "superstar").when(F.col("a").rlike("|".join(INSTITUTIONS)), "institution"))
+    rest = seen.filter("why IS NULL").select("client", "a")
+    register = donors.select(F.col("name").alias("b")).filter("b IS NOT NULL").distinct()
+    word = lambda d, c: d.withColumn("__w", F.explode(F.array_distinct(F.split(c, r"\s+")))).filter("__w <> ''")
+    near = word(rest, "a").join(word(register, "b"), "__w").select("client", "a", "b").unionByName(_fitting(rest, register, donor_score).select("client", "a", "b")).distinct()
+    given = near.filter(token_set_ratio(F.col("a"), F.col("b")) >= donor_score).select("client").distinct().withColumn("why", F.lit("donor"))
+    return seen.filter("why IS NOT NULL").select("client", "why").unionByName(given)
+
+
+def tender_winners(tenders: DataFrame, companies: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """tenders(tender_id, winner) with scrip_code, ratio: the company whose name, both without ' ltd' and ' limited', is most like the winner's.
+
+    A company of just that name needs no comparison; only other winners are held against the register, those of fitting
+    length. Of equals the smallest scrip_code.
+    """
+    clean = lambda c: F.trim(F.replace(F.replace(F.lower(c), F.lit(" ltd"), F.lit("")), F.lit(" limited"), F.lit("")))
+    won = tenders.select(clean(F.col("winner")).alias("a")).distinct()
+    register = companies.groupBy(clean(F.col("name")).alias("b")).agg(F.min("scrip_code").alias("scrip_code"))
+    exact = won.join(register, F.col("a") == F.col("b")).select("a", "scrip_code", F.lit(1.0).alias("ratio"))
+    near = _fitting(won.join(exact, "a", "left_anti"), register, 100 * threshold).withColumn("ratio", block_ratio(F.col("a"), F.col("b"))).filter(F.col("ratio") >= threshold)
+    best = near.groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "scrip_code")).alias("x")).select("a", "x.scrip_code", (-F.col("x.r")).alias("ratio"))
+    return tenders.withColumn("a", clean(F.col("winner"))).join(exact.unionByName(best), "a").drop("a")
+
+
 def best_match(left: DataFrame, right: DataFrame, threshold: float, measure=token_sort_ratio) -> DataFrame:
     """left_name, right_name, score: for each name of left(name) its best of right(name, weight) with at least threshold; of equals the heaviest, then first.
 
-    Pairs are bounded by length first (a ratio of t needs 200 * shorter >= t * both); right is a register of names, each
-    normalised name once, and is broadcast by Spark only under its size threshold.
+    Pairs are bounded by length first (a ratio of t needs 200 * shorter >= t * both), in a join on classes of length;
+    right is a register of names, each normalised name once. Names of fitting length all meet: the register has to stay one.
     """
     a = left.select(F.col("name").alias("left_name"), normal_name(F.col("name")).alias("a")).distinct()
     b = right.groupBy(normal_name(F.col("name")).alias("b")).agg(F.max_by("name", "weight").alias("right_name"), F.max("weight").alias("weight"))
-    near = (F.length("a") >= 3) & (F.length("b") >= 3) & (200 * F.least(F.length("a"), F.length("b")) >= threshold * (F.length("a") + F.length("b")))
-    pairs = a.join(b, near).withColumn("score", measure(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
+    long_enough = lambda d, c: d.filter(F.length(c) >= 3)
+    pairs = _fitting(long_enough(a, "a"), long_enough(b, "b"), threshold).withColumn("score", measure(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
     best = F.max(F.struct("score", "weight", "right_name")).alias("x")
     return pairs.groupBy("left_name").agg(best).select("left_name", "x.right_name", F.round("x.score", 4).alias("score"))
 
 
 def resolve(names: DataFrame, register: DataFrame, threshold: float = 92.0) -> DataFrame:
-    """name, match, how ('exact', 'fuzzy' or 'none'): exact on the normalised name first, the rest by similarity."""
-    reg = register.groupBy(normal_name(F.col("name")).alias("n")).agg(F.max_by("name", "weight").alias("match"))
+    """name, match, how ('exact', 'fuzzy' or 'none'): exact on the normalised name first, the rest by similarity.
+
+    Of register(name, weight, seq) names that are the same when normalised, the one with the last seq stands.
+    """
+    reg = register.groupBy(normal_name(F.col("name")).alias("n")).agg(F.max_by("name", "seq").alias("match"))
     tier = names.select("name", normal_name(F.col("name")).alias("n")).distinct().join(reg, "n", "left")
     rest = best_match(tier.filter("match IS NULL").select("name"), register, threshold)
     out = tier.join(rest.select(F.col("left_name").alias("name"), "right_name"), "name", "left")

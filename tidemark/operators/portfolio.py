@@ -44,3 +44,15 @@ def paper_trades(orders: DataFrame, cash: float = 100_000.0) -> DataFrame:
         q -> CAST(named_struct('cash', a.cash - q * x.price * 1.005D, 'log', array_append(a.log, CAST(named_struct('seq', x.seq, 'quantity', q,
         'spent', q * x.price * 1.005D, 'cash', a.cash - q * x.price * 1.005D) AS struct<seq:bigint,quantity:bigint,spent:double,cash:double>))) AS {state}))[0])[0]).log"""
     return rows.select("account", F.explode(F.expr(fold)).alias("x")).select("account", "x.seq", "x.quantity", F.round("x.spent", 2).alias("spent"), F.round("x.cash", 2).alias("cash"))
+
+
+def close_positions(positions: DataFrame) -> DataFrame:
+    """The history rows of positions(scrip_code, bought, buy_price, quantity, invested) sold at price on day, as a trade log has them.
+
+    The profit is what the sale brings after its costs, less what was invested; the history states no stamp duty, as that
+    was paid on buying. A position without a positive price isn't sold.
+    """
+    c = costs(F.col("price"), F.col("quantity"), F.lit(False))
+    sold = positions.filter("price > 0")
+    pnl = c["turnover"] - c["total"] - F.col("invested")
+    return sold.select("scrip_code", "bought", F.col("day").alias("sold"), "buy_price", c["executed"].alias("sell_price"), "quantity", c["stt"].alias("stt"), F.lit(0.0).alias("stamp"), c["txn"].alias("txn"), F.lit(DEPOSITORY).alias("dp"), pnl.alias("pnl"))

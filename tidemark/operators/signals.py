@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.params import DEFAULT, Params
+from tidemark.functions.params import DEFAULT, SUPERSTARS, Params
+from tidemark.operators.tables import last_rows
 
 
 def insider_flow(deals: DataFrame) -> DataFrame:
@@ -17,10 +18,12 @@ def insider_flow(deals: DataFrame) -> DataFrame:
 def insider_cluster(deals: DataFrame, whale: float = 100_000) -> DataFrame:
     """scrip_code, buyers, total_shares, top_buyers, is_cluster, is_whale of scrips with two net buyers or one whale.
 
-    top_buyers are the first three in order of arrival; a scrip's net buyers are as many as its clients.
+    top_buyers are the first three in order of arrival; only these are gathered.
     """
     buyers = insider_flow(deals).filter("net > 0")
-    first = buyers.groupBy("scrip_code").agg(F.count("client").alias("buyers"), F.sum("net").alias("total_shares"), F.slice(F.array_sort(F.collect_list(F.struct("first_seq", "client"))), 1, 3).alias("x"))
+    early = Window.partitionBy("scrip_code").orderBy("first_seq", "client")
+    three = buyers.withColumn("__k", F.row_number().over(early)).filter("__k <= 3").groupBy("scrip_code").agg(F.array_sort(F.collect_list(F.struct("first_seq", "client"))).alias("x"))
+    first = buyers.groupBy("scrip_code").agg(F.count("client").alias("buyers"), F.sum("net").alias("total_shares")).join(three, "scrip_code")
     out = first.select("scrip_code", "buyers", "total_shares", F.array_join(F.transform("x", lambda s: s["client"]), ",").alias("top_buyers"), (F.col("buyers") >= 2).alias("is_cluster"), (F.col("total_shares") >= whale).alias("is_whale"))
     return out.filter("is_cluster OR is_whale")
 
@@ -70,3 +73,31 @@ def words_match(a: Column, b: Column) -> Column:
     """Whether two names share a word or one holds the other, in any case; blanks match nothing."""
     x, y = F.lower(a), F.lower(b)
     return (x != "") & (y != "") & (F.arrays_overlap(F.split(x, r"\s+"), F.split(y, r"\s+")) | F.contains(x, y) | F.contains(y, x))
+
+
+def sector_in_niche(sector: Column, niche: Column) -> Column:
+    """Whether one holds the other, or the niche holds a word of the sector, in any case."""
+    x, y = F.lower(sector), F.lower(niche)
+    return F.contains(y, x) | F.contains(x, y) | F.exists(F.filter(F.split(x, r"\s+"), lambda w: w != ""), lambda w: F.contains(y, w))
+
+
+def bears_tracked_name(investor: Column, names: tuple[str, ...] = SUPERSTARS) -> Column:
+    """Whether a holder's name has a tracked investor's in it, in any case."""
+    return F.upper(investor).rlike("|".join(names))
+
+
+def new_entries(holdings: DataFrame, last: int = 5, names: tuple[str, ...] = SUPERSTARS) -> DataFrame:
+    """scrip_code of scrips among whose last holdings (by quarter, then seq) a tracked investor's is new."""
+    rows = last_rows(holdings, "scrip_code", [F.desc("quarter_date"), F.desc("seq")], last)
+    return rows.filter(F.col("is_new") & bears_tracked_name(F.col("investor"), names)).select("scrip_code").distinct()
+
+
+def tracked_buys(deals: DataFrame, tracked: DataFrame, last: int = 50) -> DataFrame:
+    """scrip_code of scrips among whose last purchases (the newest by seq) one is by a client of tracked(client)."""
+    rows = last_rows(deals.filter("side = 'BUY'"), "scrip_code", [F.desc("seq")], last)
+    return rows.join(tracked, "client", "left_semi").select("scrip_code").distinct()
+
+
+def connected(matches: DataFrame, connections: DataFrame, threshold: float) -> DataFrame:
+    """The matches (with scrip_code) of companies whose best connection scores threshold or more, with that score."""
+    return matches.join(connections.filter(F.col("score") >= threshold).select("scrip_code", "score"), "scrip_code")

@@ -95,6 +95,6 @@ def walk_forward_gbt(rows: DataFrame, features: list[str], label: str, k: int =
     return out
 
 
-def sampled(rows: DataFrame, key: str | Column, n: int, seed: int = 7) -> DataFrame:
+def sampled(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """n rows in the order of a hash of the key: the same on every run."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

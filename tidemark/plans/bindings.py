@@ -38,9 +38,36 @@ VIEWS = {
                CASE l_returnflag WHEN 'N' THEN 'BUY' WHEN 'R' THEN 'SELL' ELSE 'OTHER' END AS side, l_linestatus = 'O' AS at_market,
                c_mktsegment = 'HOUSEHOLD' AS is_promoter, l_quantity AS quantity, l_extendedprice AS price, l_discount * 100 AS pct
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
+    # some clients bear a tracked investor's name, its words in another order, or an institution's
+    "bulk_deals": """
+        SELECT seq, scrip_code, deal_date, side, quantity, price,
+               CASE seq % 97 WHEN 0 THEN 'Kacholia Ashish' WHEN 1 THEN 'Vijay Kedia' WHEN 2 THEN 'Sunrise Mutual Fund' WHEN 3 THEN 'dolly khanna huf' ELSE client END AS client
+        FROM deals""",
+    "holdings": """
+        SELECT l_orderkey * 10 + l_linenumber AS seq, CAST(l_suppkey AS STRING) AS scrip_code, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quarter_date,
+               CASE l_orderkey % 11 WHEN 0 THEN 'Sunil Singhania & others' WHEN 1 THEN 'VIJAY KEDIA' ELSE concat('Holder ', CAST(l_orderkey % 11 AS STRING)) END AS investor,
+               l_linenumber = 1 AS is_new, l_discount * 100 AS holding_pct
+        FROM lineitem""",
+    "niches": """
+        SELECT scrip_code, name, in_watchlist, lower(concat(region, ' ', sector)) AS niche, CASE WHEN CAST(scrip_code AS INT) % 9 = 0 THEN '' ELSE cin END AS cin FROM companies""",
+    "pledges": """
+        SELECT l_orderkey * 10 + l_linenumber AS seq, CAST(l_suppkey AS STRING) AS scrip_code, CAST(l_shipdate AS DATE) AS pledge_date,
+               CASE l_returnflag WHEN 'R' THEN 'Released' ELSE 'Created' END AS action, l_quantity AS pct_change, l_discount * 300 AS pledged
+        FROM lineitem""",
+    "tenders": """
+        SELECT o_orderkey AS tender_id, CASE WHEN s_suppkey % 3 = 0 THEN concat('Q', CAST(o_orderkey AS STRING), ' zz') WHEN o_orderkey % 2 = 0 THEN concat(s_name, ' Ltd') ELSE concat(upper(s_name), ' Limited') END AS winner,
+               o_totalprice AS value, CAST(o_orderdate AS DATE) AS awarded, o_orderstatus = 'F' AS processed
+        FROM orders JOIN supplier ON s_suppkey = o_custkey""",
+    "donors": """
+        SELECT o_orderkey AS seq, c_name AS donor_name, CASE o_orderkey % 13 WHEN 0 THEN NULL ELSE o_orderpriority END AS trust_name, CAST(year(o_orderdate) AS INT) AS donated,
+               o_orderstatus AS source, o_totalprice AS amount, c_mktsegment AS party, CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE concat('D', CAST(o_custkey AS STRING)) END AS donor_cin
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "held": """
+        SELECT CAST(l_suppkey AS STRING) AS scrip_code, max(l_quantity) / 50 AS alpha_score, max(CAST(l_shipdate AS DATE)) AS alert_date
+        FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey""",
 }
 #: The order in which views build on each other.
-NEEDS = {"prices": ("ticks",), "benchmark_prices": ("ticks",)}
+NEEDS = {"prices": ("ticks",), "benchmark_prices": ("ticks",), "bulk_deals": ("deals",), "niches": ("companies",)}
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
 

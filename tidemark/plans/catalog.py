@@ -14,6 +14,8 @@ from tidemark.plans.bindings import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: The module that each query is in.
+HOME: dict[str, str] = {}
 AS_OF = "2001-08-01"
 YEAR = 2001
 
@@ -23,6 +25,7 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()):
 
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        HOME[f.__name__] = f.__module__
         if sql is not None:
             SQL[f.__name__] = with_views(sql, *views) if views else sql.strip()
         return f
@@ -168,9 +171,13 @@ def donors_filtered(t):
     return t.donations.filter("donated >= 1999 AND amount >= 200000").select("id", "donor", "amount")
 
 
-@query(f"SELECT p_partkey, p_type FROM part WHERE regexp_matches(lower(p_name || ' ' || p_type), '({'|'.join(SECTOR_KEYWORDS)}|steel|copper|brass)')")
+LINES = [(0, "Solar Modules"), (1, "Rail Equipment & Metro"), (2, "Paints"), (3, "Smart Meters"), (4, "Water Supply"), (5, "Sugar")]
+
+
+@query(f"SELECT p_partkey, p_type FROM part JOIN {_literal(LINES, 'k, line')} ON k = p_partkey % 6 WHERE regexp_matches(lower(line || ' ' || p_type), '({'|'.join(SECTOR_KEYWORDS)})')")
 def sector_keywords(t):
-    return t.part.filter(F.lower(F.concat_ws(" ", "p_name", "p_type")).rlike(f"({'|'.join(SECTOR_KEYWORDS)}|steel|copper|brass)")).select("p_partkey", "p_type")
+    named = t.part.join(F.broadcast(_values(t, LINES, "k long, line string")), F.col("k") == F.col("p_partkey") % 6)
+    return named.filter(F.lower(F.concat_ws(" ", "line", "p_type")).rlike(f"({'|'.join(SECTOR_KEYWORDS)})")).select("p_partkey", "p_type")
 
 
 @query(f"SELECT scrip_code, count(*) AS n FROM announcements WHERE is_contract AND event_date >= DATE '{AS_OF}' - 365 * 3 GROUP BY scrip_code HAVING count(*) >= 1", ("announcements",))
@@ -254,7 +261,7 @@ def bulk_last50(t):
     return tables.last_rows(t.deals.filter("side = 'BUY'"), "scrip_code", order, 50).groupBy("scrip_code").agg(F.count("seq").alias("n"), F.round(F.sum("quantity"), 2).alias("quantity"))
 
 
-@query()
+@query("SELECT scrip_code, name FROM companies WHERE NOT in_watchlist ORDER BY md5('7' || scrip_code), scrip_code LIMIT 10", ("companies",))
 def control_sample(t):
     return stats.sampled(t.companies.filter("NOT in_watchlist"), "scrip_code", 10).select("scrip_code", "name")
 
@@ -327,15 +334,20 @@ TITLES = [
 TITLE_ROWS = [(i, x) for i, x in enumerate(TITLES)]
 
 
+#: Every order announces one of the titles.
+TITLED = f"(SELECT o_orderkey AS id, title FROM orders JOIN {_literal(TITLE_ROWS, 'k, title')} ON k = o_orderkey % {len(TITLES)})"
+
+
 def _titles(t):
-    return _values(t, TITLE_ROWS, "id long, title string")
+    told = F.broadcast(_values(t, TITLE_ROWS, "k long, title string"))
+    return t.orders.select(F.col("o_orderkey").alias("id")).join(told, F.col("k") == F.col("id") % len(TITLES)).select("id", "title")
 
 
 def _re(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-@query(f"SELECT id::BIGINT AS id, CASE WHEN regexp_matches(title, '{_re(EXCLUDED)}') THEN NULL WHEN regexp_matches(title, '{_re(CONTRACT)}') THEN 'contract' WHEN regexp_matches(title, '{_re(BOARD_CHANGE)}') THEN 'board_change' END AS kind FROM {_literal(TITLE_ROWS, 'id, title')}")
+@query(f"SELECT id::BIGINT AS id, CASE WHEN regexp_matches(title, '{_re(EXCLUDED)}') THEN NULL WHEN regexp_matches(title, '{_re(CONTRACT)}') THEN 'contract' WHEN regexp_matches(title, '{_re(BOARD_CHANGE)}') THEN 'board_change' END AS kind FROM {TITLED}")
 def classify_titles(t):
     return _titles(t).select("id", X.announcement_kind(F.col("title")).alias("kind"))
 
@@ -344,7 +356,7 @@ VALUE = r"(?i)(?:rs\.?|inr|₹)\s*([\d,.]+)\s*(crore|cr|million|billion)?"
 
 
 @query(
-    f"""WITH x AS (SELECT id, title, try_cast(replace(nullif(regexp_extract(title, '{VALUE}', 1), ''), ',', '') AS DOUBLE) AS v, lower(regexp_extract(title, '{VALUE}', 2)) AS u FROM {_literal(TITLE_ROWS, "id, title")})
+    f"""WITH x AS (SELECT id, title, try_cast(replace(nullif(regexp_extract(title, '{VALUE}', 1), ''), ',', '') AS DOUBLE) AS v, lower(regexp_extract(title, '{VALUE}', 2)) AS u FROM {TITLED})
 SELECT id::BIGINT AS id, round(CASE u WHEN 'million' THEN v / 10 WHEN 'billion' THEN v * 100 WHEN '' THEN v / 1e7 ELSE v END, 6) AS value_cr,
 CASE WHEN contains(lower(coalesce(title, '')), 'karnataka') THEN 'karnataka' WHEN regexp_matches(lower(coalesce(title, '')), 'nhai|railway|defense|ministry|central') THEN 'central' ELSE 'unknown' END AS state FROM x"""
 )
@@ -356,21 +368,32 @@ AMOUNTS = [(i, x) for i, x in enumerate(["5.2 Crore", "52.5 Cr", "1 crore", "10
 NUM = r"(\d[\d,]*(?:\.\d+)?)"
 
 
+def _each(rows: list[tuple]) -> str:
+    """Every order with one of the texts."""
+    return f"(SELECT o_orderkey AS id, x FROM orders JOIN {_literal(rows, 'k, x')} ON k = o_orderkey % {len(rows)})"
+
+
+def _texts(t, rows: list[tuple]) -> DataFrame:
+    told = F.broadcast(_values(t, rows, "k long, x string"))
+    return t.orders.select(F.col("o_orderkey").alias("id")).join(told, F.col("k") == F.col("id") % len(rows)).select("id", "x")
+
+
+
 @query(
-    f"""WITH x AS (SELECT id, trim(replace(a, '₹', '')) AS a FROM {_literal(AMOUNTS, "id, a")})
+    f"""WITH x AS (SELECT id, trim(replace(x, '₹', '')) AS a FROM {_each(AMOUNTS)})
 SELECT id::BIGINT AS id, round(coalesce(try_cast(replace(nullif(regexp_extract(a, '(?i){NUM}\\s*(?:cr(?:ore)?|crores?)', 1), ''), ',', '') AS DOUBLE) * 1e7,
 try_cast(replace(nullif(regexp_extract(a, '(?i){NUM}\\s*(?:lakhs?|lac)', 1), ''), ',', '') AS DOUBLE) * 1e5, try_cast(replace(nullif(regexp_extract(a, '([\\d,]+(?:\\.\\d+)?)', 1), ''), ',', '') AS DOUBLE)), 2) AS rupees FROM x"""
 )
 def parse_amounts(t):
-    return _values(t, AMOUNTS, "id long, a string").select("id", F.round(X.rupees(F.col("a")), 2).alias("rupees"))
+    return _texts(t, AMOUNTS).select("id", F.round(X.rupees(F.col("x")), 2).alias("rupees"))
 
 
 BONDS = [(0, "12-Apr-19"), (1, "03-Oct-23"), (2, "2024-01-15"), (3, "Q3-21"), (4, "n/a"), (5, None)]
 
 
-@query(f"SELECT id::BIGINT AS id, coalesce(year(try_strptime(d, '%d-%b-%y')), try_cast(nullif(regexp_extract(d, '(20\\d{{2}})', 1), '') AS INT), 2000 + try_cast(nullif(regexp_extract(d, '-(\\d{{2}})$', 1), '') AS INT), 2023)::INT AS year FROM {_literal(BONDS, 'id, d')}")
+@query(f"SELECT id::BIGINT AS id, coalesce(year(try_strptime(x, '%d-%b-%y')), try_cast(nullif(regexp_extract(x, '(20\\d{{2}})', 1), '') AS INT), 2000 + try_cast(nullif(regexp_extract(x, '-(\\d{{2}})$', 1), '') AS INT), 2023)::INT AS year FROM {_each(BONDS)}")
 def bond_year(t):
-    return _values(t, BONDS, "id long, d string").select("id", X.bond_year(F.col("d")).alias("year"))
+    return _texts(t, BONDS).select("id", X.bond_year(F.col("x")).alias("year"))
 
 
 @query(f"SELECT p_partkey, {NORMAL.format('p_name')} AS norm FROM part")
@@ -592,7 +615,7 @@ def win_rate(t):
 WELCH = "(var_samp(excess) FILTER (linked)) / count(*) FILTER (linked)", "(var_samp(excess) FILTER (NOT linked)) / count(*) FILTER (NOT linked)"
 
 
-@query(f"WITH {LINKED}, {RET}{BM}, x AS (SELECT days, excess, coalesce(linked, false) AS linked FROM ex LEFT JOIN link USING (scrip_code)) SELECT days, count(*) FILTER (linked) AS n1, count(*) FILTER (NOT linked) AS n0, round((avg(excess) FILTER (linked) - avg(excess) FILTER (NOT linked)) / sqrt({WELCH[0]} + {WELCH[1]}), 3) AS t FROM x GROUP BY 1", G_)
+@query(f"WITH {LINKED}, {RET}{BM}, x AS (SELECT days, excess, coalesce(linked, false) AS linked FROM ex LEFT JOIN link USING (scrip_code)) SELECT days, count(*) FILTER (linked) AS n1, count(*) FILTER (NOT linked) AS n0, CASE WHEN count(*) FILTER (linked) < 2 OR count(*) FILTER (NOT linked) < 2 OR NOT coalesce({WELCH[0]} + {WELCH[1]} > 0, false) THEN 0 ELSE round((avg(excess) FILTER (linked) - avg(excess) FILTER (NOT linked)) / sqrt({WELCH[0]} + {WELCH[1]}), 3) END::DOUBLE AS t FROM x GROUP BY 1", G_)
 def return_ttest(t):
     rows = _excess(t).join(_linked(t), "scrip_code", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     return stats.welch(rows, "days", "linked", "excess").select("days", "n1", "n0", F.round("t", 3).alias("t"))
@@ -799,9 +822,9 @@ def ratcliff_match(t):
     return pairs.select("a", "b", F.round(entity.block_ratio(F.col("a"), F.col("b")), 4).alias("score")).filter("score >= 0.6")
 
 
-@query()
+@query("SELECT DISTINCT p_name || ' Ltd.' AS name, p_name AS match, 'exact' AS how FROM part")
 def resolve_names(t):
-    register = t.part.groupBy(F.col("p_name").alias("name")).agg(F.sum("p_retailprice").alias("weight"))
+    register = t.part.groupBy(F.col("p_name").alias("name")).agg(F.sum("p_retailprice").alias("weight"), F.max("p_partkey").alias("seq"))
     return entity.resolve(t.part.select(F.concat("p_name", F.lit(" Ltd.")).alias("name")).distinct(), register)
 
 

@@ -42,12 +42,39 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return df.filter(F.upper("series") == "EQ") if "series" in df.columns else df
 
 
-def announcements(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages of announcements: objects with a Table array, or arrays themselves."""
+def announcements(spark: SparkSession, path: str, as_of: Column | None = None, lookback_days: int | None = None) -> DataFrame:
+    """Landed pages of announcements: objects with a Table array, or arrays themselves; of the last lookback_days up to as_of, where given.
+
+    A daily poll reads the newest pages with a short lookback, a backfill all pages with one of five years.
+    """
     item = "array<struct<SCRIP_CD:string,NEWSSUB:string,NEWS_DT:string,CATEGORYNAME:string>>"
     raw = spark.read.text(path, wholetext=True)
     rows = raw.select(F.explode(F.coalesce(F.from_json("value", f"struct<Table:{item}>")["Table"], F.from_json("value", item))).alias("x"))
-    return rows.select(F.col("x.SCRIP_CD").alias("scrip_code"), F.col("x.NEWSSUB").alias("title"), F.try_to_timestamp("x.NEWS_DT").cast("date").alias("event_date"), F.col("x.CATEGORYNAME").alias("category"))
+    out = rows.select(F.col("x.SCRIP_CD").alias("scrip_code"), F.col("x.NEWSSUB").alias("title"), F.try_to_timestamp("x.NEWS_DT").cast("date").alias("event_date"), F.col("x.CATEGORYNAME").alias("category"))
+    return out if lookback_days is None else out.filter(F.col("event_date").between(F.date_sub(as_of, lookback_days), as_of))
+
+
+def company_headers(rows: DataFrame, text: str = "json") -> DataFrame:
+    """rows with scrip_code, sector, industry, igroup, isub of a company's header as JSON: the new industry, or else the old; headers without a code go."""
+    fields = ("SecurityCode", "Sector", "IndustryNew", "Industry", "IGroup", "ISubGroup")
+    x = F.from_json(text, ", ".join(f"{f} string" for f in fields))
+    head = rows.withColumn("__x", x).filter(F.coalesce("__x.SecurityCode", F.lit("")) != "")
+    industry = F.coalesce(F.nullif("__x.IndustryNew", F.lit("")), F.nullif("__x.Industry", F.lit("")))
+    return head.select(*rows.columns, F.col("__x.SecurityCode").alias("scrip_code"), F.col("__x.Sector").alias("sector"), industry.alias("industry"), F.col("__x.IGroup").alias("igroup"), F.col("__x.ISubGroup").alias("isub"))
+
+
+# Where a page states an exchange's code of six digits.
+CODE_LINK, CODE_TEXT, CODE_QUOTE = r"bseindia\.com/stock-share-price/[^/]+/[^/]+/(\d{6})/?", r"BSE:\s*(\d{6})", r"href='[^']*?/(\d{6})/'"
+
+
+def scrip_code_of_page(html: Column) -> Column:
+    """The code in a company page's link to the exchange, or else in its text; null without one."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (CODE_LINK, CODE_TEXT)])
+
+
+def scrip_code_of_search(html: Column) -> Column:
+    """The code in the first link of a quote search's answer; null without one."""
+    return F.nullif(F.regexp_extract(html, CODE_QUOTE, 1), F.lit(""))
 
 
 def bond_purchases(spark: SparkSession, path: str) -> DataFrame:
@@ -74,9 +101,9 @@ def disclosures(spark: SparkSession, *paths: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.json(p) for p in paths])
 
 
-def ranked(sources: list[DataFrame], key: str) -> DataFrame:
-    """The rows of the first source that has a key, key by key."""
-    out = sources[0]
+def ranked(sources: list[DataFrame], key: str, fresh: DataFrame | None = None) -> DataFrame:
+    """The rows of the first source that has a key, key by key. fresh: keys for which the first source, a cache, is recent enough to be asked."""
+    out = sources[0] if fresh is None else sources[0].join(fresh.select(key).distinct(), key, "left_semi")
     for s in sources[1:]:
         out = out.unionByName(s.join(out.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
     return out
@@ -116,18 +143,82 @@ def html_rows(html: pd.Series) -> pd.Series:
     return html.map(parse)
 
 
-def directors(pages: DataFrame, html: str = "html") -> DataFrame:
-    """din, name, designation from pages with a table whose header names them; numbers of 7 or 8 digits, padded to 8."""
+def directors(pages: DataFrame, html: str = "html", current: bool = False) -> DataFrame:
+    """din, name, designation from pages with a table whose header names them; numbers of 7 or 8 digits, padded to 8.
+
+    current: only rows whose end date is '-' or blank, where the header has such a column.
+    """
     rows = pages.withColumn("__rows", html_rows(F.col(html))).withColumn("__head", F.transform(F.try_element_at(F.filter("__rows", lambda r: F.exists(r, lambda c: F.upper(c).contains("DIN"))), F.lit(1)), F.upper)).filter("__head IS NOT NULL")
 
     def at(word: str) -> Column:
         return F.array_position(F.transform("__head", lambda c: c.contains(word)), True).cast("int") - 1
 
-    cells = rows.select(at("DIN").alias("d"), at("NAME").alias("n"), at("DESIGNATION").alias("g"), F.explode("__rows").alias("r"))
+    end = F.array_position(F.transform("__head", lambda c: c.contains("END") & c.contains("DATE")), True).cast("int") - 1
+    cells = rows.select(at("DIN").alias("d"), at("NAME").alias("n"), at("DESIGNATION").alias("g"), end.alias("e"), F.explode("__rows").alias("r"))
+    if current:
+        cells = cells.filter(F.coalesce(F.get("r", F.col("e")), F.lit("-")).isin("-", ""))
     din = F.get("r", F.col("d"))
     return cells.filter(din.rlike(r"^\d{7,8}$")).select(F.lpad(din, 8, "0").alias("din"), F.initcap(F.get("r", F.col("n"))).alias("name"), F.get("r", F.col("g")).alias("designation"))
 
 
+def director_records(rows: DataFrame, text: str = "json") -> DataFrame:
+    """din, name, designation of an open-data answer's records; field names in small letters or capitals, numbers of 7 or 8 digits, padded to 8."""
+    records = rows.select(F.explode(F.from_json(text, "records array<map<string,string>>")["records"]).alias("r"))
+    pick = lambda c, d: F.coalesce(F.try_element_at("r", F.lit(c)), F.try_element_at("r", F.lit(c.upper())), F.lit(d))
+    out = records.select(pick("din", "").alias("din"), pick("director_name", "Unknown").alias("name"), pick("designation", "").alias("designation"))
+    return out.filter(F.col("din").rlike(r"^\d{7,8}$")).select(F.lpad("din", 8, "0").alias("din"), F.initcap("name").alias("name"), "designation")
+
+
+def price_bars(wanted: DataFrame, bars: DataFrame, suffixes: tuple[str, str] = (".NS", ".BO"), least: int = 50) -> DataFrame:
+    """scrip_code, trade_date, close of wanted(scrip_code, symbol): the bars of ticker symbol + first suffix, or else of scrip_code + the second.
+
+    A code that starts with ^ is an index, whose ticker is the code itself. Series of fewer than least bars go.
+    """
+    code, symbol = F.col("scrip_code"), F.col("symbol")
+    tickers = F.when(code.startswith("^"), F.array(code)).otherwise(F.array(F.concat(symbol, F.lit(suffixes[0])), F.concat(code, F.lit(suffixes[1]))))
+    asked = wanted.select("scrip_code", F.posexplode(tickers).alias("rank", "ticker")).filter("ticker IS NOT NULL")
+    sizes = asked.join(bars.groupBy("ticker").agg(F.count("close").alias("n")), "ticker")
+    best = sizes.groupBy("scrip_code").agg(F.min(F.struct("rank", "ticker", "n")).alias("x")).filter(F.col("x.n") >= least)
+    return bars.join(best.select("scrip_code", F.col("x.ticker").alias("ticker")), "ticker").select("scrip_code", "trade_date", "close")
+
+
+def operating_cash_flow(lines: DataFrame) -> DataFrame:
+    """scrip_code, ocf of lines(scrip_code, line, label, period, value): the newest period of the first line whose label has 'operating' and 'cash'."""
+    own = lines.filter(F.lower("label").contains("operating") & F.lower("label").contains("cash"))
+    first = own.groupBy("scrip_code").agg(F.min("line").alias("line"))
+    return own.join(first, ["scrip_code", "line"]).groupBy("scrip_code").agg(F.max_by("value", "period").alias("ocf"))
+
+
+def fear(index: DataFrame, level: float = 22.0, default: float = 15.0) -> DataFrame:
+    """One row vix, is_high_fear: the last close of index(trade_date, close), or the default without rows."""
+    vix = F.coalesce(F.max_by("close", "trade_date"), F.lit(default))
+    return index.agg(vix.alias("vix")).select("vix", (F.col("vix") > level).alias("is_high_fear"))
+
+
+def node_link_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """vertices (id, kind) and edges (src, dst, kind) of a graph in node-link JSON."""
+    shape = "nodes array<struct<id:string,node_type:string>>, links array<struct<source:string,target:string,edge_type:string>>"
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("g"))
+    vertices = raw.select(F.explode("g.nodes").alias("x")).select("x.id", F.col("x.node_type").alias("kind"))
+    return vertices, raw.select(F.explode("g.links").alias("x")).select(F.col("x.source").alias("src"), F.col("x.target").alias("dst"), F.col("x.edge_type").alias("kind"))
+
+
+def exit_commands(messages: DataFrame, chat: str) -> DataFrame:
+    """scrip_code of each '/exit <code>' in messages(chat, text) of one chat."""
+    own = messages.filter((F.col("chat") == chat) & F.lower(F.trim("text")).startswith("/exit"))
+    return own.select(F.try_element_at(F.split(F.trim("text"), r"\s+"), F.lit(2)).alias("scrip_code")).filter("scrip_code IS NOT NULL")
+
+
+def gated(sources: list[DataFrame], least: tuple[int, ...]) -> DataFrame:
+    """The sources in turn until there are enough rows: source i + 1 is taken only if those before have fewer than least[i]."""
+    out = sources[0]
+    for source, n in zip(sources[1:], least, strict=True):
+        if out.limit(n).count() >= n:
+            break
+        out = out.unionByName(source, allowMissingColumns=True)
+    return out
+
+
 def first_amounts(rows: Column, least: float = 10_000.0) -> Column:
     """Of a report's row: its first text of over 5 characters and its first amount over least, or null."""
     text = F.try_element_at(F.filter(rows, lambda c: (F.length(c) > 5) & rupees(c).isNull()), F.lit(1))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.landing import landing_dir
+
 
 def landed(spark: SparkSession, folder: str, table: str, per_batch: int = 100) -> DataFrame:
     """A stream over the Parquet files of a table; the schema is that of what has landed."""
@@ -26,8 +26,7 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
 
 def daily_counts(spark: SparkSession, folder: str) -> DataFrame:
     """day, event_type, n over the events table, read as a stream, without repeats, and counted from what it wrote."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    home = f"{base.rstrip('/')}/tidemark-stream-{uuid.uuid4().hex}"
+    home = landing_dir(spark, "stream")
     drained(unique_events(landed(spark, folder, "events"), ["event_id"], late="3650 days").select("event_id", "ts", "event_type"), f"{home}/out", f"{home}/state")
     rows = spark.read.schema("event_id long, ts timestamp, event_type string").parquet(f"{home}/out")
     return rows.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("event_id").alias("n"))
