@@ -34,7 +34,7 @@ def connections(company_boards, donor_boards, donations, directors, as_of_year:
     """
     edges = last_donations(donations)
     recent = edges.groupBy("donor").agg(F.max(F.when(F.col("donated") >= as_of_year - params.max_years, F.col("amount"))).alias("amount"), F.min_by("trust", "first_id").alias("trust"))
-    recent = recent.filter(F.col("amount") >= params.min_donation).join(F.broadcast(trust_parties(donations)), "trust")
+    recent = recent.filter(F.col("amount") >= params.min_donation).join(trust_parties(donations), "trust")
     tier = F.lit(params.tier_floor)
     for least, value in reversed(params.tiers):
         tier = F.when(F.col("amount") >= least, value).otherwise(tier)
@@ -50,8 +50,8 @@ def connections(company_boards, donor_boards, donations, directors, as_of_year:
 
 def top_connections(rows: DataFrame) -> DataFrame:
     """Each company's best connection; of equals the smallest director, then donor."""
-    best = F.max(F.struct("score", (-F.col("din")).alias("d"), (-F.col("donor")).alias("o"), "seats", "amount")).alias("x")
-    return rows.groupBy("scrip_code").agg(best).select("scrip_code", (-F.col("x.d")).alias("din"), (-F.col("x.o")).alias("donor"), "x.seats", "x.amount", "x.score")
+    best = F.max(F.struct("score", (-F.col("din")).alias("d"), (-F.col("donor")).alias("o"), "seats", "amount", "party")).alias("x")
+    return rows.groupBy("scrip_code").agg(best).select("scrip_code", (-F.col("x.d")).alias("din"), (-F.col("x.o")).alias("donor"), "x.seats", "x.amount", "x.party", "x.score")
 
 
 def paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
@@ -101,7 +101,10 @@ def pruned(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def director_overlap(companies, company_boards, donor_boards, donations) -> DataFrame:
-    """scrip_code, din, donor, n_donations, total_amount, total_seats: directors of a company who sit with a donor."""
-    given = donations.groupBy("donor").agg(F.count("id").alias("n_donations"), F.sum("amount").alias("total_amount"))
+    """scrip_code, din, donor, n_donations, total_amount, donated, total_seats: directors of a company who sit with a donor other than the company itself.
+
+    donated is the list of the donor's donations (id, amount); total_seats counts all of the director's boards.
+    """
+    given = donations.groupBy("donor").agg(F.count("id").alias("n_donations"), F.sum("amount").alias("total_amount"), F.array_sort(F.collect_list(F.struct("id", "amount"))).alias("donated"))
     seats = board_seats(company_boards, donor_boards).withColumnRenamed("seats", "total_seats")
-    return company_boards.join(companies.select("scrip_code"), "scrip_code").join(donor_boards, "din").join(given, "donor").join(seats, "din").select("scrip_code", "din", "donor", "n_donations", F.round("total_amount", 2).alias("total_amount"), "total_seats")
+    return company_boards.join(companies.select("scrip_code"), "scrip_code").join(donor_boards, "din").filter(F.col("donor").cast("string") != F.col("scrip_code")).join(given, "donor").join(seats, "din").select("scrip_code", "din", "donor", "n_donations", F.round("total_amount", 2).alias("total_amount"), "donated", "total_seats")

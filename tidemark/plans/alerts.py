@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.params import STAR, SUPERSTARS
+from tidemark.functions.params import STAR
 from tidemark.operators import entity, graph, signals
-from tidemark.plans.catalog import CHAIN, CONNECTIONS, TOP, _connections, _literal, _values, query
+from tidemark.plans.catalog import CHAIN, CONNECTIONS, NEW, STAR_NAMES, TOP, TRACKED, TRACKED_BUYS, _connections, _literal, _tracked, _values, query
 
 LEAST = STAR.alpha_threshold
 
@@ -17,42 +17,21 @@ def _top(t):
 
 # --- tracked investors -----------------------------------------------------------------------------------------------
 
-#: Of whole words only, which is what the ratio of word sets comes to for the names of the views.
-TRACKED = f"""stars AS (SELECT string_split(n, ' ') AS w FROM {_literal([(x,) for x in SUPERSTARS], "n")}), clients AS (SELECT DISTINCT client FROM bulk_deals),
-tr AS (SELECT client, CASE WHEN EXISTS (SELECT 1 FROM stars WHERE list_has_all(string_split(upper(client), ' '), w)) THEN 'superstar'
-  WHEN regexp_matches(upper(client), 'MUTUAL FUND|CAPITAL|SECURITIES|HOLDINGS|INVESTMENT|ASSET MANAGEMENT|FUND') THEN 'institution' END AS why FROM clients)"""
-
-
-def _tracked(t):
-    return entity.tracked_names(t.bulk_deals.select("client"), t.nation.select(F.col("n_name").alias("name")))
-
-
 @query(f"WITH {TRACKED} SELECT client, why FROM tr WHERE why IS NOT NULL", ("bulk_deals",))
 def tracked_clients(t):
     return _tracked(t)
 
 
-TRACKED_BUYS = f"""{TRACKED}, lastb AS (SELECT scrip_code, client FROM (SELECT *, row_number() OVER (PARTITION BY scrip_code ORDER BY seq DESC) AS k FROM bulk_deals WHERE side = 'BUY') WHERE k <= 50),
-tb AS (SELECT DISTINCT scrip_code FROM lastb JOIN tr USING (client) WHERE why IS NOT NULL)"""
-
-
 @query(f"WITH {TRACKED_BUYS} SELECT scrip_code FROM tb", ("bulk_deals",))
 def tracked_recent_buy(t):
     return signals.tracked_buys(t.bulk_deals, _tracked(t))
 
 
-STAR_NAMES = "|".join(SUPERSTARS)
-
-
 @query(f"SELECT seq, scrip_code, investor, round(holding_pct, 4) AS holding_pct FROM holdings WHERE regexp_matches(upper(investor), '{STAR_NAMES}')", ("holdings",))
 def tracked_holdings(t):
     return t.holdings.filter(signals.bears_tracked_name(F.col("investor"))).select("seq", "scrip_code", "investor", F.round("holding_pct", 4).alias("holding_pct"))
 
 
-NEW = f"""ne AS (SELECT DISTINCT scrip_code FROM (SELECT *, row_number() OVER (PARTITION BY scrip_code ORDER BY quarter_date DESC, seq DESC) AS k FROM holdings)
-  WHERE k <= 5 AND is_new AND regexp_matches(upper(investor), '{STAR_NAMES}'))"""
-
-
 @query(f"WITH {NEW} SELECT scrip_code FROM ne", ("holdings",))
 def superstar_new_entry(t):
     return signals.new_entries(t.holdings)

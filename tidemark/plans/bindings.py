@@ -62,6 +62,9 @@ VIEWS = {
         SELECT o_orderkey AS seq, c_name AS donor_name, CASE o_orderkey % 13 WHEN 0 THEN NULL ELSE o_orderpriority END AS trust_name, CAST(year(o_orderdate) AS INT) AS donated,
                o_orderstatus AS source, o_totalprice AS amount, c_mktsegment AS party, CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE concat('D', CAST(o_custkey AS STRING)) END AS donor_cin
         FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "fundamentals": """
+        SELECT CAST(s_suppkey AS STRING) AS scrip_code, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE (s_suppkey % 40) / 6.0 END AS de, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS ocf
+        FROM supplier""",
     "held": """
         SELECT CAST(l_suppkey AS STRING) AS scrip_code, max(l_quantity) / 50 AS alpha_score, max(CAST(l_shipdate AS DATE)) AS alert_date
         FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey""",

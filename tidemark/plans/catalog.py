@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.functions.params import BOARD_CHANGE, CONTRACT, EXCLUDED, SECTOR_KEYWORDS, STAR
+from tidemark.functions.params import BOARD_CHANGE, CONTRACT, EXCLUDED, SECTOR_KEYWORDS, STAR, SUPERSTARS
 from tidemark.operators import entity, events, graph, indicators, portfolio, signals, stats, tables
 from tidemark.plans.bindings import Tables, with_views
+from tidemark.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,7 +71,7 @@ conn AS (
            * CASE WHEN is_bureaucrat THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN s.party IS NOT NULL THEN 1.5::DOUBLE ELSE 1 END, 3) AS score
   FROM company_boards b JOIN donor_boards d USING (din) JOIN given g USING (donor) JOIN parties p USING (trust)
   JOIN seats USING (din) JOIN directors r USING (din) LEFT JOIN soon s ON s.party = p.party WHERE amount >= 100000)"""
-TOP = """, top AS (SELECT scrip_code, din, donor, seats, amount, score FROM (
+TOP = """, top AS (SELECT scrip_code, din, donor, seats, amount, party, score FROM (
   SELECT *, row_number() OVER (PARTITION BY scrip_code ORDER BY score DESC, din, donor) AS k FROM conn) WHERE k = 1)"""
 
 
@@ -126,13 +127,14 @@ def graph_paths(t):
 
 
 @query(
-    """WITH g AS (SELECT donor, count(*) AS n_donations, sum(amount) AS total FROM donations GROUP BY donor),
+    """WITH g AS (SELECT donor, count(*) AS n_donations, sum(amount) AS total, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM donations GROUP BY donor),
 s AS (SELECT din, count(*) AS total_seats FROM (SELECT din, 'c' || scrip_code FROM company_boards UNION SELECT din, 'd' || donor FROM donor_boards) GROUP BY din)
-SELECT scrip_code, din, donor, n_donations, round(total, 2) AS total_amount, total_seats FROM company_boards JOIN donor_boards USING (din) JOIN g USING (donor) JOIN s USING (din)""",
+SELECT scrip_code, din, donor, n_donations, round(total, 2) AS total_amount, ids, total_seats FROM company_boards JOIN donor_boards USING (din) JOIN g USING (donor) JOIN s USING (din) WHERE donor::VARCHAR <> scrip_code""",
     CHAIN,
 )
 def director_overlap(t):
-    return graph.director_overlap(t.companies, t.company_boards, t.donor_boards, t.donations)
+    rows = graph.director_overlap(t.companies, t.company_boards, t.donor_boards, t.donations)
+    return rows.withColumn("ids", F.array_join(F.transform("donated", lambda d: d["id"].cast("string")), ",")).drop("donated")
 
 
 # --- the relational core ---------------------------------------------------------------------------------------------
@@ -676,26 +678,48 @@ def niche_match(t):
     return F.broadcast(_values(t, NICHES, "id long, niche string")).join(t.companies, signals.words_match(F.col("niche"), F.col("sector"))).select("id", "scrip_code")
 
 
-FEAT = f"""{LINKED}, {TECH}, {FLOW}, {PLEDGE},
+#: Of whole words only, which is what the ratio of word sets comes to for the names of the views.
+TRACKED = f"""stars AS (SELECT string_split(n, ' ') AS w FROM {_literal([(x,) for x in SUPERSTARS], "n")}), clients AS (SELECT DISTINCT client FROM bulk_deals),
+tr AS (SELECT client, CASE WHEN EXISTS (SELECT 1 FROM stars WHERE list_has_all(string_split(upper(client), ' '), w)) THEN 'superstar'
+  WHEN regexp_matches(upper(client), 'MUTUAL FUND|CAPITAL|SECURITIES|HOLDINGS|INVESTMENT|ASSET MANAGEMENT|FUND') THEN 'institution' END AS why FROM clients)"""
+TRACKED_BUYS = f"""{TRACKED}, lastb AS (SELECT scrip_code, client FROM (SELECT *, row_number() OVER (PARTITION BY scrip_code ORDER BY seq DESC) AS k FROM bulk_deals WHERE side = 'BUY') WHERE k <= 50),
+tb AS (SELECT DISTINCT scrip_code FROM lastb JOIN tr USING (client) WHERE why IS NOT NULL)"""
+STAR_NAMES = "|".join(SUPERSTARS)
+NEW = f"""ne AS (SELECT DISTINCT scrip_code FROM (SELECT *, row_number() OVER (PARTITION BY scrip_code ORDER BY quarter_date DESC, seq DESC) AS k FROM holdings)
+  WHERE k <= 5 AND is_new AND regexp_matches(upper(investor), '{STAR_NAMES}'))"""
+
+
+def _tracked(t):
+    return entity.tracked_names(t.bulk_deals.select("client"), t.nation.select(F.col("n_name").alias("name")))
+
+
+FEAT = f"""{LINKED}, {TECH}, {FLOW}, {TRACKED_BUYS}, {NEW},
 mt AS (SELECT scrip_code, max(value) AS value FROM announcements WHERE is_contract GROUP BY 1), bb AS (SELECT scrip_code, max(value) AS value FROM announcements WHERE is_board_change GROUP BY 1),
 acq AS (SELECT DISTINCT scrip_code FROM deals WHERE side = 'BUY' AND at_market AND NOT is_promoter AND (pct IS NULL OR pct >= 5)),
-q AS (SELECT c.scrip_code, market_cap, CASE WHEN market_cap > 0 THEN mt.value / market_cap * 100 END AS m, CASE WHEN market_cap > 0 THEN bb.value / market_cap * 100 END AS b, top.score, coalesce(is_cluster, false) AS cl, acq.scrip_code IS NOT NULL AS ac, ta_adjustment AS ta, pledged * 3 AS pledged, region <> 'AFRICA' AS rm, c.scrip_code::INT % 4 = 0 AS bulk, c.scrip_code::INT % 5 = 0 AS ss
-  FROM companies c LEFT JOIN mt USING (scrip_code) LEFT JOIN bb USING (scrip_code) LEFT JOIN top USING (scrip_code) LEFT JOIN cl USING (scrip_code) LEFT JOIN acq USING (scrip_code) LEFT JOIN tech USING (scrip_code) LEFT JOIN pl USING (scrip_code)),
-cv AS (SELECT scrip_code, market_cap, score, CASE WHEN NOT rm OR pledged >= 25 THEN 0 ELSE CASE WHEN m >= 5 THEN 2.0 ELSE 0 END + CASE WHEN b >= 2 THEN 1.5 ELSE 0 END + CASE WHEN score > 0 THEN 0.5 ELSE 0 END + CASE WHEN cl THEN 2 ELSE 0 END + CASE WHEN ac THEN 2 ELSE 0 END + CASE WHEN bulk THEN 1.5 ELSE 0 END + CASE WHEN ss THEN 1 ELSE 0 END + coalesce(ta, 0) END::DOUBLE AS conviction,
-  CASE WHEN NOT rm THEN 'stopped:regional' WHEN pledged >= 25 THEN 'stopped:pledge' ELSE concat_ws(',', CASE WHEN m >= 5 THEN 'contract' END, CASE WHEN b >= 2 THEN 'buyback' END, CASE WHEN score > 0 THEN 'connection' END, CASE WHEN cl THEN 'cluster' END, CASE WHEN ac THEN 'acquirer' END, CASE WHEN bulk THEN 'bulk' END, CASE WHEN ss THEN 'superstar' END, CASE WHEN ta <> 0 THEN 'technical' END) END AS breakdown FROM q)"""
-F_ = ("companies", *CHAIN, "announcements", "prices", "deals")
+vx AS (SELECT coalesce(arg_max(close, trade_date) % 9 + 12, 15) AS vix FROM benchmark_prices),
+lp AS (SELECT scrip_code, pledged FROM (SELECT *, row_number() OVER (PARTITION BY scrip_code ORDER BY pledge_date DESC, seq DESC) AS k FROM pledges) WHERE k = 1),
+q AS (SELECT c.scrip_code, market_cap, vix, CASE WHEN market_cap > 0 THEN mt.value / market_cap * 100 END AS m, CASE WHEN market_cap > 0 THEN bb.value / market_cap * 100 END AS b, top.score, coalesce(is_cluster, false) AS cl, acq.scrip_code IS NOT NULL AS ac, ta_adjustment AS ta, lp.pledged, top.party IS NULL OR region NOT IN (SELECT s FROM {_literal(STATE_PARTIES, 's, w')}) OR EXISTS (SELECT 1 FROM {_literal(STATE_PARTIES, 's, w')} WHERE s = region AND contains(lower(top.party), w)) AS rm, tb.scrip_code IS NOT NULL AS bulk, ne.scrip_code IS NOT NULL AS ss
+  FROM companies c CROSS JOIN vx LEFT JOIN lp USING (scrip_code) LEFT JOIN tb USING (scrip_code) LEFT JOIN ne USING (scrip_code) LEFT JOIN mt USING (scrip_code) LEFT JOIN bb USING (scrip_code) LEFT JOIN top USING (scrip_code) LEFT JOIN cl USING (scrip_code) LEFT JOIN acq USING (scrip_code) LEFT JOIN tech USING (scrip_code)),
+cv AS (SELECT scrip_code, market_cap, score, CASE WHEN NOT rm OR vix > 22 OR pledged >= 25 THEN 0 ELSE CASE WHEN m >= 5 THEN 2.0 ELSE 0 END + CASE WHEN b >= 2 THEN 1.5 ELSE 0 END + CASE WHEN score > 0 THEN 0.5 ELSE 0 END + CASE WHEN cl THEN 2 ELSE 0 END + CASE WHEN ac THEN 2 ELSE 0 END + CASE WHEN bulk THEN 1.5 ELSE 0 END + CASE WHEN ss THEN 1 ELSE 0 END + coalesce(ta, 0) END::DOUBLE AS conviction,
+  CASE WHEN NOT rm THEN 'stopped:regional' WHEN vix > 22 THEN 'stopped:fear' WHEN pledged >= 25 THEN 'stopped:pledge' ELSE concat_ws(',', CASE WHEN m >= 5 THEN 'contract' END, CASE WHEN b >= 2 THEN 'buyback' END, CASE WHEN score > 0 THEN 'connection' END, CASE WHEN cl THEN 'cluster' END, CASE WHEN ac THEN 'acquirer' END, CASE WHEN bulk THEN 'bulk' END, CASE WHEN ss THEN 'superstar' END, CASE WHEN ta <> 0 THEN 'technical' END) END AS breakdown FROM q)"""
+F_ = ("companies", *CHAIN, "announcements", "prices", "deals", "bulk_deals", "holdings", "pledges", "benchmark_prices")
 
 
 def _convictions(t):
-    best = lambda c, name: t.announcements.filter(c).groupBy("scrip_code").agg(F.max("value").alias(name))
-    k = F.col("scrip_code").cast("int")
-    rows = t.companies.join(best("is_contract", "won"), "scrip_code", "left").join(best("is_board_change", "back"), "scrip_code", "left")
-    rows = rows.join(graph.top_connections(_connections(t)).select("scrip_code", F.col("score").alias("alpha_score")), "scrip_code", "left")
+    value = lambda c, name: F.max(F.when(F.col(c), F.col("value"))).alias(name)
+    rows = t.companies.join(t.announcements.groupBy("scrip_code").agg(value("is_contract", "won"), value("is_board_change", "back")), "scrip_code", "left")
+    rows = rows.join(graph.top_connections(_connections(t)).select("scrip_code", "party", F.col("score").alias("alpha_score")), "scrip_code", "left")
     rows = rows.join(signals.insider_cluster(t.deals).select("scrip_code", "is_cluster"), "scrip_code", "left")
     rows = rows.join(signals.external_acquirers(t.deals).select("scrip_code", F.lit(True).alias("is_acquired")), "scrip_code", "left")
+    rows = rows.join(signals.tracked_buys(t.bulk_deals, _tracked(t)).withColumn("has_bulk_buy", F.lit(True)), "scrip_code", "left")
+    rows = rows.join(signals.new_entries(t.holdings).withColumn("has_superstar", F.lit(True)), "scrip_code", "left")
     rows = rows.join(indicators.technical_score(t.prices).select("scrip_code", "ta_adjustment"), "scrip_code", "left")
-    rows = rows.join(signals.latest_pledge(t.deals).select("scrip_code", (F.col("pledged") * 3).alias("pledged")), "scrip_code", "left")
-    rows = rows.withColumns({"materiality_pct": signals.materiality(F.col("won"), F.col("market_cap")), "buyback_pct": signals.materiality(F.col("back"), F.col("market_cap")), "has_bulk_buy": k % 4 == 0, "has_superstar": k % 5 == 0, "is_regional_match": F.col("region") != "AFRICA", "vix": F.lit(15.0)})
+    rows = rows.join(t.pledges.groupBy("scrip_code").agg(F.max_by("pledged", F.struct("pledge_date", "seq")).alias("pledged")), "scrip_code", "left")
+    rules = _values(t, STATE_PARTIES, "s string, w string").groupBy("s").agg(F.collect_list("w").alias("tokens"))
+    rows = rows.join(F.broadcast(rules), F.col("s") == F.col("region"), "left")
+    fits = F.col("party").isNull() | F.col("tokens").isNull() | F.exists("tokens", lambda w: F.contains(F.lower("party"), w))
+    rows = rows.crossJoin(F.broadcast(readers.fear(t.benchmark_prices.select("trade_date", (F.col("close") % 9 + 12).alias("close"))).select("vix")))
+    rows = rows.withColumns({"materiality_pct": signals.materiality(F.col("won"), F.col("market_cap")), "buyback_pct": signals.materiality(F.col("back"), F.col("market_cap")), "is_regional_match": fits})
     return signals.conviction(rows)
 
 
@@ -704,9 +728,10 @@ def conviction(t):
     return _convictions(t).select("scrip_code", "conviction", "breakdown")
 
 
-@query(f"WITH {FEAT} SELECT a.id, scrip_code, event_date, conviction FROM announcements a JOIN cv USING (scrip_code) WHERE is_contract AND score IS NOT NULL AND conviction >= 4 AND market_cap >= 0", F_)
+@query(f"WITH {FEAT} SELECT a.id, scrip_code, event_date, conviction FROM announcements a JOIN cv USING (scrip_code) JOIN niches n USING (scrip_code) JOIN fundamentals f USING (scrip_code) WHERE is_contract AND score IS NOT NULL AND conviction >= 4 AND cin <> '' AND NOT (coalesce(de > 5, false) OR coalesce(ocf < 0, false) OR (de IS NULL AND ocf IS NULL))", (*F_, "niches", "fundamentals"))
 def contract_alerts(t):
-    rows = _convictions(t).filter((F.col("conviction") >= 4) & F.col("alpha_score").isNotNull() & (F.col("market_cap") >= 0)).select("scrip_code", "conviction")
+    sound = t.fundamentals.filter(signals.fundamentals_pass(F.col("de"), F.col("ocf"))[0]).join(t.niches.filter("cin <> ''"), "scrip_code", "left_semi").select("scrip_code")
+    rows = _convictions(t).filter((F.col("conviction") >= 4) & F.col("alpha_score").isNotNull()).join(sound, "scrip_code", "left_semi").select("scrip_code", "conviction")
     return t.announcements.filter("is_contract").join(rows, "scrip_code").select("id", "scrip_code", "event_date", "conviction")
 
 
