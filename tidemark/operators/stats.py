@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def t_tail(t: float, df: float) -> float:
@@ -36,13 +37,13 @@ def t_tail(t: float, df: float) -> float:
     return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided, of a t statistic; 1 without degrees of freedom. A row per test, so Python costs nothing here."""
     return pd.Series([1.0 if pd.isna(a) or pd.isna(b) else t_tail(float(a), float(b)) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_critical(df: pd.Series, level: pd.Series) -> pd.Series:
     """The t that is exceeded, on either side, with probability level; by bisection."""
 
