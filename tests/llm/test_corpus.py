@@ -286,7 +286,7 @@ def test_lines_without_spaces(spark):
     got = {r.doc_id for r in line_dedup.repeated_lines(table(spark, docs)).collect()}
     assert got == {len(unlike) + 1}
     q = line_dedup.SHINGLE
-    lines = spark.createDataFrame([(i, t) for i, t in docs], "id long, line string").select("id", F.size(line_dedup.shingles(F.col("line"))).alias("n"))
+    lines = spark.createDataFrame([(i, t) for i, t in docs], "id long, line string").select("id", F.size(line_dedup.shingles(line_dedup.code_points(F.col("line")))).alias("n"))
     assert {r.id: r.n for r in lines.collect()} == {i: len({t[k : k + q] for k in range(max(1, len(t) - q + 1))}) for i, t in docs}
 
 

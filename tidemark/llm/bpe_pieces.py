@@ -23,6 +23,7 @@ class MergeVocabulary:
     """A merge-type SentencePiece model: pieces with scores, byte fallback, no normalisation beyond spaces."""
 
     def __init__(self, model_file: str):
+        self.differing = 0  # chunks for which the library said otherwise
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
         pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -144,8 +145,11 @@ class MergeVocabulary:
         back = [b"".join([table[i] for i in ids]) for ids in coded]
         held = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " "]  # the library puts the first space itself
         right = self.sp.encode([texts[i][1:] for i in held], num_threads=1)
-        if right != [coded[i] for i in held] or (held and self.sp.decode(right, num_threads=1) != [back[i][1:].decode() for i in held]):
-            raise ValueError("the agenda and the library differ on a chunk of this batch")
+        said = self.sp.decode(right, num_threads=1) if held else []
+        for i, ids, text in zip(held, right, said, strict=True):
+            if ids != coded[i] or text.encode() != back[i][1:]:  # the library's word stands
+                coded[i], back[i] = ids, b" " + text.encode()
+                self.differing += 1
         return [(b"".join([decimal[i] for i in ids]), len(ids), chunk if text == chunk else text) for ids, text, chunk in zip(coded, back, chunks, strict=True)]
 
 

@@ -28,7 +28,7 @@ def text_part(text: Column) -> Column:
 
 def _visit(part: Column) -> Column:
     kind = F.coalesce(part["type"], F.lit("text"))
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>")))
+    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), F.when(kind.isin(*EXPANDED), kind).otherwise("other"), F.lit("|>")))
 
 
 def _expanded(part: Column) -> Column:
@@ -46,10 +46,12 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     attachments with the turn's place and whose token counts add up in expanded_tokens. loss_spans has (start, length)
     in code points of formatted, for each text of the role train_on. Null roles and texts count as empty; a null
     conversation id is a conversation of its own; rows with an equal turn are ordered by role and text; repeated rows
-    stay. Only the named columns are looked at. Unknown part types are placeholders of no tokens.
+    stay. Only the named columns are looked at; an empty table gives an empty result. A part of an unknown type is the
+    placeholder <|other|> of no tokens, so that no type can forge a control string; its type stands in attachments. A
+    null part or null array of parts counts as an empty text. A conversation is one row, so it has to fit in a task.
     """
     parts = text_part(F.col("text")) if parts is None else parts
-    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), parts.alias("parts"))
+    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(parts, text_part(F.lit(""))).alias("parts"))
     rows = rows.select("conv_id", "turn", "role", F.array_join(F.transform("parts", _visit), "").alias("body"), F.filter("parts", lambda p: F.coalesce(p["type"], F.lit("text")) != "text").alias("media"))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))
     rows = rows.withColumn("head", head).withColumn("segment", F.concat("head", "body", F.lit(END)))

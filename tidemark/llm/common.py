@@ -49,10 +49,15 @@ class Scratch:
         df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs: it does so once the driver's garbage is collected."""
+        self.spark._jvm.System.gc()
+
     def remove(self) -> None:
         """Delete all that was written; only for when no lazy table reads it any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.release()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

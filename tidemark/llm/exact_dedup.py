@@ -31,10 +31,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mine = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     out = ["doc_id", "keep_id", F.col("n").alias("group_size"), mine.alias("kept"), "text_sha256"]
     single, many = held.filter("n = 1").select(*out), held.filter("n > 1")
-    keepers = many.filter(mine).groupBy(F.col("h").alias("kh")).agg(F.first("norm").alias("keeper"))
+    # stored too, so that the rows of a hot group can be split in this join
+    keepers = written(many.filter(mine).groupBy(F.col("h").alias("kh")).agg(F.first("norm").alias("keeper")), "keepers")
     # the rows of a hash group that aren't its keeper's bytes: none, unless two texts share all 128 bits
     other = many.join(keepers, F.col("h") == F.col("kh")).filter("norm <> keeper").select("doc_id", "h", "norm", "text_sha256")
     other = written(other, "collisions")
+    if other.isEmpty():
+        return single.unionByName(many.select(*out))
     anew = other.groupBy("h", "norm").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     regrouped = other.join(anew, ["h", "norm"])
     taken = other.groupBy("h").agg(F.count(F.lit(1)).alias("gone"))

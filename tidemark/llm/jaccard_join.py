@@ -26,6 +26,8 @@ FIRST_CUT, LEVELS = 15, (0, 5, 15)
 SKETCH = 16
 #: The price of a candidate, in rows of the join that finds candidates.
 VERIFIED = 2
+#: A border set's commonest names, by which it finds its second hub.
+COMMON = 4
 #: Names in a pack of sets.
 SET_PACK = 1 << 19
 
@@ -279,7 +281,7 @@ def _mains(_: int, payloads: list[bytes]) -> list[bytes]:
 
 
 def _border(percent: int, buckets: int):
-    """Packs of the sets that may have a partner in another part, with the longest prefixes they need.
+    """The sets that may have a partner in another part, with the longest prefixes they need, and the names they share with most sets.
 
     The order of all prefixes: names that stand in one part only come first (they are no match for any other part, and
     aren't stored), then the others from rare to frequent. A set with fewer of the latter than a partner must share has
@@ -308,12 +310,9 @@ def _border(percent: int, buckets: int):
                     price.append(np.bincount(owner, often * inside, minlength=len(p.held)) * (1 + VERIFIED / matches(p.held, level)))
                 more = p.held * np.array(LEVELS)[np.argmin(price, axis=0)] // 100
                 own = place < (across - need + more + 1)[owner]
-                if not own.any():
-                    continue
-                held = np.bincount(owner[own], minlength=len(p.held))[some]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.array(p.name[use[own]].view(np.int64)))
+                lists = lambda which: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner[which], minlength=len(p.held))[some])), pa.int32()), pa.array(p.name[use[which]].view(np.int64)))
                 columns = [p.rep[some], p.part[some], p.held[some], across[some], more[some]]
-                yield _packed(pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), lists], ["rep", "part", "n", "across", "more", "names"]))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), lists(place >= (across - COMMON)[owner]), lists(own)], ["rep", "part", "n", "across", "more", "common", "names"])
 
     return run
 
@@ -391,17 +390,37 @@ def _prefixes(percent: int, buckets: int):
 PREFIX_COLUMNS = ["name", "rep", "part", "n", "across", "more", "place", "side", "main"]
 
 
-def _across(sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (x, y) of sets in different parts that may link: all of them, by prefixes.
+def _second_hubs(border: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, y): y is, of the sets that lead the border sets with one of x's commonest names, the one most of those names lead to, if it's in another part.
 
-    Of a pair, x is the smaller, and the lower level's matches are asked. A key's main part, the one that has it most
+    The set that has most of its names in other parts leads: the text that others were made from, rather than one of
+    them. Sets that are alike with it, but not with the hub they were held against first, so join its part at once.
+    """
+    held = border.select("rep", "part", F.floor(1000 * F.col("across") / F.col("n")).alias("score"), F.explode("common").alias("name"))
+    lead = held.groupBy("name").agg(F.max(F.struct("score", (-F.col("rep")).alias("back"), "part")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    lead = scratch.written(lead.select("name", (-F.col("lead.back")).alias("hub"), F.col("lead.part").alias("hub_part")), "second_hubs")
+    seen = held.join(lead, "name").filter("part <> hub_part").groupBy("rep", "hub").count()
+    best = seen.groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("back"))).alias("best"))
+    return best.select(F.col("rep").alias("x"), (-F.col("best.back")).alias("y"))
+
+
+def _across(sets: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The pairs (x, y) of sets in different parts that may link, all of them, by prefixes; and the links between parts found on the way.
+
+    The parts are the components of links, and of those with a second hub for the sets at the border of parts. Of a pair, x is the smaller, and the lower level's matches are asked. A key's main part, the one that has it most
     often, isn't held against itself: its sets meet only those of other parts.
     """
-    sets = sets.join(parts, sets["rep"] == parts["id"], "left").select("rep", F.coalesce("component", "rep").alias("part"), "names")
-    packs = scratch.written(sets.mapInArrow(_set_packs, "pack_id long, body binary"), "set_packs", compression="none")
+    parts = components(links)
+    placed = sets.join(parts, sets["rep"] == parts["id"], "left").select("rep", F.coalesce("component", "rep").alias("part"), "names")
+    packs = scratch.written(placed.mapInArrow(_set_packs, "pack_id long, body binary"), "set_packs", compression="none")
     buckets = L.bucket_count(packs.sparkSession)
     replies = L.exchange(packs, _parts_question(buckets), _ranks, buckets)
-    border = scratch.written(L.asked(packs, replies, "replies").mapInArrow(_border(percent, buckets), "pack_id long, body binary"), "border", compression="none")
+    shape = "rep long, part long, n long, across long, more long, common array<bigint>, names array<bigint>"
+    border = scratch.written(L.asked(packs, replies, "replies").mapInArrow(_border(percent, buckets), shape), "border")
+    found = scratch.written(_verified(_second_hubs(border, scratch), sets, percent), "second_links")
+    parts = components(links.unionByName(found))
+    joined = border.drop("part", "common").join(parts, border["rep"] == parts["id"], "left").withColumn("part", F.coalesce("component", "rep")).drop("id", "component")
+    border = scratch.written(joined.mapInArrow(_set_packs, "pack_id long, body binary"), "border_packs", compression="none")
     replies = L.exchange(border, _keys_question(percent, buckets), _mains, buckets)
     some = L.asked(border, replies, "replies").mapInArrow(_prefixes(percent, buckets), "name long, rep long, part long, n long, across long, more long, place long, side int, main boolean")
     some = scratch.written(some, "prefixes")
@@ -413,7 +432,7 @@ def _across(sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch) -
     inside = lambda s: F.col(f"{s}_place") <= F.col(f"{s}_across") + F.col(f"{s}_more") - share
     may = ordered & (F.col("x_part") != F.col("y_part")) & (100 * F.col("x_n") >= percent * F.col("y_n")) & (F.least("x_across", "y_across") >= share) & inside("x") & inside("y")
     pairs = x.join(y, ["name", "meets"]).filter(may).groupBy("x_rep", "y_rep", "x_more", "y_more").count()
-    return pairs.filter(F.col("count") > F.least("x_more", "y_more")).select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y"))
+    return pairs.filter(F.col("count") > F.least("x_more", "y_more")).select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y")), found
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -426,7 +445,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. Every set's names are in hash order, and the prefix in which a partner must share FIRST_CUT hundredths of its size
        is asked about: sets with too few shared names have no partner. Equal sets get one representative.
-    2. Each representative left is held against one other, its hub; links are put together to components.
+    2. Each representative left is held against one other, its hub; links are put together to components. Sets that may
+       still have a partner elsewhere are held against a second hub.
     3. For sets in different components all pairs that adaptive prefixes allow are verified, in an order of names from
        rare to frequent. So no link is lost, and a group of very many near copies isn't expanded into its pairs.
     """
@@ -439,10 +459,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = scratch.written(rows, "sets")
     sets = rows.filter("names IS NOT NULL").select("rep", "score", "names")
     links = scratch.written(_verified(_hubs(sets, scratch), sets, percent), "hub_links")
-    parts = components(links)
-    more = scratch.written(_verified(_across(sets, parts, percent, scratch), sets, percent), "more_links")
-    if not more.isEmpty():
-        parts = components(links.unionByName(more))
+    pairs, found = _across(sets, links, percent, scratch)
+    more = scratch.written(_verified(pairs, sets, percent), "more_links")
+    parts = components(links.unionByName(found).unionByName(more))
     component = F.coalesce("component", "rep")
     out = rows.drop("names").join(parts, F.col("rep") == F.col("id"), "left")
     out = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != NO_ID, component).alias("component_id")), "near_copies")

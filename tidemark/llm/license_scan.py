@@ -65,9 +65,11 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Verified spans: doc_id, label, first, last (words, from 0), matched, coverage of the template.
 
     Every k-gram of every text is joined, by 64-bit hash and then by its words, to the template positions (broadcast; a
-    few hundred rows). Votes are counted per text, template and diagonal (place in text less place in template);
+    few hundred rows). Votes are gathered per text, template and diagonal (place in text less place in template);
     diagonals within drift of each other are merged, and a span stands if it is min_words long and at least min_share
-    of its k-grams voted. Spans of repeated rows with one id count together.
+    of its k-grams voted, a place counted once however many diagonals it votes for. matched is the number of words that
+    the voting k-grams, whose words are equal, cover. A null text has no span, nor has an empty table; spans of rows
+    with one id count together.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), license_words(F.col(text_col)).alias("words")).filter(F.size("words") >= k)
@@ -75,12 +77,15 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.select("doc_id", F.posexplode(grams).alias("pos", "gram"))
     at = template_grams(spark, k)
     votes = rows.join(F.broadcast(at), (F.xxhash64("gram") == F.xxhash64("t_gram")) & (F.col("gram") == F.col("t_gram")))
-    votes = votes.groupBy("doc_id", "label", "t_len", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    near = Window.partitionBy("doc_id", "label").orderBy("diagonal", "lo")
+    # a diagonal's places are as many as the template's words at most
+    votes = votes.groupBy("doc_id", "label", "t_len", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("pos").alias("at"))
+    near = Window.partitionBy("doc_id", "label").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(near) > drift).cast("int"), F.lit(1))
     votes = votes.withColumn("fresh", fresh).withColumn("band", F.sum("fresh").over(near))
-    spans = votes.groupBy("doc_id", "label", "t_len", "band").agg(F.sum("votes").alias("votes"), F.min("lo").alias("first"), (F.max("hi") + k - 1).alias("last"))
-    spans = spans.withColumn("matched", F.least(F.col("votes") + k - 1, F.col("last") - F.col("first") + 1))
+    spans = votes.groupBy("doc_id", "label", "t_len", "band").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+    # words that some equal gram covers, each once: what the template and the text have in common word by word
+    steps = F.transform(F.sequence(F.lit(1), F.size("at")), lambda i: F.when(i == 1, F.lit(k)).otherwise(F.least(F.lit(k), F.get("at", i - 1) - F.get("at", i - 2))))
+    spans = spans.select("doc_id", "label", "t_len", F.size("at").alias("votes"), F.get("at", F.lit(0)).alias("first"), (F.element_at("at", -1) + k - 1).alias("last"), F.aggregate(steps, F.lit(0), lambda n, x: n + x).alias("matched"))
     whole = F.col("last") - F.col("first") + 1
     spans = spans.filter((whole >= min_words) & (F.col("votes") >= min_share * (whole - k + 1)))
     return spans.select("doc_id", "label", "first", "last", "matched", F.least(F.lit(1.0), F.col("matched") / F.col("t_len")).alias("coverage"))

@@ -13,12 +13,13 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import shuffle_partitions, written
 
 #: Chunks whose ids a worker remembers between batches.
 REMEMBERED = 1_000_000
-#: The pieces of one length are numbered in so many parts, so that a length many documents share is no single task's.
-SHARDS = 64
+#: The pieces of one length are numbered in parts, so that a length many documents share is no single task's: as many as
+#: there are shuffle partitions, between these.
+SHARDS = 64, 4096
 
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -106,6 +107,9 @@ class ByteTokenizer:
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
         plain = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and spec["model"]["type"] == "BPE"
         self.fast = None
+        merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" ", 1)), -1) for m in spec["model"].get("merges", [])]
+        # ids stand for ranks only where every merge makes a token and the ids rise in the merges' order
+        plain = plain and all(a < b for a, b in zip([-1, *merged], merged, strict=False))
         if plain and all(c in byte_of for t in vocabulary for c in t if t.encode() not in self.special):
             ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t.encode() not in self.special}
             self.fast = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -117,8 +121,10 @@ class ByteTokenizer:
             return [np.array(e.ids, "<u4").tobytes() for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
         told = self.slow.encode_batch_fast(texts[: self.checked], add_special_tokens=False)
         ids = [e.ids for e in told] + [self.fast.encode_ordinary(t) for t in texts[self.checked :]]
-        if [self.fast.encode_ordinary(t) for t, c in zip(texts[: self.checked], chunks, strict=False) if not any(s in c for s in self.special)] != [i for i, c in zip(ids[: self.checked], chunks, strict=False) if not any(s in c for s in self.special)]:
-            raise ValueError("the two tokenizers differ on a chunk of this batch")
+        plain = [i for i, c in enumerate(chunks[: self.checked]) if not any(s in c for s in self.special)]
+        if any(self.fast.encode_ordinary(texts[i]) != ids[i] for i in plain):
+            self.fast = None  # from here on the library alone
+            return self.encode(chunks)
         for s in self.special:
             for i in [i for i, c in enumerate(chunks) if s in c]:
                 ids[i] = self.slow.encode(texts[i], add_special_tokens=False).ids
@@ -212,16 +218,19 @@ def _placed(table, slots, shards: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, shards: int = SHARDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, shards: int | None = None) -> DataFrame:
     """pieces with sequence_id and offset, in sequences of at most capacity tokens without gaps. pieces must be stored, not computed anew.
 
-    The driver gets how many pieces each (length, shard) has: capacity * shards numbers at most, for any input. From
+    Pieces of full length, the most of all where texts are long, each are a sequence, with a number below 0 that needs no
+    shuffle. Of the others the driver gets how many each (length, shard) has: capacity * 4096 numbers at most, for any input. From
     the counts by length it plans the bins; each piece then finds its place from its length and its number among the
     pieces of that length, which is its number in its shard plus those of the shards before. Equal pieces (a row given
     twice) take different places. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)).cast("int"))
+    shards = shards or min(max(shuffle_partitions(spark), SHARDS[0]), SHARDS[1])
+    full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    pieces = pieces.filter(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)).cast("int"))
     counts = pieces.groupBy("length", "shard").count().toArrow().to_pydict()
     grid = np.zeros((capacity + 1, shards), np.int64)
     grid[counts["length"], counts["shard"]] = counts["count"]
@@ -240,9 +249,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, shards: int = SHARDS) -> DataF
     plan = spark.sparkContext.broadcast(by_length)
     ranked = pieces.selectExpr("*", "row_number() OVER (PARTITION BY length, shard ORDER BY doc_id, piece, start) AS rank")
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(_placed(first, plan, shards), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(_placed(first, plan, shards), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """token_pieces, stored in the shared folder, then pack: one row per piece with its sequence and place."""
+    """token_pieces, stored in the shared folder, then pack: one row per piece with its sequence and place.
+
+    A null or empty text is one piece, the end id. Rows with one id each have their pieces; an empty table gives an empty
+    result. Columns other than the two named are not looked at.
+    """
     return pack(written(token_pieces(docs, tokenizer_file, end_id, capacity, id_col, text_col), "pieces"), capacity)
