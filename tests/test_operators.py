@@ -176,3 +176,165 @@ def test_boosting_rounds(spark, sf_dir, monkeypatch):
     with pytest.raises(Stop):
         catalog.QUERIES["gbt_walk_forward"](spark, sf_dir)
     assert seen == [(50, 2, 0.05)]
+
+
+# --- inference, state and streams ------------------------------------------------------------------------------------
+
+
+def t_tail_by_sums(t, df, steps=200_000):
+    """Two-sided tail of Student's t by the midpoint rule on the angle."""
+    from math import atan, cos, pi, sqrt
+
+    a = atan(abs(t) / sqrt(df))
+    upper = sum(cos(a + (i + 0.5) * (pi / 2 - a) / steps) ** (df - 1) for i in range(steps)) * (pi / 2 - a)
+    whole = sum(cos((i + 0.5) * pi / 2 / steps) ** (df - 1) for i in range(steps)) * pi / 2
+    return upper / whole
+
+
+def test_p_values(spark):
+    from tidemark.operators import stats
+
+    for t, df in ((0.3, 4.0), (2.1, 9.5), (-1.7, 250.0), (6.0, 3.0)):
+        assert abs(stats.t_tail(t, df) - t_tail_by_sums(t, df)) < 1e-6
+    rows = spark.createDataFrame([(2.1, 9.5), (0.0, 5.0), (None, 3.0), (1.0, None)], "t double, df double")
+    got = [r.p for r in rows.select(stats.p_value("t", "df").alias("p")).collect()]
+    assert abs(got[0] - t_tail_by_sums(2.1, 9.5)) < 1e-6 and got[1:] == [1.0, 1.0, 1.0]
+
+
+def test_ols_inference(spark):
+    import random
+
+    import numpy as np
+
+    from tidemark.operators import stats
+
+    rng = random.Random(4)
+    data = [(a := rng.random(), b := rng.gauss(3, 2), 1 + 2 * a - 0.5 * b + rng.gauss(0, 1)) for _ in range(60)]
+    got = {r.term: r for r in stats.ols2_inference(spark.createDataFrame(data, "a double, b double, y double"), "y", "a", "b").collect()}
+    x = np.array([[1, a, b] for a, b, _ in data])
+    y = np.array([c for *_, c in data])
+    coef = np.linalg.solve(x.T @ x, x.T @ y)
+    rest = y - x @ coef
+    sigma2 = rest @ rest / (len(y) - 3)
+    se = np.sqrt(np.diag(sigma2 * np.linalg.inv(x.T @ x)))
+    r2 = 1 - rest @ rest / ((y - y.mean()) @ (y - y.mean()))
+    for k, term in enumerate(("const", "a", "b")):
+        r = got[term]
+        assert abs(r.coef - coef[k]) < 1e-8 and abs(r.se - se[k]) < 1e-8 and abs(r.r2 - r2) < 1e-8
+        assert abs(r.p - t_tail_by_sums(coef[k] / se[k], len(y) - 3, 20_000)) < 1e-5
+        reach = (r.high - r.low) / 2 / se[k]
+        assert abs(t_tail_by_sums(reach, len(y) - 3, 20_000) - 0.05) < 1e-5
+    f = r2 / 2 / ((1 - r2) / (len(y) - 3))
+    assert abs(got["a"].f - f) < 1e-6 and 0 <= got["a"].f_p < 1e-3
+
+
+def test_donor_upsert(spark):
+    """A key with a null never equals another; a null cin keeps the one before; amount and party are replaced."""
+    from tidemark.operators import tables
+
+    shape = "seq long, donor_name string, trust_name string, donated int, source string, amount double, party string, donor_cin string"
+    old = spark.createDataFrame([(1, "A", "T", 2020, "s", 1.0, "p", "c1"), (2, "B", None, 2020, "s", 2.0, "p", None)], shape)
+    new = spark.createDataFrame([(3, "A", "T", 2020, "s", 5.0, None, None), (4, "B", None, 2020, "s", 7.0, "q", "c2"), (5, "C", "T", 2021, "s", 8.0, "q", None)], shape)
+    got = sorted((r.donor_name, r.amount, r.party, r.donor_cin) for r in tables.merge_null_never_equal(old, new, ["donor_name", "trust_name", "donated", "source"], "seq", ("donor_cin",)).collect())
+    assert got == [("A", 5.0, None, "c1"), ("B", 2.0, "p", None), ("B", 7.0, "q", "c2"), ("C", 8.0, "q", None)]
+
+
+def test_held_positions(spark):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import tables
+
+    held = spark.createDataFrame([("1", 0.5, date(2024, 1, 1), date(2024, 6, 29)), ("2", 0.6, date(2024, 5, 1), date(2024, 10, 28))], "scrip_code string, alpha_score double, alert_date date, expires date")
+    new = tables.hold(held, spark.createDataFrame([("1", None, date(2024, 6, 1))], "scrip_code string, alpha_score double, alert_date date"))
+    assert {r.scrip_code: (r.alpha_score, r.expires) for r in new.collect()} == {"1": (None, date(2024, 11, 28)), "2": (0.6, date(2024, 10, 28))}
+    left, gone = tables.expired(new, F.lit("2024-10-28").cast("date"))
+    assert [r.scrip_code for r in left.collect()] == ["1"] and gone.first().removed == 1
+    flags = spark.createDataFrame([(1, None), (2, True), (3, False)], "id long, done boolean")
+    assert {r.id: r.done for r in tables.marked(flags, spark.createDataFrame([(3,), (3,)], "id long"), "id", "done").collect()} == {1: None, 2: True, 3: True}
+
+
+def test_tracked_names(spark):
+    from tidemark.operators import entity
+
+    names = ["kacholia ashish", "Some Fund", "MEGHA WORKS LTD", "nobody at all", "VIJAY KEDIAA", None, "NOBODY AT ALL"]
+    donors = ["MEGHA WORKS", "Future Gaming"]
+    got = {r.client: r.why for r in entity.tracked_names(spark.createDataFrame([(n,) for n in names], "client string"), spark.createDataFrame([(d,) for d in donors], "name string")).collect()}
+    want = {}
+    for n in {x for x in names if x}:
+        up = n.upper()
+        if max(entity.set_ratio(s, up) for s in entity.SUPERSTARS) > 90:
+            want[n] = "superstar"
+        elif any(w in up for w in entity.INSTITUTIONS):
+            want[n] = "institution"
+        elif max(entity.set_ratio(up, d) for d in donors) >= 75:
+            want[n] = "donor"
+    assert got == want and set(want.values()) == {"superstar", "institution", "donor"}
+
+
+def test_tender_winners(spark):
+    from difflib import SequenceMatcher
+
+    from tidemark.operators import entity
+
+    companies = [("1", "Alpha Builders Ltd"), ("2", "Beta Steel Limited"), ("3", "Gamma Rail Systems Ltd")]
+    winners = ["ALPHA BUILDERS", "Beta Steels Limited", "Gama Rail System", "Quite Another"]
+    clean = lambda x: x.lower().replace(" ltd", "").replace(" limited", "").strip()
+    got = {r.winner: r.scrip_code for r in entity.tender_winners(spark.createDataFrame(list(enumerate(winners)), "tender_id long, winner string"), spark.createDataFrame(companies, "scrip_code string, name string")).collect()}
+    want = {}
+    for w in winners:
+        score, code = max((SequenceMatcher(None, clean(w), clean(n)).ratio(), c) for c, n in companies)
+        if score >= 0.8:
+            want[w] = code
+    assert got == want and len(want) == 3
+
+
+def test_last_name_wins(spark):
+    from tidemark.operators import entity
+
+    register = spark.createDataFrame([("Alpha Ltd", 9.0, 1), ("ALPHA LIMITED", 1.0, 2)], "name string, weight double, seq long")
+    assert entity.resolve(spark.createDataFrame([("alpha",)], "name string"), register).first().match == "ALPHA LIMITED"
+
+
+def test_grid_search_and_importance(spark):
+    from tidemark.operators import stats
+
+    rows = spark.createDataFrame([(i % 4, float(i % 7), float(i % 3), i % 7 > 3) for i in range(120)], "fold int, a double, b double, y boolean").cache()
+    found = stats.grid_search(rows, ["a", "b"], "y", depths=(1, 2), steps=(0.1,), rounds=(2,)).collect()
+    assert len(found) == 2 and all(r.accuracy == 1.0 for r in found)
+    weight = {r.feature: r.importance for r in stats.gbt_importance(rows, ["a", "b"], "y", rounds=2).collect()}
+    assert weight["a"] > 0.9 and abs(sum(weight.values()) - 1) < 1e-9
+
+
+def test_streams_resume_and_expire(spark, tmp_path):
+    """A second run reads only what is new; stretches end when the watermark passes them."""
+    from datetime import datetime
+
+    from tidemark.streaming import streams
+
+    shape = "scrip_code string, ts timestamp"
+    put = lambda n, rows: spark.createDataFrame([(k, datetime.fromisoformat(d)) for k, d in rows], shape).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")  # noqa: E731, ARG005
+    put(1, [("1", "2023-01-01"), ("1", "2023-05-01"), ("2", "2023-02-01")])
+    run = lambda: streams.drained(streams.held_spans(spark.readStream.schema(shape).parquet(f"file://{tmp_path}/in"), late="1 day"), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    run()
+    put(2, [("3", "2024-06-01")])
+    run()
+    put(3, [("3", "2024-06-02")])
+    run()
+    got = {(r.scrip_code, r.since.date().isoformat(), r.expires.date().isoformat(), r.alerts) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {("1", "2023-01-01", "2023-10-28", 2), ("2", "2023-02-01", "2023-07-31", 1)}
+
+
+def test_model_answers(spark):
+    from tidemark.functions.answers import answered
+
+    def model(prompts):
+        if "boom" in prompts:
+            raise RuntimeError
+        return ["```json\n{\"a\": 1}\n```" if p == "x" else "not json" for p in prompts]
+
+    rows = spark.createDataFrame([("x",), ("y",), (None,)], "p string").coalesce(1)
+    assert {r.p: r.answer and r.answer.a for r in answered(rows, "p", model, "a int").collect()} == {"x": 1, "y": None, None: None}
+    failed = answered(spark.createDataFrame([("boom",)], "p string"), "p", model, "a int", '{"a": 7}')
+    assert failed.first().answer.a == 7

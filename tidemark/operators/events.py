@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Event windows in trading days around the event.
@@ -11,23 +11,31 @@ RETURN_DAYS = (30, 60, 90, 180, 360)
 EVENT = ("id", "scrip_code", "event_date")
 
 
-def forward_returns(events: DataFrame, prices: DataFrame, days=RETURN_DAYS, before: int = 5) -> DataFrame:
+def _month(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
+
+
+def forward_returns(events: DataFrame, prices: DataFrame, days=RETURN_DAYS) -> DataFrame:
     """id, scrip_code, event_date, days, ret: from the first close on or after the event to the last within that many calendar days of it, in per cent.
 
-    The join on the scrip also bounds the dates, so each event meets a fixed stretch of prices, and one aggregate finds
-    all as-of rows. An event with no price in the stretch drops out; a series that ends early counts up to its end.
+    Prices are gathered by scrip and month first, one sorted row for each; an event meets the months it reaches, not
+    its scrip's whole history, by keys that spread a scrip with very many events or prices. In an event's months the
+    as-of rows are then looked up. An event with no price in its reach drops out; a series that ends early counts up to
+    its end.
     """
     reach = max(days) + 40
-    p = prices.select(F.col("scrip_code").alias("k"), "trade_date", "close")
-    near = (F.col("scrip_code") == F.col("k")) & F.col("trade_date").between(F.col("event_date"), F.date_add("event_date", reach))
-    rows = events.select(*EVENT).join(p, near)
-    base = rows.groupBy(*EVENT).agg(F.min(F.struct("trade_date", "close")).alias("base"))
-    # the base day is found per event first; each window's end is then the latest row up to it
-    rows = rows.join(base, list(EVENT)).filter(F.col("trade_date") <= F.date_add("base.trade_date", max(days)))
-    ends = [F.max(F.when(F.col("trade_date") <= F.date_add("base.trade_date", d), F.struct("trade_date", "close"))).alias(f"d{d}") for d in days]
-    wide = rows.groupBy(*EVENT, "base").agg(*ends)
-    long_ = wide.select(*EVENT, "base", F.explode(F.array(*[F.struct(F.lit(d).alias("days"), F.col(f"d{d}.close").alias("end")) for d in days])).alias("x"))
-    return long_.select(*EVENT, "x.days", F.round((F.col("x.end") / F.col("base.close") - 1) * 100, 2).alias("ret"))
+    months = prices.groupBy(F.col("scrip_code").alias("k"), _month(F.col("trade_date")).alias("m")).agg(F.array_sort(F.collect_list(F.struct("trade_date", "close"))).alias("days"))
+    asked = events.select(*EVENT, F.explode(F.sequence(_month(F.col("event_date")), _month(F.date_add("event_date", reach)))).alias("at"))
+    met = asked.join(months, (F.col("scrip_code") == F.col("k")) & (F.col("at") == F.col("m")))
+    rows = met.groupBy(*EVENT).agg(F.array_sort(F.collect_list(F.struct("m", "days"))).alias("months"))
+    within = lambda x: (x["trade_date"] >= F.col("event_date")) & (x["trade_date"] <= F.date_add("event_date", reach))
+    # the first day is in the first month that has days, or, where they all come before the event, in the next
+    near = F.flatten(F.transform(F.slice("months", 1, 2), lambda m: F.filter(m["days"], within)))
+    rows = rows.withColumn("base", F.get(near, F.lit(0))).filter("base IS NOT NULL")
+    rows = rows.withColumn("end", F.explode(F.array(*[F.struct(F.lit(d).alias("days"), F.least(F.date_add("base.trade_date", d), F.date_add("event_date", reach)).alias("until")) for d in days])))
+    last = F.element_at(F.filter("months", lambda m: F.get(m["days"], F.lit(0))["trade_date"] <= F.col("end.until")), -1)
+    close = F.element_at(F.filter(last["days"], lambda x: x["trade_date"] <= F.col("end.until")), -1)["close"]
+    return rows.select(*EVENT, "end.days", F.round((close / F.col("base.close") - 1) * 100, 2).alias("ret"))
 
 
 def daily_returns(prices: DataFrame, benchmark: DataFrame) -> DataFrame:

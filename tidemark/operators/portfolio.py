@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +35,28 @@ def paper_trades(orders: DataFrame, cash: float = 100_000.0) -> DataFrame:
     """account, seq, quantity, spent, cash: each account's buys in order, each sized by the cash that earlier ones left.
 
     orders: account, seq, price, conviction. A share of the cash by conviction (8: 25 %, 6: 15 %, 4: 5 %) is spent, 1000 at
-    least, and 99 % of it on whole shares. The fold is one aggregate over an account's sorted orders.
+    least, and 99 % of it on whole shares. What an order may spend hangs on all before it, so an account's orders are
+    one sorted group, gone through once; an account's orders have to fit in a task.
     """
-    rows = orders.groupBy("account").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("price").cast("double").alias("price"), F.col("conviction").cast("double").alias("conviction")))).alias("o"))
-    state = "struct<cash:double,log:array<struct<seq:bigint,quantity:bigint,spent:double,cash:double>>>"
-    fold = f"""aggregate(o, CAST(named_struct('cash', {cash}D, 'log', array()) AS {state}), (a, x) -> transform(array(named_struct('x', x, 't',
-        a.cash * CASE WHEN x.conviction >= 8 THEN 0.25D WHEN x.conviction >= 6 THEN 0.15D WHEN x.conviction >= 4 THEN 0.05D ELSE 0D END)),
-        s -> transform(array(CASE WHEN s.t >= 1000 THEN CAST(floor(0.99D * s.t / (x.price * 1.005D)) AS BIGINT) ELSE 0L END),
-        q -> CAST(named_struct('cash', a.cash - q * x.price * 1.005D, 'log', array_append(a.log, CAST(named_struct('seq', x.seq, 'quantity', q,
-        'spent', q * x.price * 1.005D, 'cash', a.cash - q * x.price * 1.005D) AS struct<seq:bigint,quantity:bigint,spent:double,cash:double>))) AS {state}))[0])[0]).log"""
-    return rows.select("account", F.explode(F.expr(fold)).alias("x")).select("account", "x.seq", "x.quantity", F.round("x.spent", 2).alias("spent"), F.round("x.cash", 2).alias("cash"))
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["seq", "price", "conviction"])
+        left, rows = cash, []
+        for seq, price, conviction in zip(group.seq, group.price, group.conviction, strict=True):
+            share = 0.25 if conviction >= 8 else 0.15 if conviction >= 6 else 0.05 if conviction >= 4 else 0.0
+            target = left * share
+            quantity = int(0.99 * target / (price * (1 + SLIPPAGE))) if target >= 1000 and price > 0 else 0
+            spent = quantity * price * (1 + SLIPPAGE)
+            left -= spent
+            rows.append((seq, quantity, spent, left))
+        out = pd.DataFrame(rows, columns=["seq", "quantity", "spent", "cash"])
+        out.insert(0, "account", group.account.iloc[0])
+        return out
+
+    asked = orders.select("account", "seq", F.col("price").cast("double").alias("price"), F.col("conviction").cast("double").alias("conviction"))
+    kinds = dict(asked.dtypes)
+    done = asked.groupBy("account").applyInPandas(fold, f"account {kinds['account']}, seq {kinds['seq']}, quantity long, spent double, cash double")
+    return done.select("account", "seq", "quantity", F.round("spent", 2).alias("spent"), F.round("cash", 2).alias("cash"))
 
 
 def close_positions(positions: DataFrame) -> DataFrame:

@@ -807,7 +807,7 @@ def exits(t):
 
 @query()
 def paper_trading_fold(t):
-    o = t.orders.filter("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % 50).alias("account"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") / 1000).alias("price"), (F.col("o_orderkey") % 10).alias("conviction"))
+    o = t.orders.select((F.col("o_custkey") % 50).alias("account"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") / 1000).alias("price"), (F.col("o_orderkey") % 10).alias("conviction"))
     return portfolio.paper_trades(o)
 
 

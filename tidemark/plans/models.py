@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.answers import answered
 from tidemark.operators import entity, graph, stats
 from tidemark.plans.catalog import BM, C_, CAR, CONNECTIONS, G_, LINKED, RET, TOP, WELCH, _car, _connections, _excess, _linked, _soon, query
+from tidemark.sources.landing import landing_dir
+from tidemark.streaming import streams
 
 #: The two-sided p-value of t with df degrees of freedom as a ratio of integrals of cos(x) ** (df - 1), by the midpoint rule.
 P = "(SELECT sum(pow(greatest(cos(atan(abs({t}) / sqrt({df})) + (i + 0.5) * (pi() / 2 - atan(abs({t}) / sqrt({df}))) / 40000), 0), {df} - 1)) * (1 - atan(abs({t}) / sqrt({df})) * 2 / pi()) / sum(pow(cos((i + 0.5) * pi() / 80000), {df} - 1)) FROM range(40000) r(i))"
@@ -104,3 +107,38 @@ def donors_resolved(t):
     found = told.join(cins, "match").select(F.col("name").alias("donor_name"), "cin")
     rows = t.donors.join(found, "donor_name", "left").withColumn("donor_cin", F.coalesce("cin", "donor_cin"))
     return rows.groupBy("donor_name").agg(F.count("seq").alias("n"), F.count("donor_cin").alias("with_cin"))
+
+
+# --- streams and models ----------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH e AS (SELECT scrip_code, event_date, CASE WHEN event_date - lag(event_date) OVER w < 180 THEN 0 ELSE 1 END AS f FROM announcements WHERE is_contract WINDOW w AS (PARTITION BY scrip_code ORDER BY event_date, id)),
+g AS (SELECT *, sum(f) OVER (PARTITION BY scrip_code ORDER BY event_date ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT scrip_code, min(event_date)::TIMESTAMP AS since, max(event_date)::TIMESTAMP + INTERVAL 180 DAY AS expires, count(*) AS alerts FROM g GROUP BY scrip_code, s""",
+    ("announcements",),
+)
+def held_spans(t):
+    return streams.held_spans(t.announcements.filter("is_contract").select("scrip_code", F.col("event_date").cast("timestamp").alias("ts")))
+
+
+@query("SELECT event_type, count(*) AS n, 'first' AS poll FROM events GROUP BY 1 UNION ALL SELECT 'never', 0, 'first' UNION ALL SELECT DISTINCT event_type, 0, 'second' FROM events UNION ALL SELECT 'never', 0, 'second'")
+def poll_heartbeat(t):
+    """Two polls of the landed events: the second finds nothing new, and says so."""
+    home = landing_dir(t.spark, "heartbeat")
+    kinds = t.events.select("event_type").distinct().unionByName(t.spark.createDataFrame([("never",)], "event_type string"))
+    for _ in range(2):
+        streams.polled(streams.landed(t.spark, t.sf_dir, "events"), kinds, "event_type", f"{home}/out", f"{home}/state")
+    rows = t.spark.read.schema("event_type string, n long, batch long").parquet(f"{home}/out")
+    return rows.groupBy("event_type", F.when(F.col("batch") < 0, "second").otherwise("first").alias("poll")).agg(F.sum("n").alias("n"))
+
+
+@query("SELECT id, value > 250000 AS material, CASE WHEN value > 250000 THEN round(value / 1000, 2) ELSE 0 END AS crore FROM announcements WHERE is_contract", ("announcements",))
+def model_answers(t):
+    """A rule in the place of a model: it answers in fenced JSON, and says nothing of small contracts."""
+
+    def model(prompts: list[str]) -> list[str | None]:
+        return [f'```json\n{{"material": true, "crore": {float(p) / 1000}}}\n```' if float(p) > 250000 else None for p in prompts]
+
+    rows = t.announcements.filter("is_contract").select("id", F.col("value").cast("string").alias("prompt"))
+    told = answered(rows, "prompt", model, "material boolean, crore double", '{"material": false, "crore": 0.0}')
+    return told.select("id", "answer.material", F.round("answer.crore", 2).alias("crore"))

@@ -24,9 +24,38 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def daily_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """day, event_type, n over the events table, read as a stream, without repeats, and counted from what it wrote."""
-    home = landing_dir(spark, "stream")
-    drained(unique_events(landed(spark, folder, "events"), ["event_id"], late="3650 days").select("event_id", "ts", "event_type"), f"{home}/out", f"{home}/state")
+def daily_counts(spark: SparkSession, folder: str, home: str | None = None, late: str = "7 days") -> DataFrame:
+    """day, event_type, n over the events table, read as a stream, without repeats within late, and counted from what it wrote.
+
+    With the home of an earlier run it goes on where that stopped: files already read aren't read again.
+    """
+    home = home or landing_dir(spark, "stream")
+    drained(unique_events(landed(spark, folder, "events"), ["event_id"], late=late).select("event_id", "ts", "event_type"), f"{home}/out", f"{home}/state")
     rows = spark.read.schema("event_id long, ts timestamp, event_type string").parquet(f"{home}/out")
     return rows.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("event_id").alias("n"))
+
+
+def held_spans(alerts: DataFrame, key: str = "scrip_code", ts: str = "ts", days: int = 180, late: str | None = None) -> DataFrame:
+    """key, since, expires, alerts: each stretch in which a key is held; an alert holds it for days, a new one in that time longer.
+
+    Over a stream (with late) a stretch is given out once the watermark passes its end, and its state goes then: what
+    is kept is bounded by the keys held.
+    """
+    rows = alerts.withWatermark(ts, late) if late else alerts
+    spans = rows.groupBy(key, F.session_window(ts, f"{days} days").alias("w")).agg(F.count(F.lit(1)).alias("alerts"))
+    return spans.select(key, F.col("w.start").alias("since"), F.col("w.end").alias("expires"), "alerts")
+
+
+def polled(stream: DataFrame, kinds: DataFrame, column: str, out: str, checkpoint: str) -> None:
+    """Adds to out, for each poll, how many rows of each of the kinds came: column, n, batch. A poll that finds nothing new says so with zeros and batch -1."""
+    ran = []
+
+    def count(batch: DataFrame, number: int) -> None:
+        found = batch.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        told = kinds.join(found, column, "left").select(column, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.lit(number).cast("long").alias("batch"))
+        told.write.mode("append").parquet(out)
+        ran.append(number)
+
+    stream.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not ran:
+        kinds.select(column, F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("batch")).write.mode("append").parquet(out)
