@@ -119,11 +119,17 @@ def graph_prune(t):
     return graph.pruned(*_graph(t))
 
 
-@query("SELECT 'director:' || din AS a, 'company:' || scrip_code AS b, 1 AS length FROM company_boards WHERE scrip_code = '1' UNION ALL SELECT DISTINCT 'director:' || x.din, 'company:' || y.scrip_code, 2 FROM company_boards x JOIN company_boards y ON x.din = y.din AND y.scrip_code <> x.scrip_code WHERE x.scrip_code = '1'", ("company_boards",))
+@query(
+    """WITH one AS (SELECT 'company:' || scrip_code AS a, 'director:' || din AS b FROM company_boards),
+two AS (SELECT x.a, x.b, y.a AS c FROM one x JOIN one y ON x.b = y.b AND y.a <> x.a), three AS (SELECT x.a, x.b, x.c, y.b AS d FROM two x JOIN one y ON x.c = y.a AND y.b <> x.b)
+SELECT a || '>' || b AS path, 1 AS length FROM one UNION ALL SELECT a || '>' || b || '>' || c, 2 FROM two UNION ALL SELECT a || '>' || b || '>' || c || '>' || d, 3 FROM three""",
+    ("company_boards",),
+)
 def graph_paths(t):
+    """Every simple path of up to three edges from every company."""
     e = t.company_boards.select(F.concat(F.lit("director:"), "din").alias("src"), F.concat(F.lit("company:"), "scrip_code").alias("dst"))
-    p = graph.paths(e, _values(t, [("company:1",)], "id string"), 2)
-    return p.select(F.col("path")[1].alias("a"), F.when(F.col("length") == 1, F.col("path")[0]).otherwise(F.col("path")[2]).alias("b"), "length")
+    starts = t.company_boards.select(F.concat(F.lit("company:"), "scrip_code").alias("id")).distinct()
+    return graph.paths(e, starts, 3).select(F.array_join("path", ">").alias("path"), "length")
 
 
 @query(

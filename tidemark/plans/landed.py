@@ -81,6 +81,20 @@ def landed_encashments(t):
 BOARD = """b AS (SELECT scrip_code, din FROM company_boards)"""
 
 
+@query("SELECT c_name AS donor, ((o_orderkey % 50 + 1) * 1e5)::DOUBLE AS amount, CASE WHEN o_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS party, o_orderpriority AS trust, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 5 <> 4 AND o_orderkey % 9 <> 0 GROUP BY 1, 2, 3, 4")
+def donor_tables(t):
+    """Pages with a table each, of a customer's donations; some have no party column, some no amounts."""
+    k = F.col("o_custkey")
+    td = lambda *cells: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    amount = F.when(F.col("o_orderkey") % 9 == 0, "-").otherwise(F.concat((F.col("o_orderkey") % 50 + 1).cast("string"), F.lit(" Lakh")))
+    rows = t.orders.join(t.customer, k == F.col("c_custkey")).select(k, F.when(k % 2 == 0, td(F.col("c_name"), amount, F.col("c_mktsegment"), F.col("o_orderpriority"))).otherwise(td(F.col("c_name"), amount, F.col("o_orderpriority"))).alias("row"))
+    head = F.when(k % 2 == 0, "<tr><th>Name of Donor</th><th>Amount (Rs)</th><th>Party</th><th>Electoral Trust</th></tr>").otherwise("<tr><th>Contributor</th><th>Amount</th><th>Trust</th></tr>")
+    head = F.when(k % 5 == 4, "<tr><th>Year</th><th>Total</th></tr>").otherwise(head)
+    pages = rows.groupBy("o_custkey").agg(F.array_join(F.collect_list("row"), "").alias("rows"))
+    html = F.concat(F.lit("<table>"), head, "rows", F.lit("</table>"))
+    return readers.donor_tables(pages.select(html.alias("html"))).groupBy("donor", "amount", "party", "trust").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {BOARD} SELECT DISTINCT lpad((1000000 + din)::VARCHAR, 8, '0') AS din, 'Person ' || din::VARCHAR AS name, CASE WHEN din % 2 = 0 THEN 'Director' ELSE 'Chair' END AS designation FROM b WHERE din % 3 <> 0", ("company_boards",))
 def directors_current(t):
     d = F.col("din")

@@ -161,6 +161,34 @@ def directors(pages: DataFrame, html: str = "html", current: bool = False) -> Da
     return cells.filter(din.rlike(r"^\d{7,8}$")).select(F.lpad(din, 8, "0").alias("din"), F.initcap(F.get("r", F.col("n"))).alias("name"), F.get("r", F.col("g")).alias("designation"))
 
 
+# Parts of a header that give a donations table's column its role, the first role that fits.
+DONOR_ROLES = (("donor", ("donor", "contributor", "company")), ("amount", ("amount", "contribution", "rs")), ("party", ("party", "recipient")), ("trust", ("trust", "electoral trust")))
+
+
+def donor_tables(pages: DataFrame, html: str = "html") -> DataFrame:
+    """donor, amount, party, trust from pages with a table whose first row names a donor's and an amount's column.
+
+    Of columns with one role the last counts; party and trust are blank without a column. Rows without a donor or with
+    no amount (or 0) go.
+    """
+    rows = pages.select(html_rows(F.col(html)).alias("rows")).filter(F.size("rows") > 0).select(F.transform(F.col("rows")[0], F.lower).alias("head"), F.explode(F.slice("rows", 2, 2_147_483_647)).alias("r"))
+
+    def role(header: Column) -> Column:
+        found = None
+        for name, words in reversed(DONOR_ROLES):
+            fits = F.lit(False)
+            for w in words:
+                fits = fits | F.contains(header, F.lit(w))
+            found = F.when(fits, F.lit(name)).otherwise(F.lit(None) if found is None else found)
+        return found
+
+    roles = F.transform("head", role)
+    last = lambda name: F.size("head") - F.array_position(F.reverse(roles), name).cast("int")
+    cell = lambda name: F.when(F.array_contains(roles, name), F.get("r", last(name)))
+    out = rows.select(cell("donor").alias("donor"), rupees(cell("amount")).alias("amount"), F.coalesce(cell("party"), F.lit("")).alias("party"), F.coalesce(cell("trust"), F.lit("")).alias("trust"))
+    return out.filter("donor <> '' AND coalesce(amount, 0) <> 0")
+
+
 def director_records(rows: DataFrame, text: str = "json") -> DataFrame:
     """din, name, designation of an open-data answer's records; field names in small letters or capitals, numbers of 7 or 8 digits, padded to 8."""
     records = rows.select(F.explode(F.from_json(text, "records array<map<string,string>>")["records"]).alias("r"))
