@@ -101,3 +101,20 @@ def tracked_buys(deals: DataFrame, tracked: DataFrame, last: int = 50) -> DataFr
 def connected(matches: DataFrame, connections: DataFrame, threshold: float) -> DataFrame:
     """The matches (with scrip_code) of companies whose best connection scores threshold or more, with that score."""
     return matches.join(connections.filter(F.col("score") >= threshold).select("scrip_code", "score"), "scrip_code")
+
+
+def watchlist(sectors: DataFrame, donors: DataFrame, contracts: DataFrame, fundamentals: DataFrame, params: Params = DEFAULT, most: int = 150) -> DataFrame:
+    """scrip_code, source, arrived of the companies to watch, the first most in order of arrival.
+
+    sectors and donors: scrip_code, arrived, market_cap of candidates; donors add those that sectors lacks, and come after.
+    Companies in the band of market capitalisation stay; of sector candidates those with enough contracts(scrip_code,
+    contracts); if that leaves nobody, all of the band. Last, fundamentals(scrip_code, de, ocf) have to pass.
+    """
+    found = sectors.withColumn("source", F.lit("sector")).withColumn("turn", F.lit(0))
+    found = found.unionByName(donors.join(sectors.select("scrip_code"), "scrip_code", "left_anti").withColumn("source", F.lit("donor")).withColumn("turn", F.lit(1)))
+    band = found.filter(F.col("market_cap").between(params.market_cap_min, params.market_cap_max)).join(contracts, "scrip_code", "left")
+    chosen = band.filter((F.col("source") == "donor") | (F.col("contracts") >= params.min_contracts))
+    if chosen.isEmpty():
+        chosen = band
+    sound = chosen.join(fundamentals, "scrip_code", "left").filter(fundamentals_pass(F.col("de"), F.col("ocf"), params)[0])
+    return sound.orderBy("turn", "arrived").limit(most).select("scrip_code", "source", "arrived")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, portfolio, tables
-from tidemark.plans.catalog import CHAIN, CONNECTIONS, TOP, _connections, query
+from tidemark.operators import graph, portfolio, signals, tables
+from tidemark.plans.catalog import CHAIN, CONNECTIONS, GRAPH, TOP, _connections, _graph, query
+from tidemark.sources.landing import landing_dir
 
 TODAY = "2001-11-04"
 DAY = F.lit(TODAY).cast("date")
@@ -264,3 +265,53 @@ def graph_prune_tenders(t):
     old = v.filter(F.col("kind").eqNullSafe("Tender") & (F.col("day") != "") & (F.col("day") < F.date_format(F.date_sub(DAY, 24 * 30), "yyyy-MM-dd"))).select("id")
     v, e = v.join(old, "id", "left_anti"), e.join(old.select(F.col("id").alias("src")), "src", "left_anti").join(old.select(F.col("id").alias("dst")), "dst", "left_anti")
     return graph.pruned(v, e).select("id")
+
+
+def _funnel_sql(least: int) -> str:
+    return f"""WITH a AS (SELECT scrip_code, scrip_code::INT AS arrived, market_cap, 'sector' AS source, 0 AS turn FROM companies WHERE sector < 'NATION_2'
+  UNION ALL SELECT scrip_code, scrip_code::INT, market_cap, 'donor', 1 FROM companies WHERE scrip_code::BIGINT IN (SELECT donor FROM donations) AND NOT sector < 'NATION_2'),
+n AS (SELECT scrip_code, count(*) AS contracts FROM announcements WHERE is_contract GROUP BY 1), b AS (SELECT a.*, contracts FROM a LEFT JOIN n USING (scrip_code) WHERE market_cap BETWEEN 50 AND 1000000),
+c AS (SELECT * FROM b WHERE source = 'donor' OR contracts >= {least}), d AS (SELECT * FROM c UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c))
+SELECT scrip_code, source, arrived FROM d LEFT JOIN fundamentals f USING (scrip_code) WHERE NOT (coalesce(de > 5, false) OR coalesce(ocf < 0, false) OR (de IS NULL AND ocf IS NULL)) ORDER BY turn, arrived LIMIT 150"""
+
+
+def _funnel(t, donors):
+    candidate = lambda d: d.select("scrip_code", F.col("scrip_code").cast("int").alias("arrived"), "market_cap")
+    n = t.announcements.filter("is_contract").groupBy("scrip_code").agg(F.count("id").alias("contracts"))
+    return signals.watchlist(candidate(t.companies.filter("sector < 'NATION_2'")), candidate(donors), n, t.fundamentals)
+
+
+@query(_funnel_sql(1), ("companies", "donations", "announcements", "fundamentals"))
+def watchlist_gated(t):
+    given = t.donations.select(F.col("donor").cast("string").alias("scrip_code")).distinct()
+    return _funnel(t, t.companies.join(given, "scrip_code", "left_semi"))
+
+
+@query(_funnel_sql(1).replace("scrip_code::BIGINT IN (SELECT donor FROM donations)", "false").replace("WHERE is_contract", "WHERE is_contract AND value < 0"), ("companies", "announcements", "fundamentals"))
+def watchlist_fallback(t):
+    """Nobody has a contract, so all of the band go on."""
+    none = t.announcements.filter("is_contract AND value < 0").groupBy("scrip_code").agg(F.count("id").alias("contracts"))
+    candidate = t.companies.filter("sector < 'NATION_2'").select("scrip_code", F.col("scrip_code").cast("int").alias("arrived"), "market_cap")
+    return signals.watchlist(candidate, candidate.filter("false"), none, t.fundamentals)
+
+
+@query(f"WITH {GRAPH} SELECT 'vertices' AS what, kind, count(*) AS n FROM v GROUP BY 2 UNION ALL SELECT 'edges', kind, count(*) FROM e GROUP BY 2", ("companies", *CHAIN))
+def graph_written(t):
+    """The graph stored as two tables, and read again."""
+    home, told = landing_dir(t.spark, "graph"), None
+    for what, rows in zip(("vertices", "edges"), _graph(t), strict=True):
+        rows.write.parquet(f"{home}/{what}")
+        step = t.spark.read.schema(rows.schema).parquet(f"{home}/{what}").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "kind", "n")
+        told = step if told is None else told.unionByName(step)
+    return told
+
+
+@query("SELECT event_type AS module, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1 UNION ALL SELECT 'run', 2, NULL")
+def event_log(t):
+    """Two runs append what happened to one log; nothing is replaced."""
+    home = landing_dir(t.spark, "log")
+    for run in range(2):
+        rows = t.events.filter(F.col("event_id") % 2 == run).select(F.col("event_type").alias("module"), "event_id")
+        rows.unionByName(t.spark.createDataFrame([("run", None)], "module string, event_id long")).write.mode("append").parquet(home)
+    log = t.spark.read.schema("module string, event_id long").parquet(home)
+    return log.groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
