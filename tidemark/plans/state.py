@@ -127,9 +127,9 @@ def _sold(t):
     return portfolio.close_positions(held.join(quote, "scrip_code"))
 
 
-@query(f"WITH {SOLD} SELECT scrip_code, bought, day AS sold, quantity, stt, 0.0::DOUBLE AS stamp, txn, 15.93::DOUBLE AS dp, round(tn - round(stt + txn + sebi + round((txn + sebi) * 0.18::DOUBLE, 2) + 15.93::DOUBLE, 2) - invested, 2) AS pnl FROM z", ("announcements", "prices"))
+@query(f"WITH {SOLD} SELECT scrip_code, bought, day AS sold, quantity, stt, 0.0::DOUBLE AS stamp, txn, 15.93::DOUBLE AS dp, round(tn - round(stt + txn + sebi + round((txn + sebi) * 0.18::DOUBLE, 2) + 15.93::DOUBLE, 2) - invested, 0) AS pnl FROM z", ("announcements", "prices"))
 def positions_closed(t):
-    return _sold(t).select("scrip_code", "bought", "sold", "quantity", "stt", "stamp", "txn", "dp", F.round("pnl", 2).alias("pnl"))
+    return _sold(t).select("scrip_code", "bought", "sold", "quantity", "stt", "stamp", "txn", "dp", F.round("pnl", 0).alias("pnl"))
 
 
 @query("SELECT scrip_code, count(*) AS n FROM announcements WHERE is_contract AND scrip_code NOT IN (SELECT scrip_code FROM companies WHERE in_watchlist) GROUP BY 1", ("announcements", "companies"))

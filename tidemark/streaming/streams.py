@@ -36,7 +36,7 @@ def daily_counts(spark: SparkSession, folder: str, home: str | None = None, late
 
 
 def held_spans(alerts: DataFrame, key: str = "scrip_code", ts: str = "ts", days: int = 180, late: str | None = None) -> DataFrame:
-    """key, since, expires, alerts: each stretch in which a key is held; an alert holds it for days, a new one in that time longer.
+    """key, since, expires, alerts: each stretch in which a key is held; an alert holds it for days, a new one by then (the last day included) longer.
 
     Over a stream (with late) a stretch is given out once the watermark passes its end, and its state goes then: what
     is kept is bounded by the keys held.
