@@ -47,11 +47,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """docs without the rows whose text another row repeats; all columns stay. Of rows that repeat an id and its text, any one stays."""
-    told = exact_groups(docs, id_col, text_col, keep).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha256"))
-    told = told.agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")).filter("NOT __kept OR __n > 1")
-    told = written(told, "verdicts")
-    hashed = docs.withColumn("__hash", F.sha2(lower_az(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    rows = hashed.join(told, (F.col("__hash") == F.col("__sha256")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    once, again = rows.filter("__kept IS NULL"), rows.filter("__kept").dropDuplicates([id_col, "__hash"])
-    return once.unionByName(again).drop("__hash", "__id", "__sha256", "__kept", "__n")
+    """docs without the rows whose text another row repeats; all columns stay. Of rows that repeat an id and its text, any one stays.
+
+    A null text counts as empty, a null id ranks behind any other, and an empty table gives an empty result. Texts are
+    shuffled once, to meet the size of their hash group; a text alone in its group stays as it is, and only the others
+    go through exact_groups.
+    """
+    norm = lower_az(F.coalesce(F.col(text_col), F.lit("")))
+    hashed = docs.withColumn("__h", F.unhex(F.md5(norm)))
+    sizes = written(hashed.groupBy(F.col("__h").alias("__g")).agg(F.count(F.lit(1)).alias("__size")), "sizes")
+    marked = written(hashed.join(sizes, F.col("__h") == F.col("__g")).select(*docs.columns, "__size"), "marked", compression="zstd")
+    alone, many = (marked.filter(c).drop("__size") for c in ("__size = 1", "__size > 1"))
+    told = exact_groups(many, id_col, text_col, keep).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha256"))
+    told = written(told.agg(F.max("kept").alias("__kept")), "verdicts").filter("__kept")
+    signed = many.withColumn("__hash", F.sha2(norm, 256))
+    stay = signed.join(told, (F.col("__hash") == F.col("__sha256")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return alone.unionByName(stay.dropDuplicates([id_col, "__hash"]).drop("__hash"))
