@@ -9,7 +9,11 @@ from tidemark.sources import readers
 from tidemark.sources.landing import land
 
 TODAY = "2001-11-04"
-DAY = F.lit(TODAY).cast("date")
+
+
+def _day():
+    return F.lit(TODAY).cast("date")
+
 WORDS = "CASE WHEN is_contract THEN 'Award of order' WHEN is_board_change THEN 'Change in directors' ELSE 'Results' END"
 
 
@@ -29,7 +33,7 @@ def landed_poll(t):
 
 @query(f"SELECT scrip_code, {WORDS} AS title, event_date, id::VARCHAR AS category FROM announcements WHERE event_date BETWEEN DATE '{TODAY}' - 1825 AND DATE '{TODAY}'", ("announcements",))
 def landed_backfill(t):
-    return readers.announcements(t.spark, _pages(t), DAY, 5 * 365)
+    return readers.announcements(t.spark, _pages(t), _day(), 5 * 365)
 
 
 @query("SELECT scrip_code AS symbol, name, isin FROM companies WHERE scrip_code::INT % 4 <> 0", ("companies",))

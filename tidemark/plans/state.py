@@ -10,7 +10,11 @@ from tidemark.plans.catalog import CHAIN, CONNECTIONS, GRAPH, TOP, _connections,
 from tidemark.sources.landing import landing_dir
 
 TODAY = "2001-11-04"
-DAY = F.lit(TODAY).cast("date")
+
+
+def _day():
+    return F.lit(TODAY).cast("date")
+
 KEYS = ["donor_name", "trust_name", "donated", "source"]
 
 
@@ -49,12 +53,12 @@ def held_upsert(t):
 
 @query(f"WITH {HELD} SELECT scrip_code FROM hp WHERE expires > DATE '{TODAY}'", H_)
 def held_current(t):
-    return tables.expired(_held(t), DAY)[0].select("scrip_code")
+    return tables.expired(_held(t), _day())[0].select("scrip_code")
 
 
 @query(f"WITH {HELD} SELECT count(*) FILTER (expires <= DATE '{TODAY}') AS removed FROM hp", H_)
 def held_expired_count(t):
-    return tables.expired(_held(t), DAY)[1]
+    return tables.expired(_held(t), _day())[1]
 
 
 COMMANDS = "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN '/exit ' || c_custkey::VARCHAR WHEN 1 THEN '/EXIT   ' || (c_custkey * 2)::VARCHAR || ' please' ELSE 'hello /exit 5' END AS text FROM customer"
@@ -262,7 +266,7 @@ def graph_prune_tenders(t):
     v = t.tenders.select(node("tender", "tender_id").alias("id"), F.lit("Tender").alias("kind"), F.date_format("awarded", "yyyy-MM-dd").alias("day"))
     v = v.unionByName(t.companies.select(node("company", "scrip_code").alias("id"), F.lit("ListedCompany").alias("kind"), F.lit("").alias("day")))
     e = t.tenders.filter("tender_id % 2 = 0").select(node("tender", "tender_id").alias("src"), F.concat(F.lit("company:"), (F.col("tender_id") % 10).cast("string")).alias("dst"), F.lit("WON").alias("kind"))
-    old = v.filter(F.col("kind").eqNullSafe("Tender") & (F.col("day") != "") & (F.col("day") < F.date_format(F.date_sub(DAY, 24 * 30), "yyyy-MM-dd"))).select("id")
+    old = v.filter(F.col("kind").eqNullSafe("Tender") & (F.col("day") != "") & (F.col("day") < F.date_format(F.date_sub(_day(), 24 * 30), "yyyy-MM-dd"))).select("id")
     v, e = v.join(old, "id", "left_anti"), e.join(old.select(F.col("id").alias("src")), "src", "left_anti").join(old.select(F.col("id").alias("dst")), "dst", "left_anti")
     return graph.pruned(v, e).select("id")
 
