@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_pieces, chat_format, exact_dedup, jaccard_join, license_scan, line_dedup, packing, quality, recompression, suffix_groups
+from tidemark.llm import alignment, bpe_pieces, chat_format, exact_dedup, jaccard_join, license_scan, line_dedup, packing, quality, recompression, suffix_groups, vector_index, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,8 +76,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(_read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_index.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+_OPS = (
+    op1_substring_dedup, op2_suffix_dedup, op3_exact_dedup, op4_license_scan, op5_quality_rules, op6_sentencepiece, op7_best_fit_packing,
+    op8_chat_format, op9_line_dedup, op10_jaccard_join, op11_whitening, op12_near_vectors, op13_token_alignment,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_exact_dedup, op4_license_scan, op5_quality_rules, op6_sentencepiece, op7_best_fit_packing, op8_chat_format, op9_line_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in _OPS}
 
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
