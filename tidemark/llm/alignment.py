@@ -16,9 +16,9 @@ from tidemark.llm.common import Scratch, written
 from tidemark.llm.packing import ByteTokenizer, chunks_of
 
 #: Bytes of text that one pack holds, unless a single text is longer.
-PACK = 16 << 20
+PACK = 8 << 20
 #: Chunks, and bytes of their strings, that a worker remembers between packs.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 128 << 20
+REMEMBERED, REMEMBERED_BYTES = 200_000, 32 << 20
 SPACE = "▁"
 
 
@@ -159,14 +159,15 @@ def _packs(kind: pa.DataType, byte_file: str, piece_file: str, which: str):
         place = known.of(coded.dictionary.to_pylist())
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32)
         to = np.searchsorted(at, ends)
-        counts = known.counts[place][codes]  # of every chunk of every document
-        sums = np.diff(np.concatenate([np.zeros((1, 7), np.int64), np.cumsum(counts, axis=0)])[to], axis=0, prepend=0)
+        counts = known.counts[place]
+        # a column at a time, as a document's chunks are many
+        sums = np.stack([np.diff(np.append(0, np.cumsum(counts[codes, k]))[to], prepend=0) for k in range(7)], axis=1)
         bad = sums[:, 6] > 0
         sums[bad] = 0
         strings = [known.strings[p] for p in place.tolist()]
-        listed, lo, shas = codes.tolist(), 0, []
+        lo, shas = 0, []
         for hi, wrong in zip(to.tolist(), bad.tolist(), strict=True):
-            shas.append("" if wrong or lo == hi else hashlib.sha256(b";".join([strings[c] for c in listed[lo:hi]])).hexdigest())
+            shas.append("" if wrong or lo == hi else hashlib.sha256(b";".join([strings[c] for c in codes[lo:hi].tolist()])).hexdigest())
             lo = hi
         own = np.diff(to, prepend=0)
         stay = np.repeat(~bad, own)
