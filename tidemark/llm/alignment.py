@@ -16,9 +16,11 @@ from tidemark.llm.common import Scratch, written
 from tidemark.llm.packing import ByteTokenizer, chunks_of
 
 #: Bytes of text that one pack holds, unless a single text is longer.
-PACK = 8 << 20
+PACK = 4 << 20
 #: Chunks, and bytes of their strings, that a worker remembers between packs.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 150_000, 32 << 20
+#: Chunks that are aligned at once.
+AT_ONCE = 20_000
 SPACE = "▁"
 
 
@@ -110,7 +112,8 @@ class Chunks:
         new = [w for w in words if w not in self.number]
         if new:
             self.number.update(zip(new, range(len(self.strings), len(self.strings) + len(new)), strict=True))
-            self._add(new)
+            for lo in range(0, len(new), AT_ONCE):
+                self._add(new[lo : lo + AT_ONCE])
         return np.fromiter((self.number[w] for w in words), np.int64, len(words))
 
     def _add(self, chunks: list[bytes]) -> None:
