@@ -9,7 +9,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tidemark.plans import alerts, catalog, landed, models, state  # noqa: F401
+from tidemark.plans import alerts, catalog, landed, learned, matching, models, state  # noqa: F401
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

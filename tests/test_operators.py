@@ -157,25 +157,12 @@ def test_prune_is_idempotent(spark):
     assert sorted(r.id for r in once.collect()) == ["a", "b"] == sorted(r.id for r in graph.pruned(once, e).collect())
 
 
-def test_boosting_rounds(spark, sf_dir, monkeypatch):
-    """The query trains the reference's 50 rounds."""
-    from pyspark.ml import classification
+def test_boosting_settings():
+    """The queries train the reference's 50 rounds with both penalties, and the search has all its 324 settings."""
+    from tidemark.operators import boosting
 
-    from tidemark.plans import catalog
-
-    seen = []
-
-    class Stop(Exception):
-        pass
-
-    def model(**asked):
-        seen.append((asked["maxIter"], asked["maxDepth"], asked["stepSize"]))
-        raise Stop
-
-    monkeypatch.setattr(classification, "GBTClassifier", model)
-    with pytest.raises(Stop):
-        catalog.QUERIES["gbt_walk_forward"](spark, sf_dir)
-    assert seen == [(50, 2, 0.05)]
+    assert boosting.Setting() == boosting.Setting(depth=2, step=0.05, l2=5.0, l1=1.0, rounds=50, least=1.0)
+    assert len(boosting.DEPTHS) * len(boosting.STEPS) * len(boosting.L2) * len(boosting.L1) * len(boosting.ROUNDS) == 324
 
 
 # --- inference, state and streams ------------------------------------------------------------------------------------
@@ -297,16 +284,6 @@ def test_last_name_wins(spark):
     assert entity.resolve(spark.createDataFrame([("alpha",)], "name string"), register).first().match == "ALPHA LIMITED"
 
 
-def test_grid_search_and_importance(spark):
-    from tidemark.operators import stats
-
-    rows = spark.createDataFrame([(i % 4, float(i % 7), float(i % 3), i % 7 > 3) for i in range(120)], "fold int, a double, b double, y boolean").cache()
-    found = stats.grid_search(rows, ["a", "b"], "y", depths=(1, 2), steps=(0.1,), rounds=(2,)).collect()
-    assert len(found) == 2 and all(r.accuracy == 1.0 for r in found)
-    weight = {r.feature: r.importance for r in stats.gbt_importance(rows, ["a", "b"], "y", rounds=2).collect()}
-    assert weight["a"] > 0.9 and abs(sum(weight.values()) - 1) < 1e-9
-
-
 def test_streams_resume_and_expire(spark, tmp_path):
     """A second run reads only what is new; stretches end when the watermark passes them."""
     from datetime import datetime

@@ -1,8 +1,7 @@
-"""Name matching: exact, then by similarity ratios computed in Arrow batches."""
+"""Name matching: exact, then by similarity ratios, in Arrow batches and for pairs that can reach the threshold alone."""
 
 from __future__ import annotations
 
-import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.params import SUPERSTARS
 from tidemark.functions.text import normal_name
+from tidemark.operators import similarity as S
 
 
 def lcs(a: str, b: str) -> int:
@@ -52,6 +52,10 @@ def _udf(f):
     return run
 
 
+def indel_ratio(a: Column, b: Column) -> Column:
+    return _udf(ratio)(a, b)
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     return _udf(sorted_ratio)(a, b)
 
@@ -65,68 +69,72 @@ def block_ratio(a: Column, b: Column) -> Column:
     return _udf(lambda x, y: SequenceMatcher(None, x, y).ratio())(a, b)
 
 
-def _length_class(length: Column, threshold: float) -> Column:
-    """Lengths whose ratio can reach threshold are in one class or in neighbouring ones."""
-    return F.floor(F.log(F.greatest(length, F.lit(1))) / math.log((200 - threshold) / threshold)).cast("int")
+# Words of an institution's name.
+INSTITUTIONS = ("MUTUAL FUND", "CAPITAL", "SECURITIES", "HOLDINGS", "INVESTMENT", "ASSET MANAGEMENT", "FUND")
 
 
-def _fitting(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of a(a, ..) and b(b, ..) whose lengths let their ratio reach threshold, joined on classes of length."""
-    x = a.withColumn("__c", F.explode(F.sequence(_length_class(F.length("a"), threshold) - 1, _length_class(F.length("a"), threshold) + 1)))
-    y = b.withColumn("__c", _length_class(F.length("b"), threshold))
-    fits = 200 * F.least(F.length("a"), F.length("b")) >= threshold * (F.length("a") + F.length("b"))
-    return x.join(y, "__c").filter(fits).drop("__c")
+def _may_be(a: Column, stars: tuple[str, ...], threshold: float) -> Column:
+    """Of a few fixed names those that a name can reach the threshold with, by words shared or by characters."""
+    known = [(star, sorted(set(star.split()))) for star in stars]
 
+    def those(z: Column) -> Column:
+        may = []
+        for star, each in known:
+            text = " ".join(each)
+            chars = F.split(F.lit("\1".join(f"{c}\0{text[:i].count(c) + 1}" for i, c in enumerate(text))), "\1")
+            enough = F.size(F.array_intersect(z["chars"], chars)) >= F.ceil((F.size(z["chars"]) + len(text)) * (threshold / 200) - 1e-9)
+            may.append(F.when((F.size(z["own"]) > 0) & (S.shares_words(z["own"], F.split(F.lit(text), " "), threshold) | enough), star))
+        return F.filter(F.array(*may), lambda x: x.isNotNull())
 
-# Words of an institution's name.
-INSTITUTIONS = ("MUTUAL FUND", "CAPITAL", "SECURITIES", "HOLDINGS", "INVESTMENT", "ASSET MANAGEMENT", "FUND")
+    return S.bound(S.bound(S.words(a), lambda w: F.struct(w.alias("own"), S.grams(F.array_join(w, " "), 1).alias("chars"))), those)
 
 
 def tracked_names(names: DataFrame, donors: DataFrame, stars: tuple[str, ...] = SUPERSTARS, star_score: float = 90.0, donor_score: float = 75.0) -> DataFrame:
     """client, why of the tracked among names(client), each name once: 'superstar', 'institution' or 'donor' (of donors(name)), the first that holds.
 
     An investor's name must be over star_score by the ratio of word sets, a donor's at least donor_score; donors are
-    compared as they are written, clients in capitals. Only names that are neither an investor's nor an institution's
-    are held against the donors: against those that share a word, and those of a length that lets the whole be alike.
+    compared as they are written, clients in capitals. The distinct names are stored first; ratios are worked out for
+    those pairs alone that can reach the score by their words or their characters.
     """
-    upper = names.select("client").filter("client IS NOT NULL").distinct().withColumn("a", F.upper("client"))
-    best = _udf(lambda x, _: max((set_ratio(star, x) for star in stars), default=0.0))(F.col("a"), F.col("a"))
-    seen = upper.withColumn("why", F.when(best > star_score, "superstar").when(F.col("a").rlike("|".join(INSTITUTIONS)), "institution"))
-    rest = seen.filter("why IS NULL").select("client", "a")
-    register = donors.select(F.col("name").alias("b")).filter("b IS NOT NULL").distinct()
-    word = lambda d, c: d.withColumn("__w", F.explode(F.array_distinct(F.split(c, r"\s+")))).filter("__w <> ''")
-    near = word(rest, "a").join(word(register, "b"), "__w").select("client", "a", "b").unionByName(_fitting(rest, register, donor_score).select("client", "a", "b")).distinct()
-    given = near.filter(token_set_ratio(F.col("a"), F.col("b")) >= donor_score).select("client").distinct().withColumn("why", F.lit("donor"))
-    return seen.filter("why IS NOT NULL").select("client", "why").unionByName(given)
+    once = names.select("client").filter("client IS NOT NULL").distinct().withColumn("a", F.upper("client"))
+    seen = S.stored(once.select("client", "a", F.col("a").rlike("|".join(INSTITUTIONS)).alias("institution"), _may_be(F.col("a"), stars, star_score).alias("may")), "clients")
+    star = seen.filter(F.size("may") > 0).select("client", "a", F.explode("may").alias("star")).filter(token_set_ratio(F.col("star"), F.col("a")) > star_score)
+    near = S.alike_by_words(seen.filter("NOT institution").select(F.col("a").alias("s")), donors.select(F.col("name").alias("s")), donor_score)
+    donor = near.filter(token_set_ratio(F.col("a"), F.col("b")) >= donor_score).select("a").distinct().withColumn("donor", F.lit("donor"))
+    out = seen.join(star.select("client").distinct().withColumn("star", F.lit("superstar")), "client", "left").join(donor, "a", "left")
+    return out.select("client", F.coalesce("star", F.when(F.col("institution"), "institution"), "donor").alias("why")).filter("why IS NOT NULL")
 
 
 def tender_winners(tenders: DataFrame, companies: DataFrame, threshold: float = 0.8) -> DataFrame:
     """tenders(tender_id, winner) with scrip_code, ratio: the company whose name, both without ' ltd' and ' limited', is most like the winner's.
 
-    A company of just that name needs no comparison; only other winners are held against the register, those of fitting
-    length. Of equals the smallest scrip_code.
+    A company of just that name needs no comparison. The ratio counts blocks in order, which are a common subsequence:
+    only pairs that can have an Indel ratio as high are compared. Of equals the smallest scrip_code.
     """
     clean = lambda c: F.trim(F.replace(F.replace(F.lower(c), F.lit(" ltd"), F.lit("")), F.lit(" limited"), F.lit("")))
     won = tenders.select(clean(F.col("winner")).alias("a")).distinct()
-    register = companies.groupBy(clean(F.col("name")).alias("b")).agg(F.min("scrip_code").alias("scrip_code"))
+    register = S.stored(companies.groupBy(clean(F.col("name")).alias("b")).agg(F.min("scrip_code").alias("scrip_code")), "register")
     exact = won.join(register, F.col("a") == F.col("b")).select("a", "scrip_code", F.lit(1.0).alias("ratio"))
-    near = _fitting(won.join(exact, "a", "left_anti"), register, 100 * threshold).withColumn("ratio", block_ratio(F.col("a"), F.col("b"))).filter(F.col("ratio") >= threshold)
+    pairs = S.stored(S.alike(won.join(exact, "a", "left_anti").select(F.col("a").alias("s")), register.select(F.col("b").alias("s")), 100 * threshold), "pairs")
+    near = pairs.withColumn("ratio", block_ratio(F.col("a"), F.col("b"))).filter(F.col("ratio") >= threshold).join(register, "b")
     best = near.groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "scrip_code")).alias("x")).select("a", "x.scrip_code", (-F.col("x.r")).alias("ratio"))
     return tenders.withColumn("a", clean(F.col("winner"))).join(exact.unionByName(best), "a").drop("a")
 
 
-def best_match(left: DataFrame, right: DataFrame, threshold: float, measure=token_sort_ratio) -> DataFrame:
-    """left_name, right_name, score: for each name of left(name) its best of right(name, weight) with at least threshold; of equals the heaviest, then first.
+def best_match(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """left_name, right_name, score: for each name of left(name) its best of right(name, weight) by the ratio of sorted words, if at least threshold.
 
-    Pairs are bounded by length first (a ratio of t needs 200 * shorter >= t * both), in a join on classes of length;
-    right is a register of names, each normalised name once. Names of fitting length all meet: the register has to stay one.
+    Of equals the heaviest, then the last by name. right is a register of names, each normalised name once; names under
+    three characters are left out. Pairs are found by what they share (similarity.alike), in any number.
     """
-    a = left.select(F.col("name").alias("left_name"), normal_name(F.col("name")).alias("a")).distinct()
-    b = right.groupBy(normal_name(F.col("name")).alias("b")).agg(F.max_by("name", "weight").alias("right_name"), F.max("weight").alias("weight"))
-    long_enough = lambda d, c: d.filter(F.length(c) >= 3)
-    pairs = _fitting(long_enough(a, "a"), long_enough(b, "b"), threshold).withColumn("score", measure(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
-    best = F.max(F.struct("score", "weight", "right_name")).alias("x")
-    return pairs.groupBy("left_name").agg(best).select("left_name", "x.right_name", F.round("x.score", 4).alias("score"))
+    by_words = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
+    a = left.select(F.col("name").alias("left_name"), normal_name(F.col("name")).alias("n")).distinct().filter(F.length("n") >= 3).select("left_name", by_words(F.col("n")).alias("a"))
+    b = right.groupBy(normal_name(F.col("name")).alias("n")).agg(F.max_by("name", F.struct("weight", "name")).alias("right_name"), F.max("weight").alias("weight"))
+    a, b = S.stored(a, "names"), S.stored(b.filter(F.length("n") >= 3).select("right_name", "weight", by_words(F.col("n")).alias("b")), "register")
+    pairs = S.stored(S.alike(a.select(F.col("a").alias("s")), b.select(F.col("b").alias("s")), threshold), "pairs")
+    scored = pairs.withColumn("score", indel_ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
+    best = scored.join(b, "b").groupBy("a").agg(F.max(F.struct("score", "weight", "right_name")).alias("x"))
+    return a.join(best, "a").select("left_name", "x.right_name", F.round("x.score", 4).alias("score"))
 
 
 def resolve(names: DataFrame, register: DataFrame, threshold: float = 92.0) -> DataFrame:
@@ -135,8 +143,24 @@ def resolve(names: DataFrame, register: DataFrame, threshold: float = 92.0) -> D
     Of register(name, weight, seq) names that are the same when normalised, the one with the last seq stands.
     """
     reg = register.groupBy(normal_name(F.col("name")).alias("n")).agg(F.max_by("name", "seq").alias("match"))
-    tier = names.select("name", normal_name(F.col("name")).alias("n")).distinct().join(reg, "n", "left")
+    tier = S.stored(names.select("name", normal_name(F.col("name")).alias("n")).distinct().join(reg, "n", "left"), "tier")
     rest = best_match(tier.filter("match IS NULL").select("name"), register, threshold)
     out = tier.join(rest.select(F.col("left_name").alias("name"), "right_name"), "name", "left")
     how = F.when(F.col("match").isNotNull(), "exact").when(F.col("right_name").isNotNull(), "fuzzy").otherwise("none")
     return out.select("name", F.coalesce("match", "right_name").alias("match"), how.alias("how"))
+
+
+def resolve_companies(asked: DataFrame, companies: DataFrame, threshold: float = 92.0) -> DataFrame:
+    """asked(name, scrip_code) with cin, how ('scrip', 'exact', 'fuzzy' or 'none'): by the code first, then by name among companies(scrip_code, name, cin).
+
+    A company without a cin ('' counts as none) tells nothing. Of companies of one normalised name the last code stands.
+    """
+    known = companies.filter("cin <> ''")
+    codes = known.groupBy("scrip_code").agg(F.max("cin").alias("by_code"))
+    coded = S.stored(asked.select("name", "scrip_code").join(codes, "scrip_code", "left"), "coded")
+    register = known.select("name", F.lit(1.0).alias("weight"), F.col("scrip_code").alias("seq"))
+    told = resolve(coded.filter("by_code IS NULL AND name IS NOT NULL").select("name"), register, threshold)
+    cins = known.groupBy(F.col("name").alias("match")).agg(F.max_by("cin", "scrip_code").alias("by_name"))
+    out = coded.join(told.join(cins, "match", "left"), "name", "left")
+    how = F.when(F.col("by_code").isNotNull(), "scrip").otherwise(F.coalesce("how", F.lit("none")))
+    return out.select("name", "scrip_code", F.coalesce("by_code", "by_name").alias("cin"), how.alias("how"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tidemark.sources.landing import landing_dir
+
 
 def t_tail(t: float, df: float) -> float:
     """Two-sided p-value of Student's t, by the continued fraction of the incomplete beta function."""
@@ -110,17 +112,22 @@ def ols2_inference(rows: DataFrame, y: str, x1: str, x2: str, level: float = 0.0
 def verdict(base_meaningful: Column, win_viable: Column, model_viable: Column) -> Column:
     """What the tests come to; an unknown outcome counts as failed."""
     base, win, model = (F.coalesce(c, F.lit(False)) for c in (base_meaningful, win_viable, model_viable))
+    # The three outcomes.
     return F.when(base & win & model, "SIGNAL VALIDATED (ML APPROVED)").when(base & win, "SIGNAL VALIDATED (RULES ONLY)").otherwise("SIGNAL NEEDS REVIEW")
 
 
 def folds(rows: DataFrame, order: list[str], k: int = 3) -> DataFrame:
     """rows with fold: walk-forward, k equal test blocks at the end (1 to k) and what comes before them (0). Fold f is trained on all before f.
 
-    The order is over all rows; they are numbered by ranges, each in its own task, not in one.
+    The order is over all rows, and has to tell any two apart; they are numbered by ranges, each in its own task, not in
+    one. The ranges are stored, so that counting and numbering see the same ones.
     """
     spark = rows.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    path = landing_dir(spark, "ranges")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     counts = ranged.groupBy("__p").count()
     before = counts.alias("a").join(counts.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__q")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("__before"))
     total = counts.agg(F.sum("count").alias("__n"))
@@ -131,41 +138,6 @@ def folds(rows: DataFrame, order: list[str], k: int = 3) -> DataFrame:
     return out.withColumn("fold", F.when(F.col("__rn") <= first, 0).otherwise(F.floor((F.col("__rn") - first - 1) / size) + 1).cast("int")).drop("__p", "__q", "__before", "__n", "__rn")
 
 
-def walk_forward_gbt(rows: DataFrame, features: list[str], label: str, k: int = 3, depth: int = 2, step: float = 0.05, rounds: int = 50) -> DataFrame:
-    """fold, n, accuracy: boosted trees trained on all earlier folds and tested on each. rows have fold (see folds) and should be stored."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(rows.withColumn("__y", F.col(label).cast("double"))).select("fold", "__x", "__y")
-    out = None
-    for f in range(1, k + 1):
-        model = GBTClassifier(featuresCol="__x", labelCol="__y", maxDepth=depth, stepSize=step, maxIter=rounds, seed=7).fit(data.filter(F.col("fold") < f))
-        told = model.transform(data.filter(F.col("fold") == f)).groupBy("fold").agg(F.count("__y").alias("n"), F.avg((F.col("prediction") == F.col("__y")).cast("double")).alias("accuracy"))
-        out = told if out is None else out.unionByName(told)
-    return out
-
-
-def gbt_importance(rows: DataFrame, features: list[str], label: str, depth: int = 2, step: float = 0.05, rounds: int = 50) -> DataFrame:
-    """feature, importance: by how much a feature's splits lower the impurity, as a share of all (Spark ML's measure, where the reference has the mean gain of a split)."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(rows.withColumn("__y", F.col(label).cast("double"))).select("__x", "__y")
-    model = GBTClassifier(featuresCol="__x", labelCol="__y", maxDepth=depth, stepSize=step, maxIter=rounds, seed=7).fit(data)
-    return rows.sparkSession.createDataFrame([(f, float(model.featureImportances[i])) for i, f in enumerate(features)], "feature string, importance double")
-
-
-def grid_search(rows: DataFrame, features: list[str], label: str, depths=(2, 3, 4), steps=(0.01, 0.05, 0.1, 0.2), rounds=(30, 50, 100), k: int = 3) -> DataFrame:
-    """depth, step, rounds, accuracy of each setting: the mean accuracy of its walk-forward folds, never trained on what comes later. rows have fold and should be stored."""
-    found = []
-    for depth in depths:
-        for step in steps:
-            for n in rounds:
-                told = walk_forward_gbt(rows, features, label, k, depth, step, n).agg(F.avg("accuracy")).first()[0]
-                found.append((depth, step, n, told))
-    return rows.sparkSession.createDataFrame(found, "depth int, step double, rounds int, accuracy double")
-
-
 def sampled(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """n rows in the order of a hash of the key: the same on every run."""
     return rows.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

@@ -38,10 +38,11 @@ VIEWS = {
                CASE l_returnflag WHEN 'N' THEN 'BUY' WHEN 'R' THEN 'SELL' ELSE 'OTHER' END AS side, l_linestatus = 'O' AS at_market,
                c_mktsegment = 'HOUSEHOLD' AS is_promoter, l_quantity AS quantity, l_extendedprice AS price, l_discount * 100 AS pct
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
-    # some clients bear a tracked investor's name, its words in another order, or an institution's
+    # some clients bear a tracked investor's name, its words in another order or misspelt, an institution's, or a register name with more words or misspelt
     "bulk_deals": """
         SELECT seq, scrip_code, deal_date, side, quantity, price,
-               CASE seq % 97 WHEN 0 THEN 'Kacholia Ashish' WHEN 1 THEN 'Vijay Kedia' WHEN 2 THEN 'Sunrise Mutual Fund' WHEN 3 THEN 'dolly khanna huf' ELSE client END AS client
+               CASE seq % 97 WHEN 0 THEN 'Kacholia Ashish' WHEN 1 THEN 'Vijay Kedia' WHEN 2 THEN 'Sunrise Mutual Fund' WHEN 3 THEN 'dolly khanna huf'
+               WHEN 4 THEN 'Vijay Kediaa' WHEN 5 THEN 'nation_7 trading co' WHEN 6 THEN 'natiom_12' WHEN 7 THEN 'kachol as' ELSE client END AS client
         FROM deals""",
     "holdings": """
         SELECT l_orderkey * 10 + l_linenumber AS seq, CAST(l_suppkey AS STRING) AS scrip_code, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quarter_date,

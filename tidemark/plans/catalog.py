@@ -293,13 +293,6 @@ def company_upsert(t):
     return tables.merge(old, new.unionByName(more), ["scrip_code"], overwrite=("name",), blank_is_null=("cin",))
 
 
-@query("SELECT l_partkey AS din, l_suppkey AS cin, arg_max(l_orderkey, l_orderkey * 100 + l_linenumber) AS last_order, max(l_shipdate)::DATE AS seen FROM lineitem WHERE l_quantity > 48 GROUP BY 1, 2")
-def director_upsert(t):
-    rows = t.lineitem.filter("l_quantity > 48").select(F.col("l_partkey").alias("din"), F.col("l_suppkey").alias("cin"), F.col("l_orderkey").alias("last_order"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_shipdate").cast("date").alias("day"))
-    seen = rows.groupBy("din", "cin").agg(F.max("day").alias("seen"))
-    return tables.latest(rows.drop("day"), ["din", "cin"], "seq").drop("seq").join(seen, ["din", "cin"])
-
-
 @query("SELECT l_partkey AS din, l_suppkey AS cin, arg_max(l_orderkey, l_orderkey * 100 + l_linenumber) AS last_order, max(l_shipdate)::DATE AS seen FROM lineitem GROUP BY 1, 2")
 def director_upsert_all(t):
     rows = t.lineitem.select(F.col("l_partkey").alias("din"), F.col("l_suppkey").alias("cin"), F.col("l_orderkey").alias("last_order"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_shipdate").cast("date").alias("day"))
@@ -414,11 +407,6 @@ def page_titles(t):
     return t.pages.select("page_id", F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).cast("long").alias("links"))
 
 
-@query("SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events WHERE value > 10")
-def event_props(t):
-    return t.events.filter("value > 10").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-
-
 @query("SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events")
 def event_props_all(t):
     return t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
@@ -684,10 +672,28 @@ def niche_match(t):
     return F.broadcast(_values(t, NICHES, "id long, niche string")).join(t.companies, signals.words_match(F.col("niche"), F.col("sector"))).select("id", "scrip_code")
 
 
-#: Of whole words only, which is what the ratio of word sets comes to for the names of the views.
-TRACKED = f"""stars AS (SELECT string_split(n, ' ') AS w FROM {_literal([(x,) for x in SUPERSTARS], "n")}), clients AS (SELECT DISTINCT client FROM bulk_deals),
-tr AS (SELECT client, CASE WHEN EXISTS (SELECT 1 FROM stars WHERE list_has_all(string_split(upper(client), ' '), w)) THEN 'superstar'
-  WHEN regexp_matches(upper(client), 'MUTUAL FUND|CAPITAL|SECURITIES|HOLDINGS|INVESTMENT|ASSET MANAGEMENT|FUND') THEN 'institution' END AS why FROM clients)"""
+def lcs_sql(pairs: str) -> str:
+    """The body of a CTE (a, b, n): the length of the longest common subsequence of each pair (a, b) of a query, row by row of the table of prefixes."""
+    return f"""WITH RECURSIVE step AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS r FROM ({pairs})
+UNION ALL SELECT a, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: list_max(list_slice(c, 1, j + 1))) FROM (
+  SELECT a, b, i, list_transform(range(0, length(b) + 1), lambda k: CASE WHEN k = 0 THEN 0 WHEN b[k] = a[i + 1] THEN greatest(r[k + 1], r[k] + 1) ELSE r[k + 1] END) AS c FROM step WHERE i < length(a)))
+SELECT a, b, r[length(b) + 1] AS n FROM step WHERE i = length(a)"""
+
+
+def set_ratio_sql(name: str, pairs: str) -> str:
+    """CTEs that end in name(x, y, score): the ratio of word sets of each pair (x, y) of a query."""
+    own = "list_sort(list_distinct(list_filter(string_split_regex({}, '\\s+'), lambda t: t <> '')))"
+    return f"""{name}w AS (SELECT x, y, {own.format("x")} AS wx, {own.format("y")} AS wy FROM ({pairs})),
+{name}p AS (SELECT x, y, array_to_string(list_filter(wx, lambda t: list_contains(wy, t)), ' ') AS c, array_to_string(list_filter(wx, lambda t: NOT list_contains(wy, t)), ' ') AS ox, array_to_string(list_filter(wy, lambda t: NOT list_contains(wx, t)), ' ') AS oy FROM {name}w),
+{name}q AS (SELECT *, trim(c || ' ' || ox) AS a, trim(c || ' ' || oy) AS b FROM {name}p), {name}l AS ({lcs_sql(f"SELECT DISTINCT a, b FROM {name}q")}),
+{name} AS (SELECT x, y, CASE WHEN c <> '' AND (ox = '' OR oy = '') THEN 100.0 ELSE greatest(200.0::DOUBLE * n / (length(a) + length(b)), CASE WHEN c <> '' THEN greatest(200.0::DOUBLE * length(c) / (length(c) + length(a)), 200.0::DOUBLE * length(c) / (length(c) + length(b))) ELSE 0 END) END AS score FROM {name}q JOIN {name}l USING (a, b))"""
+
+
+INSTITUTIONAL = "MUTUAL FUND|CAPITAL|SECURITIES|HOLDINGS|INVESTMENT|ASSET MANAGEMENT|FUND"
+TRACKED = f"""clients AS (SELECT DISTINCT client, upper(client) AS x FROM bulk_deals),
+{set_ratio_sql("sr", f"SELECT x, n AS y FROM (SELECT DISTINCT x FROM clients), {_literal([(x,) for x in SUPERSTARS], 'n')}")},
+{set_ratio_sql("dn", "SELECT x, n_name AS y FROM (SELECT DISTINCT x FROM clients), nation")},
+tr AS (SELECT client, CASE WHEN x IN (SELECT x FROM sr WHERE score > 90) THEN 'superstar' WHEN regexp_matches(x, '{INSTITUTIONAL}') THEN 'institution' WHEN x IN (SELECT x FROM dn WHERE score >= 75) THEN 'donor' END AS why FROM clients)"""
 TRACKED_BUYS = f"""{TRACKED}, lastb AS (SELECT scrip_code, client FROM (SELECT *, row_number() OVER (PARTITION BY scrip_code ORDER BY seq DESC) AS k FROM bulk_deals WHERE side = 'BUY') WHERE k <= 50),
 tb AS (SELECT DISTINCT scrip_code FROM lastb JOIN tr USING (client) WHERE why IS NOT NULL)"""
 STAR_NAMES = "|".join(SUPERSTARS)
@@ -784,12 +790,6 @@ def volume_alerts(t):
 # --- portfolio -------------------------------------------------------------------------------------------------------
 
 
-@query("WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 8 AS p, l_quantity AS w, l_tax * 200 + 1 AS l FROM lineitem WHERE l_quantity > 49), k AS (SELECT *, (p - (1 - p) / (w / l)) * 100 AS full_ FROM x) SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN p > 0 AND full_ > 0 THEN least(full_ * 0.5, 5) ELSE 0 END, 4) AS kelly FROM k")
-def kelly_size(t):
-    x = t.lineitem.filter("l_quantity > 49")
-    return x.select("l_orderkey", "l_linenumber", "l_partkey", F.round(portfolio.kelly_pct(F.col("l_discount") * 8, F.col("l_quantity"), F.col("l_tax") * 200 + 1), 4).alias("kelly"))
-
-
 @query("WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 8 AS p, l_quantity AS w, l_tax * 200 + 1 AS l FROM lineitem), k AS (SELECT *, (p - (1 - p) / (w / l)) * 100 AS full_ FROM x) SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN p > 0 AND full_ > 0 THEN least(full_ * 0.5, 5) ELSE 0 END, 4) AS kelly FROM k")
 def kelly_size_all(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(portfolio.kelly_pct(F.col("l_discount") * 8, F.col("l_quantity"), F.col("l_tax") * 200 + 1), 4).alias("kelly"))
@@ -825,40 +825,6 @@ def walk_forward_folds(t):
     return stats.folds(t.orders, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "fold")
 
 
-@query()
-def gbt_walk_forward(t):
-    rows = stats.folds(t.orders, ["o_orderdate", "o_orderkey"]).select("fold", F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 7).alias("k"), (F.col("o_totalprice") > 250000).alias("y")).cache()
-    return stats.walk_forward_gbt(rows, ["month", "k"], "y")
-
-
-# --- names -----------------------------------------------------------------------------------------------------------
-
-
-@query()
-def token_sort_match(t):
-    right = t.part.groupBy(F.col("p_name").alias("name")).agg(F.sum("p_retailprice").alias("weight"))
-    return entity.best_match(t.part.select(F.reverse(F.split("p_name", " ")).alias("w")).select(F.array_join("w", " ").alias("name")).distinct(), right, 75.0)
-
-
-@query()
-def token_set_match(t):
-    names = t.part.select(F.col("p_name").alias("a")).distinct()
-    other = t.nation.select(F.concat_ws(" ", F.lower("n_name"), F.lit("widget")).alias("b"))
-    return names.crossJoin(F.broadcast(other)).select("a", "b", F.round(entity.token_set_ratio(F.col("a"), F.col("b")), 4).alias("score")).filter("score > 50")
-
-
-@query()
-def ratcliff_match(t):
-    pairs = t.nation.alias("x").crossJoin(F.broadcast(t.nation.alias("y"))).select(F.lower("x.n_name").alias("a"), F.lower("y.n_name").alias("b"))
-    return pairs.select("a", "b", F.round(entity.block_ratio(F.col("a"), F.col("b")), 4).alias("score")).filter("score >= 0.6")
-
-
-@query("SELECT DISTINCT p_name || ' Ltd.' AS name, p_name AS match, 'exact' AS how FROM part")
-def resolve_names(t):
-    register = t.part.groupBy(F.col("p_name").alias("name")).agg(F.sum("p_retailprice").alias("weight"), F.max("p_partkey").alias("seq"))
-    return entity.resolve(t.part.select(F.concat("p_name", F.lit(" Ltd.")).alias("name")).distinct(), register)
-
-
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 

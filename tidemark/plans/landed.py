@@ -180,11 +180,6 @@ def parameterised_read(t):
 MESSAGES = [("1", "/exit 500049"), ("1", "/EXIT"), ("2", "/exit 7"), ("1", " /exit  12 now"), ("1", None), ("1", "please /exit 3")]
 
 
-@query(f"SELECT split_part(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ', 2) AS scrip_code FROM {_literal(MESSAGES, 'chat, text')} WHERE chat = '1' AND starts_with(lower(trim(text)), '/exit') AND contains(trim(text), ' ')")
-def exit_commands(t):
-    return readers.exit_commands(_values(t, MESSAGES, "chat string, text string"), "1")
-
-
 @query("SELECT donor_name, 'bond' AS source FROM (SELECT DISTINCT c_name AS donor_name FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT donor_name, 'page' FROM (SELECT DISTINCT c_name AS donor_name FROM customer WHERE c_custkey % 2 = 1) WHERE (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) < 50")
 def source_gates(t):
     one = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_name").alias("donor_name"), F.lit("bond").alias("source"))

@@ -72,28 +72,6 @@ def win_rate_boosted(t):
     return rows.agg(F.count("won").alias("signals"), wins.alias("wins"), F.count_if(~F.col("won")).alias("losses"), F.count_if(F.col("won") & F.col("boosted")).alias("boosted_wins"), F.round(rate, 1).alias("win_rate_pct"), (rate >= 55).alias("viable"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND coalesce(o_orderkey % 3 = 0, false) AND o_orderkey % 5 < 2 THEN 'SIGNAL VALIDATED (ML APPROVED)' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'SIGNAL VALIDATED (RULES ONLY)' ELSE 'SIGNAL NEEDS REVIEW' END AS verdict FROM orders")
-def verdicts(t):
-    k = F.col("o_orderkey")
-    return t.orders.select("o_orderkey", stats.verdict(k % 2 == 0, k % 3 == 0, k % 5 < 2).alias("verdict"))
-
-
-@query()
-def gbt_importance(t):
-    rows = t.orders.select(F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 7).alias("k"), (F.col("o_totalprice") > 250000).alias("y"))
-    return stats.gbt_importance(rows, ["month", "k"], "y")
-
-
-@query("SELECT count(*) FILTER (p_partkey % 3 > 0) AS resolved, count(*) FILTER (p_partkey % 3 = 0) AS unresolved FROM (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1)")
-def resolved_counts(t):
-    """Names of which two thirds are in the register under another form, and one third is like none of it."""
-    one = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("k"))
-    register = one.filter("k % 3 > 0").select(F.col("p_name").alias("name"), F.lit(1.0).alias("weight"), F.col("k").alias("seq"))
-    names = one.select(F.when(F.col("k") % 3 > 0, F.concat(F.upper("p_name"), F.lit(" Pvt. Ltd."))).otherwise(F.concat(F.lit("zz"), F.col("k").cast("string"), F.lit("qqqqqqqqqqqqqqqqqqqqqqqqqqqqqqq"))).alias("name"))
-    told = entity.resolve(names, register)
-    return told.agg(F.count_if(F.col("how") != "none").alias("resolved"), F.count_if(F.col("how") == "none").alias("unresolved"))
-
-
 @query(
     """WITH r AS (SELECT c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'C' || c_custkey::VARCHAR END AS cin FROM customer)
 SELECT d.donor_name, count(*) AS n, count(coalesce(r.cin, d.donor_cin)) AS with_cin FROM donors d JOIN r ON r.c_name = d.donor_name GROUP BY 1""",
