@@ -315,3 +315,18 @@ def test_model_answers(spark):
     assert {r.p: r.answer and r.answer.a for r in answered(rows, "p", model, "a int").collect()} == {"x": 1, "y": None, None: None}
     failed = answered(spark.createDataFrame([("boom",)], "p string"), "p", model, "a int", '{"a": 7}')
     assert failed.first().answer.a == 7
+
+
+@pytest.mark.parametrize("n", [5, 14, 60, 2300])
+def test_last_day_fold(spark, n):
+    """The fold over a series' last rows gives what the windows give on its last day."""
+    df = spark.createDataFrame(series(n, 3), "scrip_code string, trade_date date, open double, high double, low double, close double, volume double")
+    got = indicators.technical_score(df).first()
+    last = lambda d, *c: [d.orderBy(F.desc("rn")).first()[x] for x in c]
+    (rsi,) = last(indicators.rsi(df), "rsi")
+    hist, bullish = last(indicators.macd_bullish(indicators.macd(df)), "macd_hist", "macd_bullish")
+    (stop,) = last(indicators.atr(df), "atr_stop")
+    (slope,) = last(indicators.obv_slope(indicators.obv(indicators.numbered(df))), "obv_slope")
+    assert got.rsi == pytest.approx(rsi) if rsi is not None else got.rsi is None
+    assert got.macd_hist == pytest.approx(hist) and got.atr_stop == pytest.approx(stop)
+    assert got.ta_score >= (2 if bullish else 0) + (2 if slope is not None and slope > 0 else 0)

@@ -39,14 +39,19 @@ def forward_returns(events: DataFrame, prices: DataFrame, days=RETURN_DAYS) -> D
 
 
 def daily_returns(prices: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """scrip_code, trade_date, r, m, rn: a scrip's and the benchmark's daily returns on days that both have.
+    """scrip_code, trade_date, r, m, rn, n and running sums cr, cm, crm, cmm: a scrip's and the benchmark's daily returns on days that both have.
 
-    The benchmark is one series of some thousand days; its own window has no key, which is bounded by the calendar.
+    rn numbers a scrip's rows, n is how many it has, and the sums are of r, m, r * m and m * m up to and with a row; all
+    come from one sort. The benchmark is one series of some thousand days; its own window has no key, which is bounded
+    by the calendar.
     """
     own = prices.select("scrip_code", "trade_date", (F.col("close") / F.lag("close").over(Window.partitionBy("scrip_code").orderBy("trade_date")) - 1).alias("r"))
     market = benchmark.select("trade_date", (F.col("close") / F.lag("close").over(Window.orderBy("trade_date")) - 1).alias("m"))
     both = own.join(market, "trade_date").filter("r IS NOT NULL AND m IS NOT NULL")
-    return both.withColumn("rn", F.row_number().over(Window.partitionBy("scrip_code").orderBy("trade_date")))
+    by = Window.partitionBy("scrip_code").orderBy("trade_date")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"cr": F.col("r"), "cm": F.col("m"), "crm": F.col("r") * F.col("m"), "cmm": F.col("m") * F.col("m")}
+    return both.select("*", F.row_number().over(by).alias("rn"), F.count("r").over(Window.partitionBy("scrip_code")).alias("n"), *[F.sum(x).over(upto).alias(c) for c, x in sums.items()])
 
 
 def car_windows(events: DataFrame, returns: DataFrame, windows=CAR_WINDOWS, estimation=(-120, -11), least: int = 20) -> DataFrame:
@@ -54,24 +59,32 @@ def car_windows(events: DataFrame, returns: DataFrame, windows=CAR_WINDOWS, esti
 
     With fewer than least estimation rows the benchmark's own return is taken off. A window that the series doesn't hold
     two rows of is left out, and so are scrips of under 30 rows and events after the last row.
+
+    An event finds its row among those of the three months from its day on, by scrip and month. Each window, and the
+    fit, is then the difference of two rows of running sums (daily_returns), which are looked up by scrip and number: ten rows an
+    event, whatever the windows hold.
     """
-    sizes = returns.groupBy(F.col("scrip_code").alias("sk")).agg(F.max("rn").alias("n")).filter("n >= 30")
-    days = returns.select(F.col("scrip_code").alias("k"), "trade_date", F.col("rn"))
-    at = events.select(*EVENT).join(days, (F.col("scrip_code") == F.col("k")) & F.col("trade_date").between(F.col("event_date"), F.date_add("event_date", 60))).groupBy(*EVENT).agg(F.min("rn").alias("pos"))
-    at = at.join(sizes, F.col("scrip_code") == F.col("sk"))
-    lo, hi = min(estimation[0], min(a for a, _ in windows)), max(b for _, b in windows)
-    near = returns.select(F.col("scrip_code").alias("k"), F.col("rn").alias("x"), "r", "m")
-    rows = at.join(near, (F.col("scrip_code") == F.col("k")) & F.col("x").between(F.col("pos") + lo, F.col("pos") + hi))
-    est = F.col("x").between(F.col("pos") + estimation[0], F.col("pos") + estimation[1] - 1)
-    on = lambda c: F.when(est, F.col(c))
-    fit = rows.groupBy(*EVENT, "pos", "n").agg(
-        F.count(on("r")).alias("rows"),
-        F.regr_slope(on("r"), on("m")).alias("beta"),
-        F.regr_intercept(on("r"), on("m")).alias("alpha"),
-        *[F.sum(F.when(F.col("x").between(F.greatest(F.lit(1), F.col("pos") + a), F.least(F.col("n"), F.col("pos") + b)), F.col(c))).alias(f"{c}{i}") for i, (a, b) in enumerate(windows) for c in ("r", "m")],
-        *[F.count(F.when(F.col("x").between(F.greatest(F.lit(1), F.col("pos") + a), F.least(F.col("n"), F.col("pos") + b)), F.col("r"))).alias(f"k{i}") for i, (a, b) in enumerate(windows)],
-    )
-    parts = [F.struct(F.lit(a).alias("pre"), F.lit(b).alias("post"), F.col(f"r{i}").alias("r"), F.col(f"m{i}").alias("m"), F.col(f"k{i}").alias("k")) for i, (a, b) in enumerate(windows)]
+    known = returns.filter("n >= 30")
+    months = known.groupBy(F.col("scrip_code").alias("k"), _month(F.col("trade_date")).alias("m")).agg(F.array_sort(F.collect_list(F.struct("trade_date", "rn", "n"))).alias("days"))
+    asked = events.select(*EVENT, F.explode(F.sequence(_month(F.col("event_date")), _month(F.date_add("event_date", 60)))).alias("at"))
+    met = asked.join(months, (F.col("scrip_code") == F.col("k")) & (F.col("at") == F.col("m")))
+    within = F.filter("days", lambda x: (x["trade_date"] >= F.col("event_date")) & (x["trade_date"] <= F.date_add("event_date", 60)))
+    at = met.select(*EVENT, F.get(within, F.lit(0)).alias("d")).filter("d IS NOT NULL").groupBy(*EVENT).agg(F.min(F.struct("d.rn", "d.n")).alias("d")).select(*EVENT, F.col("d.rn").alias("pos"), "d.n")
+    ends = sorted({estimation[0] - 1, estimation[1] - 1} | {x for a, b in windows for x in (a - 1, b)})
+    row = lambda o: F.least(F.col("n"), F.col("pos") + o)  # noqa: E731  0 and less: before the series
+    asked = at.select(*EVENT, "pos", "n", F.explode(F.array(*[F.struct(F.lit(o).alias("o"), row(o).alias("x")) for o in ends])).alias("e")).select(*EVENT, "pos", "n", "e.o", "e.x")
+    sums = known.select(F.col("scrip_code").alias("k"), F.col("rn").alias("x"), F.struct("cr", "cm", "crm", "cmm").alias("s"))
+    found = asked.filter("x > 0").join(sums.withColumnRenamed("x", "y"), (F.col("scrip_code") == F.col("k")) & (F.col("x") == F.col("y")))
+    found = found.groupBy(*EVENT, "pos", "n").agg(F.map_from_entries(F.collect_list(F.struct("o", "s"))).alias("sums"))
+    upto = lambda o, c: F.coalesce(F.try_element_at("sums", F.lit(o))[c], F.lit(0.0))
+    within = lambda a, b, c: upto(b, c) - upto(a - 1, c)
+    count = lambda a, b: F.greatest(row(b), F.lit(0)) - F.greatest(row(a - 1), F.lit(0))
+    a, b = estimation[0], estimation[1] - 1
+    fit = found.select("*", count(a, b).alias("rows"), *[within(a, b, c).alias(c) for c in ("cr", "cm", "crm", "cmm")])
+    spread = F.col("cmm") - F.col("cm") * F.col("cm") / F.col("rows")
+    fit = fit.withColumn("beta", F.when((F.col("rows") > 0) & (spread > F.col("cmm") * 1e-14), (F.col("crm") - F.col("cr") * F.col("cm") / F.col("rows")) / spread))
+    fit = fit.withColumn("alpha", F.when(F.col("rows") > 0, (F.col("cr") - F.col("beta") * F.col("cm")) / F.col("rows")))
+    parts = [F.struct(F.lit(x).alias("pre"), F.lit(y).alias("post"), within(x, y, "cr").alias("r"), within(x, y, "cm").alias("m"), count(x, y).alias("k")) for x, y in windows]
     long_ = fit.select("id", "scrip_code", "rows", "alpha", "beta", F.explode(F.array(*parts)).alias("w")).filter("w.k > 1")
     model = F.when(F.col("rows") >= least, F.col("w.k") * F.col("alpha") + F.col("beta") * F.col("w.m")).otherwise(F.col("w.m"))
     return long_.select("id", "scrip_code", "w.pre", "w.post", F.round((F.col("w.r") - model) * 100, 4).alias("car"))

@@ -112,22 +112,53 @@ def volume_spike(prices: DataFrame, rows: int = 14, z: float = 3.0) -> DataFrame
     return out.select(KEY, DAY, "volume", score.alias("z_score"), (score > z).alias("is_spike"))
 
 
+#: Rows from which a last day's averages are worked out: what comes before weighs under (25 / 27) ** REACH of it.
+REACH = 1200
+#: One row more in the running averages of a series: what has come so far (a) and the row (x).
+STEP = """named_struct(
+  'c', x.close,
+  'fast', a.fast + 2D / 13 * (x.close - a.fast),
+  'slow', a.slow + 2D / 27 * (x.close - a.slow),
+  'sig', a.sig + 0.2D * ((a.fast + 2D / 13 * (x.close - a.fast)) - (a.slow + 2D / 27 * (x.close - a.slow)) - a.sig),
+  'h', (a.fast + 2D / 13 * (x.close - a.fast) - a.slow - 2D / 27 * (x.close - a.slow) - a.sig) * 0.8D,
+  'h1', a.h, 'h2', a.h1,
+  'gain', a.gain * 13D / 14 + greatest(x.close - a.c, 0D),
+  'loss', a.loss * 13D / 14 + greatest(a.c - x.close, 0D),
+  'weight', a.weight * 13D / 14 + 1,
+  'atr', a.atr + 2D / 15 * (greatest(x.high - x.low, abs(x.high - a.c), abs(x.low - a.c)) - a.atr))"""
+FIRST = """named_struct('c', rows[0].close, 'fast', rows[0].close, 'slow', rows[0].close, 'sig', 0D, 'h', 0D, 'h1', CAST(NULL AS DOUBLE), 'h2', CAST(NULL AS DOUBLE),
+  'gain', 0D, 'loss', 0D, 'weight', 1D, 'atr', rows[0].high - rows[0].low)"""
+LAST = {
+    "sma50": "IF(size(rows) >= 50, aggregate(slice(rows, -50, 50), 0D, (t, x) -> t + x.close) / 50, NULL)",
+    "sma200": "IF(size(rows) >= 200, aggregate(slice(rows, -200, 200), 0D, (t, x) -> t + x.close) / 200, NULL)",
+    "vwap": "IF(size(rows) >= 20, aggregate(slice(rows, -20, 20), 0D, (t, x) -> t + (x.high + x.low + x.close) / 3 * x.volume) / nullif(aggregate(slice(rows, -20, 20), 0D, (t, x) -> t + x.volume), 0D), NULL)",
+    # the slope of the last ten rows of on-balance volume, which doesn't depend on where it starts: a step counts for all rows from its own on
+    "obv_slope": "IF(size(rows) >= 10, aggregate(sequence(1, 9), 0D, (t, i) -> t + i * (10 - i) / 2D * coalesce(element_at(rows, i - 10).volume * signum(element_at(rows, i - 10).close - element_at(rows, i - 11).close), 0D)) / 82.5D, NULL)",
+}
+
+
 def technical_score(prices: DataFrame) -> DataFrame:
-    """Each scrip's last day: rsi, macd_hist, ta_score (0 to 10), ta_signal and ta_adjustment."""
-    rows = macd_bullish(macd(rsi(prices)))
-    rows = obv_slope(obv(vwap(atr(rows))))
-    rows = rows.withColumn("sma50", full_window(F.col("close"), 50)).withColumn("sma200", full_window(F.col("close"), 200))
-    rows = rows.withColumn("back", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(DAY)))).filter("back = 1")
+    """Each scrip's last day: rsi, macd_hist, ta_score (0 to 10), ta_signal and ta_adjustment.
+
+    One aggregate gathers a scrip's days (a calendar's at most); the averages of the last REACH are then one fold over
+    them, and no window is worked out for days that aren't asked for.
+    """
+    day = F.struct(DAY, *[F.col(c).cast("double").alias(c) for c in ("close", "high", "low", "volume")])
+    rows = prices.groupBy(KEY).agg(F.array_sort(F.collect_list(day)).alias("rows")).withColumn("rn", F.size("rows"))
+    rows = rows.withColumn("rows", F.slice("rows", F.greatest(F.lit(1), F.col("rn") - REACH), F.lit(REACH + 1)))
+    rows = rows.withColumn("f", F.expr(f"aggregate(slice(rows, 2, {REACH}), {FIRST}, (a, x) -> {STEP})"))
+    rows = rows.select(KEY, "rn", F.element_at("rows", -1)[DAY].alias(DAY), F.col("f.c").alias("close"), "f.h", "f.h1", "f.h2", "f.gain", "f.loss", "f.atr", *[F.expr(x).alias(c) for c, x in LAST.items()])
+    rows = rows.withColumn("rsi", F.when(F.col("rn") >= 14, 100 - 100 / (1 + F.col("gain") / F.nullif(F.col("loss"), F.lit(0.0))))).withColumn("macd_hist", F.col("h")).withColumn("atr_stop", F.col("close") - 2 * F.col("atr"))
+    bullish = F.coalesce((F.col("h") > 0) & ((F.col("h2") <= 0) | (F.col("h") > F.col("h1"))) & F.col("h2").isNotNull(), F.lit(False))
     golden = F.coalesce(F.col("sma50") > F.col("sma200"), F.lit(False))
     parts = [
         F.when(F.col("rsi") < 30, 2.0).when(F.col("rsi") < 40, 1.5).when(F.col("rsi") < 55, 1.0).when(F.col("rsi") < 70, 0.5).otherwise(0.0),
-        F.when(F.col("macd_bullish"), 2.0).when(F.col("macd_hist") > 0, 1.0).otherwise(0.0),
+        F.when(bullish, 2.0).when(F.col("macd_hist") > 0, 1.0).otherwise(0.0),
         F.when(golden & (F.col("close") > F.col("sma50")), 2.0).when(golden, 1.0).when(F.col("close") > F.col("sma200"), 0.5).otherwise(0.0),
         F.when(F.col("obv_slope") > 0, 2.0).otherwise(0.0),
         F.when(F.col("close") > F.col("vwap"), 2.0).otherwise(0.0),
     ]
-    score = sum(parts[1:], parts[0])
-    rows = rows.withColumn("ta_score", score)
+    rows = rows.withColumn("ta_score", sum(parts[1:], parts[0]))
     signal = F.when(F.col("ta_score") >= 8, "STRONG_BUY").when(F.col("ta_score") >= 6, "BUY").when(F.col("ta_score") >= 4, "NEUTRAL").otherwise("AVOID")
     adjust = F.when(F.col("ta_score") >= 8, 2.5).when(F.col("ta_score") >= 6, 1.0).when(F.col("ta_score") >= 4, 0.0).otherwise(-1.5)
     return rows.select(KEY, DAY, "close", "rsi", "macd_hist", "atr_stop", "ta_score", signal.alias("ta_signal"), adjust.alias("ta_adjustment"))
