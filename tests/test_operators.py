@@ -330,3 +330,56 @@ def test_last_day_fold(spark, n):
     assert got.rsi == pytest.approx(rsi) if rsi is not None else got.rsi is None
     assert got.macd_hist == pytest.approx(hist) and got.atr_stop == pytest.approx(stop)
     assert got.ta_score >= (2 if bullish else 0) + (2 if slope is not None and slope > 0 else 0)
+
+
+def test_sink_counts_once(spark, tmp_path):
+    """A batch that fails after its write and is run again, and polls that find nothing, leave the same totals."""
+    from pyspark.sql import DataFrame
+
+    from tidemark.streaming import streams
+
+    home, shape = f"file://{tmp_path}", "kind string, n long, batch long"
+    put = lambda rows: spark.createDataFrame([(k,) for k in rows], "kind string").coalesce(1).write.mode("append").parquet(f"{home}/in")
+    kinds = spark.createDataFrame([("a",), ("b",)], "kind string")
+    run = lambda: streams.polled(spark.readStream.schema("kind string").parquet(f"{home}/in"), kinds, "kind", f"{home}/out", f"{home}/state")
+    told = lambda: {(r.kind, r.batch): r.n for r in streams.stored_batches(spark, f"{home}/out", shape).collect()}
+    assert told() == {}
+    put("aab")
+    real, failed = streams.put_batch, []
+
+    def once(rows: DataFrame, out: str, number: int) -> None:
+        real(rows, out, number)
+        if not failed:
+            failed.append(number)
+            raise RuntimeError("after the write")
+
+    streams.put_batch = once
+    try:
+        with pytest.raises(Exception, match="after the write"):
+            run()
+        run()
+    finally:
+        streams.put_batch = real
+    assert failed == [0] and told() == {("a", 0): 2, ("b", 0): 1}
+    run()
+    run()
+    put("b")
+    run()
+    assert told() == {("a", 0): 2, ("b", 0): 1, ("a", 1): 0, ("b", 1): 1, **{(k, -i): 0 for k in "ab" for i in (1, 2)}}
+
+
+def test_late_rows_are_told(spark, tmp_path):
+    """Within one load nothing is late, in whatever order files stand; what a later load brings too late is counted."""
+    from datetime import datetime
+
+    from tidemark.streaming import streams
+
+    home, shape = f"file://{tmp_path}", "event_id long, ts timestamp"
+    put = lambda *rows: spark.createDataFrame([(i, datetime.fromisoformat(d)) for i, d in rows], shape).coalesce(1).write.mode("append").parquet(f"{home}/events.parquet")
+    put((1, "2024-03-01"))
+    put((2, "2024-01-01"), (1, "2024-03-01"))
+    run = lambda: streams.drained(streams.unique_events(streams.landed(spark, home, "events"), ["event_id"]).select("event_id"), f"{home}/out", f"{home}/state")
+    assert run() == 0
+    put((3, "2024-02-01"), (4, "2024-03-02"))
+    assert run() == 1
+    assert sorted(r.event_id for r in spark.read.parquet(f"{home}/out").collect()) == [1, 2, 4]

@@ -106,7 +106,7 @@ def poll_heartbeat(t):
     kinds = t.events.select("event_type").distinct().unionByName(t.spark.createDataFrame([("never",)], "event_type string"))
     for _ in range(2):
         streams.polled(streams.landed(t.spark, t.sf_dir, "events"), kinds, "event_type", f"{home}/out", f"{home}/state")
-    rows = t.spark.read.schema("event_type string, n long, batch long").parquet(f"{home}/out")
+    rows = streams.stored_batches(t.spark, f"{home}/out", "event_type string, n long, batch long")
     return rows.groupBy("event_type", F.when(F.col("batch") < 0, "second").otherwise("first").alias("poll")).agg(F.sum("n").alias("n"))
 
 

@@ -18,11 +18,21 @@ def _day():
 KEYS = ["donor_name", "trust_name", "donated", "source"]
 
 
-@query("""SELECT donor_name, trust_name, donated, source, arg_max(amount, seq) AS amount, arg_max(party, seq) AS party, arg_max(donor_cin, seq) FILTER (donor_cin IS NOT NULL) AS donor_cin FROM donors WHERE trust_name IS NOT NULL GROUP BY 1, 2, 3, 4
-UNION ALL SELECT donor_name, trust_name, donated, source, amount, party, donor_cin FROM donors WHERE trust_name IS NULL""", ("donors",))
+#: The donors as they were: of seven rows four, the amounts smaller, the party and the cin others where they are known, one of three rows of another source.
+DONORS_OLD = """SELECT seq, donor_name, trust_name, donated, CASE seq % 3 WHEN 0 THEN 'old' ELSE source END AS source, amount * 2 AS amount, concat('was ', party) AS party, CASE WHEN donor_cin IS NOT NULL AND seq % 2 = 0 THEN concat('was ', donor_cin) END AS donor_cin
+FROM {donors} WHERE seq % 7 < 4"""
+
+
+@query(
+    f"""WITH od AS ({DONORS_OLD.format(donors="donors")}), al AS (SELECT 0 AS age, * FROM od UNION ALL SELECT 1, seq, donor_name, trust_name, donated, source, amount, party, donor_cin FROM donors)
+SELECT donor_name, trust_name, donated, source, arg_max(amount, (age, seq)) AS amount, arg_max(party, (age, seq)) AS party, arg_max(donor_cin, (age, seq)) FILTER (donor_cin IS NOT NULL) AS donor_cin FROM al WHERE trust_name IS NOT NULL GROUP BY 1, 2, 3, 4
+UNION ALL SELECT donor_name, trust_name, donated, source, amount, party, donor_cin FROM al WHERE trust_name IS NULL""",
+    ("donors",),
+)
 def donor_upsert(t):
-    old, new = t.donors.filter("seq % 3 <> 0 AND seq < 0"), t.donors
-    return tables.merge_null_never_equal(old, new, KEYS, "seq", coalesced=("donor_cin",)).drop("seq")
+    """New rows over old ones that differ in value: the last amount and party stand, a cin that is missing now stays as it was, a null trust matches nothing."""
+    old = t.spark.sql(DONORS_OLD, donors=t.donors)
+    return tables.merge_null_never_equal(old, t.donors, KEYS, "seq", coalesced=("donor_cin",)).drop("seq")
 
 
 @query("SELECT din, count(*) AS n, min(name) AS name FROM (SELECT CASE WHEN l_partkey % 10 = 0 THEN '' ELSE l_partkey::VARCHAR END AS din, l_suppkey::VARCHAR || ' ' || l_linenumber::VARCHAR AS name, l_suppkey AS cin FROM lineitem) WHERE din <> '' GROUP BY 1")
@@ -105,16 +115,26 @@ def deals_appended(t):
     return rows.unionByName(rows.filter("seq % 5 = 0")).groupBy("scrip_code", "deal_date", "client", "quantity").agg(F.count("seq").alias("n"))
 
 
-@query("SELECT tender_id, min(winner) AS winner FROM tenders GROUP BY 1", ("tenders",))
+@query("SELECT tender_id, CASE WHEN tender_id % 2 = 0 THEN 'was ' || min(winner) ELSE min(winner) END AS winner FROM tenders GROUP BY 1 UNION ALL SELECT -tender_id, min(winner) FROM tenders WHERE tender_id % 5 = 0 GROUP BY 1", ("tenders",))
 def tender_insert_new(t):
+    """What is there stays as it is, though the new row of its id says otherwise; only new ids are added."""
     first = t.tenders.groupBy("tender_id").agg(F.min("winner").alias("winner"))
-    return tables.insert_absent(first.filter("tender_id % 2 = 0"), first, ["tender_id"])
+    gone = first.filter("tender_id % 5 = 0").select((-F.col("tender_id")).alias("tender_id"), "winner")
+    old = first.filter("tender_id % 2 = 0").select("tender_id", F.concat(F.lit("was "), "winner").alias("winner")).unionByName(gone)
+    return tables.insert_absent(old, first, ["tender_id"])
 
 
-@query("SELECT scrip_code, pledge_date, action FROM pledges GROUP BY 1, 2, 3", ("pledges",))
+@query(
+    """WITH n AS (SELECT scrip_code, pledge_date, action, max(pledged) AS pledged FROM pledges GROUP BY 1, 2, 3), o AS (SELECT scrip_code, pledge_date, action, -pledged AS pledged FROM n WHERE pledge_date < DATE '1999-01-01' UNION ALL SELECT scrip_code, pledge_date, 'Revoked', pledged FROM n WHERE action = 'Released')
+SELECT scrip_code, pledge_date, action, round(pledged, 4) AS pledged FROM o UNION ALL SELECT scrip_code, pledge_date, action, round(pledged, 4) FROM n ANTI JOIN o USING (scrip_code, pledge_date, action)""",
+    ("pledges",),
+)
 def pledge_insert_new(t):
-    rows = t.pledges.select("scrip_code", "pledge_date", "action")
-    return tables.insert_absent(rows.filter("pledge_date < DATE '1999-01-01'").distinct(), rows, ["scrip_code", "pledge_date", "action"])
+    """The same with a key of three columns, old values of the other sign, and old rows that no new one repeats."""
+    keys = ["scrip_code", "pledge_date", "action"]
+    new = t.pledges.groupBy(*keys).agg(F.max("pledged").alias("pledged"))
+    old = new.filter("pledge_date < DATE '1999-01-01'").withColumn("pledged", -F.col("pledged")).unionByName(new.filter("action = 'Released'").withColumn("action", F.lit("Revoked")))
+    return tables.insert_absent(old, new, keys).withColumn("pledged", F.round("pledged", 4))
 
 
 # --- trades ----------------------------------------------------------------------------------------------------------
