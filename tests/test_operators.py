@@ -383,3 +383,11 @@ def test_late_rows_are_told(spark, tmp_path):
     put((3, "2024-02-01"), (4, "2024-03-02"))
     assert run() == 1
     assert sorted(r.event_id for r in spark.read.parquet(f"{home}/out").collect()) == [1, 2, 4]
+
+
+def test_stretches_merge_in_any_order():
+    from tidemark.streaming.held import merged
+
+    assert merged([], [400, 0, 180], 180) == [(0, 180, 2), (400, 400, 1)]
+    assert merged([(0, 180, 2), (400, 400, 1)], [300], 180) == [(0, 400, 4)]
+    assert merged([(0, 0, 1)], [181], 180) == [(0, 0, 1), (181, 181, 1)]

@@ -120,3 +120,32 @@ def model_answers(t):
     rows = t.announcements.filter("is_contract").select("id", F.col("value").cast("string").alias("prompt"))
     told = answered(rows, "prompt", model, "material boolean, crore double", '{"material": false, "crore": 0.0}')
     return told.select("id", "answer.material", F.round("answer.crore", 2).alias("crore"))
+
+
+@query(
+    """WITH e AS (SELECT scrip_code, event_date, CASE WHEN event_date - lag(event_date) OVER w <= 180 THEN 0 ELSE 1 END AS f FROM announcements WHERE is_contract WINDOW w AS (PARTITION BY scrip_code ORDER BY event_date, id)),
+g AS (SELECT *, sum(f) OVER (PARTITION BY scrip_code ORDER BY event_date ROWS UNBOUNDED PRECEDING) AS s FROM e),
+h AS (SELECT scrip_code, min(event_date)::TIMESTAMP AS since, max(event_date)::TIMESTAMP + INTERVAL 180 DAY AS expires, count(*) AS alerts FROM g GROUP BY scrip_code, s)
+SELECT * FROM h WHERE expires < (SELECT max(event_date) FROM announcements WHERE is_contract)""",
+    ("announcements",),
+)
+def held_stream(t):
+    """Contract announcements landed by year, read as a stream of a batch a year, stopped half-way and started anew: what has run out by the newest one."""
+    from tidemark.streaming import held
+
+    home = landing_dir(t.spark, "held")
+    rows = t.announcements.filter("is_contract").select("scrip_code", F.col("event_date").cast("timestamp").alias("ts"))
+    first, last = rows.agg(F.min(F.year("ts")), F.max(F.year("ts"))).first()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, held.PROVIDER)
+    try:
+        half = (first + last) // 2
+        for years in (range(first, half + 1), range(half + 1, last + 1)):
+            for y in years:
+                rows.filter(F.year("ts") == y).coalesce(1).write.mode("append").parquet(f"{home}/in")
+            stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+            streams.drained(held.expiring(stream), f"{home}/out", f"{home}/state")
+    finally:
+        t.spark.conf.set(name, before)
+    return t.spark.read.schema("scrip_code string, since timestamp, expires timestamp, alerts long").parquet(f"{home}/out")
