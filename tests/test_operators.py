@@ -391,3 +391,28 @@ def test_stretches_merge_in_any_order():
     assert merged([], [400, 0, 180], 180) == [(0, 180, 2), (400, 400, 1)]
     assert merged([(0, 180, 2), (400, 400, 1)], [300], 180) == [(0, 400, 4)]
     assert merged([(0, 0, 1)], [181], 180) == [(0, 0, 1), (181, 181, 1)]
+
+
+def test_keyed_merge(spark, tmp_path):
+    """A merge writes the buckets of its own rows alone; of two runs from one commit the second fails and changes nothing."""
+    from tidemark.operators import keyed, tables
+
+    table = keyed.Keyed(spark, f"file://{tmp_path}/t", ["k"], 8)
+    one = lambda old, new: tables.merge(old, new, ["k"], overwrite=("v",))
+    shape = "k long, v string"
+    assert table.read(shape).count() == 0
+    table.merge(spark.range(100).selectExpr("id AS k", "'old' AS v"), one)
+    before = table.head()[1]
+    changed = table.merge(spark.createDataFrame([(3, "new"), (1000, "new")], shape), one)
+    after = table.head()[1]
+    assert {b for b in after if after[b] != before.get(b)} == {str(b) for b in changed} and len(changed) <= 2
+    got = {r.k: r.v for r in table.read(shape).collect()}
+    assert len(got) == 101 and {k for k, v in got.items() if v == "new"} == {3, 1000}
+    other = keyed.Keyed(spark, f"file://{tmp_path}/t", ["k"], 8)
+    stale = other.head()
+    other.head = lambda: stale
+    table.merge(spark.createDataFrame([(5, "first")], shape), one)
+    with pytest.raises(keyed.Changed):
+        other.merge(spark.createDataFrame([(5, "second")], shape), one)
+    assert {r.v for r in table.read(shape).filter("k = 5").collect()} == {"first"}
+    assert table.merge(spark.createDataFrame([], shape), one) == []

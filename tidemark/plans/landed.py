@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
 from tidemark.plans.catalog import _literal, _values, query
 from tidemark.sources import readers
 from tidemark.sources.landing import land
@@ -161,15 +162,19 @@ def fear_index(t):
     return readers.fear(t.benchmark_prices.select("trade_date", (F.col("close") % 30).alias("close")))
 
 
-@query("SELECT 'vertex' AS what, count(*) AS n FROM (SELECT DISTINCT din FROM company_boards) UNION ALL SELECT 'edge', count(*) FROM company_boards WHERE din % 40 = 3", ("company_boards",))
+@query("SELECT 'vertex' AS what, count(*) AS n, sum(din)::BIGINT AS ids FROM (SELECT DISTINCT din FROM company_boards) UNION ALL SELECT 'edge', count(*), sum(din)::BIGINT FROM company_boards", ("company_boards",))
 def graph_json(t):
-    """A graph file is one document; boards of one director in forty here."""
-    boards = t.company_boards.filter("din % 40 = 3")
-    links = boards.agg(F.to_json(F.collect_list(F.struct(F.col("din").cast("string").alias("source"), F.col("scrip_code").alias("target"), F.lit("SITS_ON_BOARD").alias("edge_type")))).alias("links"))
-    nodes = t.company_boards.select("din").distinct().agg(F.to_json(F.collect_list(F.struct(F.col("din").cast("string").alias("id"), F.lit("Director").alias("node_type")))).alias("nodes"))
-    whole = nodes.crossJoin(links).select(F.concat(F.lit('{"directed": true, "nodes": '), "nodes", F.lit(', "links": '), "links", F.lit("}")).alias("value"))
-    v, e = readers.node_link_graph(t.spark, land(whole.coalesce(1), "graph", "text"))
-    return v.agg(F.lit("vertex").alias("what"), F.count("id").alias("n")).unionByName(e.agg(F.lit("edge").alias("what"), F.count("src").alias("n")))
+    """A graph file is one document, written line by line and read in parts."""
+    boards = t.company_boards
+    nodes = boards.select("din").distinct().select(F.lit(1).alias("k"), F.to_json(F.struct(F.col("din").cast("string").alias("id"), F.lit("Director {").alias("node_type"))).alias("x"))
+    links = boards.select(F.lit(4).alias("k"), F.to_json(F.struct(F.col("din").cast("string").alias("source"), F.col("scrip_code").alias("target"), F.lit("SITS_ON_BOARD").alias("edge_type"))).alias("x"))
+    last = nodes.unionByName(links).groupBy("k").agg(F.max("x").alias("last"))
+    lines = nodes.unionByName(links).join(F.broadcast(last), "k").select((F.col("k") + (F.col("x") == F.col("last")).cast("int")).alias("k"), F.concat("x", F.when(F.col("x") != F.col("last"), ",").otherwise("")).alias("value"))
+    frame = _values(t, [(0, '{"directed": true, "nodes": ['), (3, '], "links": ['), (6, "]}")], "k int, value string")
+    path = land(frame.unionByName(lines).coalesce(1).sortWithinPartitions("k").select("value"), "graph", "text")
+    v, e = readers.node_link_graph(t.spark, path)
+    whole = lambda c: F.sum(F.col(c).cast("long")).alias("ids")
+    return v.agg(F.lit("vertex").alias("what"), F.count("id").alias("n"), whole("id")).unionByName(e.agg(F.lit("edge").alias("what"), F.count("src").alias("n"), whole("src")))
 
 
 @query("SELECT scrip_code, count(*) AS n FROM announcements WHERE event_date >= DATE '2000-01-01' AND value > 300000 GROUP BY 1", ("announcements",))
@@ -214,3 +219,62 @@ def policy_headlines(t):
     title = F.concat(F.when(k % 3 == 0, "Tariffs on steel ").when(k % 3 == 1, "Cabinet clears scheme ").otherwise("Calm seas "), (k % 40).cast("string"))
     feed = t.orders.select(F.col("o_orderpriority").alias("feed"), F.col("o_orderkey").alias("published"), title.alias("title"), F.lit("").alias("summary"))
     return readers.headlines(feed, "policy").select("title")
+
+
+LETTERS = "translate(CAST(din AS STRING), '0123456789', 'abcdefghij')"
+LETTERS_DUCK = LETTERS.replace("STRING", "VARCHAR")
+
+
+@query(f"SELECT lpad((1000000 + din)::VARCHAR, 8, '0') AS din, CASE WHEN scrip_code::INT % 2 = 0 THEN 'Person X' || {LETTERS_DUCK} ELSE 'Unknown' END AS name, count(*) AS n FROM company_boards GROUP BY 1, 2", ("company_boards",))
+def directors_in_text(t):
+    """Pages without a table: of even codes with names before the numbers, of odd ones with numbers alone."""
+    number = (1000000 + F.col("din")).cast("string")
+    named = F.concat(F.lit("<p>Name: <b>Person X"), F.expr(LETTERS), F.lit("</b>, DIN - "), number, F.lit("</p>"))
+    text = F.when(F.col("scrip_code").cast("int") % 2 == 0, named).otherwise(F.concat(F.lit("<div>DIN: "), number, F.lit("</div>")))
+    pages = t.company_boards.select("scrip_code", text.alias("x")).groupBy("scrip_code").agg(F.array_join(F.collect_list("x"), "\n").alias("html"))
+    return readers.directors_in_text(pages).groupBy("din", "name").agg(F.count("designation").alias("n"))
+
+
+@query(
+    """WITH c AS (SELECT scrip_code, scrip_code::INT AS k, market_cap FROM companies), a AS (SELECT *, CASE WHEN k % 5 = 0 THEN NULL ELSE (k % 40)::DOUBLE / 2 END AS ratio, (k % 9)::DOUBLE AS debt, (k % 4)::DOUBLE AS equity FROM c WHERE k % 11 > 0),
+o AS (SELECT l_suppkey::VARCHAR AS scrip_code, arg_max(l_extendedprice, l_shipdate::DATE::VARCHAR || lpad((l_orderkey * 10 + l_linenumber)::VARCHAR, 20, '0')) AS ocf FROM lineitem WHERE l_linenumber % 4 = 1 GROUP BY 1)
+SELECT scrip_code, round(CASE WHEN ratio > 10 THEN ratio / 100 WHEN ratio IS NOT NULL THEN ratio WHEN equity > 0 THEN debt / equity END, 6) AS debt_to_equity, market_cap + CASE WHEN k % 3 = 0 THEN 0.25 ELSE 0 END AS market_cap, ocf FROM a LEFT JOIN o USING (scrip_code)""",
+    ("companies",),
+)
+def fundamentals_landed(t):
+    """A third of the companies has no price at the first exchange, and every eleventh at neither; half of them are asked for by symbol at the second."""
+    k = F.col("scrip_code").cast("int")
+    c = t.companies.select("scrip_code", k.alias("k"), "market_cap", F.when(k % 2 == 0, F.concat(F.lit("S"), "scrip_code")).alias("symbol"))
+    ratio = F.when(F.col("k") % 5 != 0, (F.col("k") % 40) / 2.0)
+    info = lambda price, cap: F.to_json(F.struct(price.alias("regularMarketPrice"), ratio.alias("debtToEquity"), cap.alias("marketCap"), (F.col("k") % 9).cast("double").alias("totalDebt"), (F.col("k") % 4).cast("double").alias("totalStockholderEquity")))
+    listed = F.col("k") % 11 > 0
+    one = c.select(F.concat("scrip_code", F.lit(".BO")).alias("ticker"), info(F.when(listed & (F.col("k") % 3 > 0), 10.0), F.col("market_cap")).alias("json"))
+    two = c.select(F.concat(F.coalesce("symbol", "scrip_code"), F.lit(".NS")).alias("ticker"), info(F.when(listed, 10.0), F.col("market_cap") + 0.25).alias("json"))
+    answers = t.spark.read.json(land(one.unionByName(two), "answers", "json"), schema="ticker string, json string")
+    labels = F.broadcast(_values(t, LABELS, "line int, label string"))
+    period = F.concat(F.col("l_shipdate").cast("date").cast("string"), F.lpad((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), 20, "0"))
+    lines = t.lineitem.select(F.col("l_suppkey").cast("string").alias("scrip_code"), (F.col("l_linenumber") % 4).alias("line"), period.alias("period"), F.col("l_extendedprice").alias("value")).join(labels, "line")
+    return readers.fundamentals(c.select("scrip_code", "symbol"), answers, lines).withColumn("debt_to_equity", F.round("debt_to_equity", 6))
+
+
+FORMATS = (("yyyy-MM-dd", "%Y-%m-%d"), ("yyyy-MM-dd'T'HH:mm:ss", ""), ("dd/MM/yyyy", ""), ("dd-MM-yyyy", ""), ("dd MMM yyyy", ""))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN o_orderdate::DATE ELSE DATE '2001-11-04' END AS day FROM orders")
+def event_dates(t):
+    """Order dates in each of the forms that announcements have, and in one that is none."""
+    text = F.lit("on Monday")
+    for i, (form, _) in enumerate(FORMATS):
+        text = F.when(F.col("o_orderkey") % 6 == i, F.date_format("o_orderdate", form)).otherwise(text)
+    return t.orders.select("o_orderkey", X.event_date(text, F.lit("2001-11-04").cast("date")).alias("day"))
+
+
+@query("SELECT o_orderkey, CASE WHEN v >= 1e7 THEN format('{:,.2f} Cr', v / 1e7) WHEN v >= 1e5 THEN format('{:,.2f} Lakh', v / 1e5) ELSE format('{:,}', round(v)::BIGINT) END AS money FROM (SELECT o_orderkey, floor(o_totalprice) * (CASE o_orderkey % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 1 ELSE 500 END)::DOUBLE + 1.1 AS v FROM orders) WHERE v > 0")
+def money_texts(t):
+    v = F.floor("o_totalprice") * F.when(F.col("o_orderkey") % 3 == 0, 0.25).when(F.col("o_orderkey") % 3 == 1, 1.0).otherwise(500.0) + 1.1
+    return t.orders.select("o_orderkey", X.money(v).alias("money"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount < 0.01 THEN '***' WHEN l_discount < 0.05 THEN '**' WHEN l_discount < 0.1 THEN '*' ELSE '' END AS stars FROM lineitem")
+def significance_stars(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", X.stars(F.col("l_discount")).alias("stars"))

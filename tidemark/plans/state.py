@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, portfolio, signals, tables
+from tidemark.operators import graph, keyed, portfolio, signals, tables
 from tidemark.plans.catalog import CHAIN, CONNECTIONS, GRAPH, TOP, _connections, _graph, query
 from tidemark.sources.landing import landing_dir
 
@@ -35,6 +35,22 @@ def donor_upsert(t):
     return tables.merge_null_never_equal(old, t.donors, KEYS, "seq", coalesced=("donor_cin",)).drop("seq")
 
 
+@query(
+    f"""WITH od AS ({DONORS_OLD.format(donors="donors")}), al AS (SELECT 0 AS age, * FROM od UNION ALL SELECT 1, seq, donor_name, trust_name, donated, source, amount, party, donor_cin FROM donors WHERE donor_name IN (SELECT max(donor_name) FROM donors) OR seq = (SELECT min(seq) FROM donors))
+SELECT donor_name, trust_name, donated, source, arg_max(amount, (age, seq)) AS amount, arg_max(party, (age, seq)) AS party FROM al WHERE trust_name IS NOT NULL GROUP BY 1, 2, 3, 4 UNION ALL SELECT donor_name, trust_name, donated, source, amount, party FROM al WHERE trust_name IS NULL""",
+    ("donors",),
+)
+def donor_merge(t):
+    """One donor's new rows, and the first donation's, merged into a stored table in buckets, of which only theirs are read and written."""
+    table = keyed.Keyed(t.spark, landing_dir(t.spark, "donors"), KEYS)
+    one = lambda old, new: tables.merge_null_never_equal(old, new, KEYS, "seq", coalesced=("donor_cin",))
+    table.merge(t.spark.sql(DONORS_OLD, donors=t.donors), one)
+    last = t.donors.agg(F.max("donor_name").alias("n"), F.min("seq").alias("s"))
+    new = t.donors.join(F.broadcast(last), (F.col("donor_name") == F.col("n")) | (F.col("seq") == F.col("s")), "left_semi")
+    table.merge(new, one)
+    return table.read(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.donors.schema.fields)).select("donor_name", "trust_name", "donated", "source", "amount", "party")
+
+
 @query("SELECT din, count(*) AS n, min(name) AS name FROM (SELECT CASE WHEN l_partkey % 10 = 0 THEN '' ELSE l_partkey::VARCHAR END AS din, l_suppkey::VARCHAR || ' ' || l_linenumber::VARCHAR AS name, l_suppkey AS cin FROM lineitem) WHERE din <> '' GROUP BY 1")
 def director_rows_with_din(t):
     rows = t.lineitem.select(F.when(F.col("l_partkey") % 10 == 0, "").otherwise(F.col("l_partkey").cast("string")).alias("din"), F.concat_ws(" ", F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")).alias("name"))

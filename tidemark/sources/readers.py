@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tidemark.functions.text import bond_year, rupees
+from tidemark.functions.text import bond_year, debt_to_equity, rupees
 
 
 def csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -223,12 +223,49 @@ def fear(index: DataFrame, level: float = 22.0, default: float = 15.0) -> DataFr
     return index.agg(vix.alias("vix")).select("vix", (F.col("vix") > level).alias("is_high_fear"))
 
 
+#: An object without objects inside, cut off at the end of a text or not; braces in its strings are none.
+_OBJECT = r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*(?:\}|$)'
+
+
 def node_link_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """vertices (id, kind) and edges (src, dst, kind) of a graph in node-link JSON."""
-    shape = "nodes array<struct<id:string,node_type:string>>, links array<struct<source:string,target:string,edge_type:string>>"
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("g"))
-    vertices = raw.select(F.explode("g.nodes").alias("x")).select("x.id", F.col("x.node_type").alias("kind"))
-    return vertices, raw.select(F.explode("g.links").alias("x")).select(F.col("x.source").alias("src"), F.col("x.target").alias("dst"), F.col("x.edge_type").alias("kind"))
+    """vertices (id, kind) and edges (src, dst, kind) of a graph in node-link JSON, as large as it may be.
+
+    The document is cut after each object, so that its parts are read and parsed by as many tasks as the file has
+    splits. Objects in its lists have plain values, and no text in them holds a brace before a comma.
+    """
+    shape = "id string, node_type string, source string, target string, edge_type string"
+    found = spark.read.option("lineSep", "},").text(path).select(F.explode(F.regexp_extract_all("value", F.lit(_OBJECT), F.lit(0))).alias("o"))
+    each = found.select(F.from_json(F.concat(F.rtrim("o"), F.when(F.rtrim("o").endswith("}"), "").otherwise("}")), shape).alias("x"))
+    vertices = each.filter("x.id IS NOT NULL").select("x.id", F.col("x.node_type").alias("kind"))
+    return vertices, each.filter("x.source IS NOT NULL AND x.target IS NOT NULL").select(F.col("x.source").alias("src"), F.col("x.target").alias("dst"), F.col("x.edge_type").alias("kind"))
+
+
+# How a director's number, and a name before it, stand in running text.
+TEXT_DIN = r"(?:DIN|Director.*?Identification)\s*[:\-]?\s*(\d{7,8})"
+TEXT_NAME_DIN = r"(?s)(?:Name|Director)\s*[:\-]?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+).*?DIN\s*[:\-]?\s*(\d{7,8})"
+
+
+def directors_in_text(pages: DataFrame, html: str = "html") -> DataFrame:
+    """din, name, designation ('') from the text of pages that have no table of them: names followed by their numbers, or else numbers alone ('Unknown')."""
+    head = F.exists(html_rows(F.col(html)), lambda r: F.exists(r, lambda c: F.upper(c).contains("DIN")))
+    text = pages.filter(~head).select(F.regexp_replace(html, "<[^>]*>", "").alias("t"))
+    named = F.arrays_zip(F.regexp_extract_all("t", F.lit(TEXT_NAME_DIN), F.lit(2)).alias("din"), F.regexp_extract_all("t", F.lit(TEXT_NAME_DIN), F.lit(1)).alias("name"))
+    alone = F.transform(F.array_distinct(F.regexp_extract_all("t", F.lit(TEXT_DIN), F.lit(1))), lambda d: F.struct(d.alias("din"), F.lit("Unknown").alias("name")))
+    found = text.select(named.alias("named"), alone.alias("alone")).select(F.explode(F.when(F.size("named") > 0, F.col("named")).otherwise(F.col("alone"))).alias("x"))
+    return found.select(F.lpad("x.din", 8, "0").alias("din"), F.initcap("x.name").alias("name"), F.lit("").alias("designation"))
+
+
+def fundamentals(wanted: DataFrame, answers: DataFrame, lines: DataFrame) -> DataFrame:
+    """scrip_code, debt_to_equity, market_cap, ocf of wanted(scrip_code, symbol), from answers(ticker, json) and the lines of cash-flow statements.
+
+    The answer of code.BO counts if it has a market price, else that of symbol.NS (code.NS without a symbol). A company
+    without either has no row.
+    """
+    tickers = F.array(F.concat("scrip_code", F.lit(".BO")), F.concat(F.coalesce("symbol", "scrip_code"), F.lit(".NS")))
+    told = answers.select("ticker", F.from_json("json", "regularMarketPrice double, debtToEquity double, marketCap double, totalDebt double, totalStockholderEquity double").alias("i")).filter("i.regularMarketPrice IS NOT NULL")
+    first = wanted.select("scrip_code", F.posexplode(tickers).alias("rank", "ticker")).join(told, "ticker").groupBy("scrip_code").agg(F.min_by("i", "rank").alias("i"))
+    ratio = debt_to_equity(F.col("i.debtToEquity"), F.col("i.totalDebt"), F.col("i.totalStockholderEquity"))
+    return first.select("scrip_code", ratio.alias("debt_to_equity"), F.col("i.marketCap").alias("market_cap")).join(operating_cash_flow(lines), "scrip_code", "left")
 
 
 def exit_commands(messages: DataFrame, chat: str) -> DataFrame:
