@@ -811,9 +811,15 @@ def exits(t):
     return t.announcements.filter("is_contract").join(ta, "scrip_code").select("id", portfolio.exit_reason(F.col("close"), F.col("stop"), F.col("event_date"), F.lit("2001-11-04").cast("date")).alias("reason"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT o_custkey AS account, o_orderkey AS seq, o_totalprice / 1000 AS price, CASE WHEN o_orderkey % 10 >= 8 THEN 0.25 WHEN o_orderkey % 10 >= 6 THEN 0.15 WHEN o_orderkey % 10 >= 4 THEN 0.05 ELSE 0 END::DOUBLE AS share, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+f AS (SELECT DISTINCT account, 0::BIGINT AS k, 0::BIGINT AS seq, 0::BIGINT AS quantity, 0::DOUBLE AS spent, 100000::DOUBLE AS cash FROM o UNION ALL
+  SELECT account, k, seq, q, q * price * 1.005::DOUBLE, cash - q * price * 1.005::DOUBLE FROM (SELECT f.account, o.k, o.seq, price, cash, CASE WHEN cash * share >= 1000 AND price > 0 THEN floor(0.99::DOUBLE * (cash * share) / (price * 1.005::DOUBLE)) ELSE 0 END::BIGINT AS q FROM f JOIN o ON o.account = f.account AND o.k = f.k + 1))
+SELECT account, seq, quantity, round(spent, 2) AS spent, round(cash, 2) AS cash FROM f WHERE k > 0"""
+)
 def paper_trading_fold(t):
-    o = t.orders.select((F.col("o_custkey") % 50).alias("account"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") / 1000).alias("price"), (F.col("o_orderkey") % 10).alias("conviction"))
+    """Every customer an account."""
+    o = t.orders.select(F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") / 1000).alias("price"), (F.col("o_orderkey") % 10).alias("conviction"))
     return portfolio.paper_trades(o)
 
 

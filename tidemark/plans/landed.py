@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.plans.catalog import _literal, _values, query
 from tidemark.sources import readers
-from tidemark.sources.landing import land
+from tidemark.sources.landing import land, landing_dir
+from tidemark.sources.paged import landed_pages, paged
 
 TODAY = "2001-11-04"
 
@@ -278,3 +280,36 @@ def money_texts(t):
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount < 0.01 THEN '***' WHEN l_discount < 0.05 THEN '**' WHEN l_discount < 0.1 THEN '*' ELSE '' END AS stars FROM lineitem")
 def significance_stars(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", X.stars(F.col("l_discount")).alias("stars"))
+
+
+def _land_pages(t, where: str, keep) -> None:
+    """Contract announcements in pages of 20, by company; keep says which pages."""
+    rows = t.announcements.filter("is_contract").select(F.col("scrip_code").alias("key"), "id", "value", F.floor((F.row_number().over(Window.partitionBy("scrip_code").orderBy("event_date", "id")) - 1) / 20).cast("int").alias("page"))
+    rows.filter(keep(F.col("page"))).repartition("key", "page").write.mode("append").partitionBy("key", "page").json(where)
+
+
+def _paged(t, where: str) -> str:
+    pages, page = landed_pages(where)
+    keys = sorted(r[0] for r in t.companies.select("scrip_code").collect())  # the register of companies
+    return paged(t.spark, "announcement_pages", "scrip_code string, id long, value double", keys, pages, lambda k, n: [(k, x["id"], x["value"]) for x in page(k, n)])
+
+
+@query("SELECT scrip_code, count(*) AS n, sum(id)::BIGINT AS ids, round(max(value), 2) AS most FROM announcements WHERE is_contract GROUP BY 1", ("announcements",))
+def paged_announcements(t):
+    """Every page of every company, each its own partition."""
+    where = landing_dir(t.spark, "pages")
+    _land_pages(t, where, lambda p: p >= 0)
+    rows = t.spark.read.format(_paged(t, where)).load()
+    return rows.groupBy("scrip_code").agg(F.count("id").alias("n"), F.sum("id").alias("ids"), F.round(F.max("value"), 2).alias("most"))
+
+
+@query("SELECT scrip_code, count(*) AS n, sum(id)::BIGINT AS ids FROM announcements WHERE is_contract GROUP BY 1", ("announcements",))
+def paged_stream(t):
+    """The first page of each company, then, in a second run that goes on from the checkpoint, those that have come since."""
+    home = landing_dir(t.spark, "pages")
+    for keep in (lambda p: p == 0, lambda p: p > 0):
+        _land_pages(t, f"{home}/in", keep)
+        run = t.spark.readStream.format(_paged(t, f"{home}/in")).load().writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").start()
+        run.processAllAvailable()
+        run.stop()
+    return t.spark.read.schema("scrip_code string, id long, value double").parquet(f"{home}/out").groupBy("scrip_code").agg(F.count("id").alias("n"), F.sum("id").alias("ids"))
