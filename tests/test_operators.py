@@ -416,3 +416,31 @@ def test_keyed_merge(spark, tmp_path):
         other.merge(spark.createDataFrame([(5, "second")], shape), one)
     assert {r.v for r in table.read(shape).filter("k = 5").collect()} == {"first"}
     assert table.merge(spark.createDataFrame([], shape), one) == []
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3, 4, 5])
+def test_paths_between(spark, hops):
+    rng = random.Random(hops)
+    edges = {(f"v{rng.randrange(9)}", f"v{rng.randrange(9)}") for _ in range(16)} | {("v0", "v1"), ("v1", "v0"), ("v2", "v2")}
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = []
+
+    def walk(path):
+        if len(path) > 1 and path[-1] in ends:
+            want.append(tuple(path))
+        if len(path) <= hops:
+            for n in near.get(path[-1], ()):
+                if n not in path:
+                    walk([*path, n])
+
+    starts, ends = ["v0", "v3", "none"], {"v1", "v5", "v3", "other"}
+    for s in starts:
+        walk([s])
+    frame = spark.createDataFrame(sorted(edges), "src string, dst string")
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = [(tuple(r.path), r.length) for r in graph.paths_between(frame, ids(starts), ids(sorted(ends)), hops).collect()]
+    assert sorted(p for p, _ in got) == sorted(want) and all(n == len(p) - 1 for p, n in got)

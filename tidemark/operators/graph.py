@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.params import DEFAULT, Params
+from tidemark.operators.similarity import stored
 
 
 def last_donations(donations: DataFrame) -> DataFrame:
@@ -66,6 +67,34 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return out
 
 
+def paths_between(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int) -> DataFrame:
+    """Simple undirected paths of 1 to hops edges from starts(id) to ends(id): path (array), length.
+
+    Both sides grow half of the way and meet: a path of L edges is one of the first L // 2, rounded up, from its start, and the rest from its
+    end, so that what grows is bounded by the square root of what paths of that length could be. A vertex in which very
+    many meet is a join on its id, which adaptive execution splits. An end that is no vertex of the edges, or a start
+    itself, has no paths.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = stored(both.filter("src <> dst"), "edges")
+
+    def grown(seeds: DataFrame, steps: int) -> list[DataFrame]:
+        levels = [seeds.select("id").distinct().join(both.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select(F.array("id").alias("path"), F.col("id").alias("at"))]
+        for _ in range(steps):
+            more = levels[-1].join(both, F.col("at") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
+            levels.append(stored(more.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("at")), "half_paths"))
+        return levels
+
+    first, last = grown(starts, -(-hops // 2)), grown(ends, hops // 2)
+    out = None
+    for length in range(1, hops + 1):
+        a, b = first[-(-length // 2)], last[length // 2]
+        met = a.join(b.select(F.col("path").alias("back"), "at"), "at").filter(F.size(F.array_intersect("path", "back")) == 1)
+        met = met.select(F.concat("path", F.slice(F.reverse("back"), 2, hops)).alias("path"), F.lit(length).alias("length"))
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
 def vertices_and_edges(companies, company_boards, donor_boards, donations, directors) -> tuple[DataFrame, DataFrame]:
     """The whole graph: vertices (id, kind) and edges (src, dst, kind), built from the watched companies outward."""
     watched = companies.filter("in_watchlist").select("scrip_code")

@@ -257,6 +257,25 @@ def base_rate_differential(t):
     return r.select(F.round("a", 4).alias("watched"), F.round("b", 4).alias("control"), F.round(F.col("a") - F.col("b"), 4).alias("differential"), (F.col("b") < 50).alias("meaningful"))
 
 
+#: Boards, and each donor's last donation: directed edges.
+LINKS = """SELECT concat('c', scrip_code) AS src, concat('d', CAST(din AS STRING)) AS dst FROM {boards} UNION SELECT concat('o', CAST(donor AS STRING)), concat('d', CAST(din AS STRING)) FROM {donor_boards}
+UNION SELECT concat('o', CAST(donor AS STRING)), concat('t', trust) FROM (SELECT donor, max_by(trust, id) AS trust FROM {donations} GROUP BY donor)"""
+
+
+@query(
+    f"""WITH l AS ({LINKS.format(boards="company_boards", donor_boards="donor_boards", donations="donations")}), b AS (SELECT src, dst FROM l UNION SELECT dst, src FROM l),
+r AS (WITH RECURSIVE p AS (SELECT DISTINCT [src] AS path, src AS last, 0 AS length FROM b WHERE src LIKE 'c%' UNION ALL SELECT list_append(path, dst), dst, length + 1 FROM p JOIN b ON src = last WHERE length < 5 AND NOT list_contains(path, dst)) SELECT * FROM p)
+SELECT array_to_string(path, '>') AS path, length FROM r WHERE last LIKE 't%'""",
+    CHAIN,
+)
+def paths_to_trusts(t):
+    """Every simple path of up to five edges from a company to a trust, from both ends."""
+    edges = t.spark.sql(LINKS, boards=t.company_boards, donor_boards=t.donor_boards, donations=t.donations)
+    starts = t.company_boards.select(F.concat(F.lit("c"), "scrip_code").alias("id"))
+    ends = t.donations.select(F.concat(F.lit("t"), "trust").alias("id"))
+    return graph.paths_between(edges, starts, ends, 5).select(F.array_join("path", ">").alias("path"), "length")
+
+
 @query(f"WITH {CONNECTIONS}{TOP} SELECT scrip_code, score FROM top ORDER BY score DESC, scrip_code", CHAIN)
 def connections_ordered(t):
     return graph.top_connections(_connections(t)).select("scrip_code", "score").orderBy(F.desc("score"), "scrip_code")
