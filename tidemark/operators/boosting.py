@@ -14,6 +14,8 @@ from tidemark.sources.landing import landing_dir
 
 #: Numbers (rows times models) that a task holds at once, and partial histograms that one group adds up.
 HELD, FAN = 1 << 19, 64
+#: Models whose sums are one row, and whose splits are chosen in one group.
+TOGETHER = 16
 #: Rounds after which the margins are stored; until then they are worked out from the trees since.
 STORED = 10
 #: The fold of a model that trains on all rows.
@@ -184,7 +186,7 @@ def _slices(batches: Iterator[pa.RecordBatch], models: int) -> Iterator[pa.Recor
 
 
 def _histograms(shared, level: int, active: np.ndarray):
-    """Per partition and model: sums of gradient and hessian by feature, node of the level and bin."""
+    """Per partition and TOGETHER of the active models: of each its sums of gradient and hessian by feature, node of the level and bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -207,9 +209,10 @@ def _histograms(shared, level: int, active: np.ndarray):
                 sums[j][:, 0] += np.bincount(at, g, len(sums[j]))
                 sums[j][:, 1] += np.bincount(at, h, len(sums[j]))
         if seen:
-            rows = [b"".join(x.reshape(len(active), -1)[k].tobytes() for x in sums) for k in range(len(active))]
-            part = np.full(len(active), TaskContext.get().partitionId())
-            yield pa.RecordBatch.from_arrays([pa.array(active.astype(np.int64)), pa.array(part.astype(np.int64)), pa.array(rows, pa.binary())], ["model", "part", "sums"])
+            each = [b"".join(x.reshape(len(active), -1)[k].tobytes() for x in sums) for k in range(len(active))]
+            rows = [b"".join(each[k : k + TOGETHER]) for k in range(0, len(each), TOGETHER)]
+            part = np.full(len(rows), TaskContext.get().partitionId())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(part.astype(np.int64)), pa.array(rows, pa.binary())], ["model", "part", "sums"])
 
     return run
 
@@ -231,19 +234,23 @@ def _added(key: tuple, table: pa.Table) -> pa.Table:
 SPLIT = "model long, node long, feature long, cut long, missing_left boolean, gain double, value double, left double, right double"
 
 
-def _chosen(shared, level: int):
-    """Of a model's partial histograms the best split of each node: a row per node, whatever the number of rows."""
+def _chosen(shared, level: int, active: np.ndarray):
+    """Of some models' partial histograms the best split of each node: a row per model and node, whatever the number of rows."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         s: Shared = shared.value
-        model, total, lo, histograms = key[0].as_py(), _total(table), 0, []
-        for b in s.missing.astype(np.int64) + 1:
-            n = 2**level * b * 2
-            histograms.append(total[lo : lo + n].reshape(2**level, b, 2))
-            lo += n
-        found = best_splits(histograms, s.models[model][0])
-        out = {"model": [model] * len(found), "node": list(range(len(found)))}
-        return pa.table(out | {c: [f[c] for f in found] for c in ("feature", "cut", "missing_left", "gain", "value", "left", "right")})
+        first, total, lo = key[0].as_py() * TOGETHER, _total(table), 0
+        out: dict[str, list] = {c: [] for c in ("model", "node", "feature", "cut", "missing_left", "gain", "value", "left", "right")}
+        for model in active[first : first + TOGETHER].tolist():
+            histograms = []
+            for b in s.missing.astype(np.int64) + 1:
+                n = 2**level * b * 2
+                histograms.append(total[lo : lo + n].reshape(2**level, b, 2))
+                lo += n
+            for node, f in enumerate(best_splits(histograms, s.models[model][0])):
+                for c, v in {"model": model, "node": node, **f}.items():
+                    out[c].append(v)
+        return pa.table(out)
 
     return run
 
@@ -328,7 +335,7 @@ def boost(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, ..
             while left > FAN:
                 left = -(-left // FAN)
                 parts = parts.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("model", "part").applyInArrow(_added, parts.schema)
-            for r in parts.groupBy("model").applyInArrow(_chosen(now, level), SPLIT).toArrow().to_pylist():
+            for r in parts.groupBy("model").applyInArrow(_chosen(now, level, active), SPLIT).toArrow().to_pylist():
                 m, node = r["model"], 2**level - 1 + r["node"]
                 if not level:
                     trees.value[m, 0] = r["value"]
