@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from tidemark.sources.landing import landing_dir
 HELD, FAN = 1 << 19, 64
 #: Models whose sums are one row, and whose splits are chosen in one group.
 TOGETHER = 16
-#: Rounds after which the margins are stored; until then they are worked out from the trees since.
-STORED = 10
+#: Rounds after which the margins are stored; until then they are worked out from the trees since. With more than FEW models each round is.
+STORED, FEW = 10, 16
 #: The fold of a model that trains on all rows.
 ALL = 1 << 30
 
@@ -310,6 +310,11 @@ def boost(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, ..
     models, nodes and bins, not rows. The margin of a row starts at 0 (a probability of one half).
     """
     spark = data.table.sparkSession
+    data = replace(data, home=landing_dir(spark, "margins"), number=0)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-data.table.count() * len(models) // (HELD // 4)))
+    if parts > data.parts:  # cells are few where rows are alike, but each has a margin for every model
+        data.store(data.table.repartition(parts, "fold", "cell"))
+    every = STORED if len(models) <= FEW else 1
     depth, last = max(s.depth for s, _ in models), max(s.rounds for s, _ in models)
     rounds: list[Trees] = []
     recent: list[Trees] = []
@@ -350,7 +355,7 @@ def boost(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, ..
             sums = data.table.mapInArrow(_tested(shared(None)), "model long, n long, right long").groupBy("model").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
             got = {r["model"]: (r["n"], r["right"]) for r in sums.collect()}
             tested[number] = [got.get(m, (0, 0)) for m in range(len(models))]
-        if len(recent) >= STORED and number < last:
+        if len(recent) >= every and number < last:
             data.store(data.table.mapInArrow(_updated(shared(None)), data.table.schema))
             recent.clear()
             for b in held:
