@@ -62,6 +62,12 @@ def test_whitening_edges(spark):
     assert set(far.component) == {1, 2} and far.deviation.isna().any() and far.identity_error.iloc[0] < 1e-4
 
 
+def test_whitening_huge_entries(spark):
+    """Entries beyond the longs stand for their bound: no crash, and the same exactness."""
+    rows = whitening.whiten(table(spark, [(1, [3e38, 1.0]), (2, [-3e38, 2.0]), (3, [0.0, 5.0]), (4, [1e30, -4.0])])).toPandas()
+    assert set(rows.component) == {1, 2} and rows.identity_error.iloc[0] < 1e-4 and rows[rows.component == 1].explained.iloc[0] > 0.99
+
+
 def test_primes():
     moduli = whitening.primes(10**30)
     assert np.prod([int(p) for p in moduli[:-1]], dtype=object) > 10**30 and len(set(moduli)) == len(moduli)
