@@ -245,8 +245,8 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     """vec_id, component, n, deviation, whitened, explained, identity_error: a row per usable vector and component, at most keep of them.
 
     A vector is usable if it isn't null, has no null, NaN or infinite entry, and as many entries as most have; others
-    are dropped. A usable vector's entries become whole numbers floor(scale * c) + offset, at most 2**60 either way before the offset. The covariance is worked out exactly from
-    centred numbers (fit), the components are as many as the covariance's rank has, at most keep, and identity_error is
+    are dropped. A usable vector's entries become whole numbers floor(scale * c) + offset, at most 2**60 either way
+    before the offset. The covariance is worked out exactly from centred numbers (fit), the components are as many as the covariance's rank has, at most keep, and identity_error is
     measured in a pass over the whitened values themselves. deviation is null where a long can't hold it. No usable
     vector, or none that differs from the others, gives no rows; rows that repeat count and come out as often, a null
     id stays. Other columns are not looked at. rows are read four times: store them if they are dear.
