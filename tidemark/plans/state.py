@@ -292,11 +292,10 @@ def first_150(t):
     return t.announcements.groupBy("scrip_code").agg(F.min("id").alias("at")).orderBy("at").limit(150).select("scrip_code")
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1) ORDER BY 1 LIMIT 200")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT din FROM company_boards) ORDER BY 1 LIMIT 200", ("company_boards",))
 def missing_200(t):
-    """The cap on look-ups of a run."""
-    seen = t.lineitem.filter("l_quantity >= 50 AND l_discount >= 0.1").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
-    return t.supplier.select("s_suppkey").join(seen, "s_suppkey", "left_anti").orderBy("s_suppkey").limit(200)
+    """The cap on look-ups of a run: of the directors without a known board the first."""
+    return t.part.select("p_partkey").join(t.company_boards.select(F.col("din").alias("p_partkey")).distinct(), "p_partkey", "left_anti").orderBy("p_partkey").limit(200)
 
 
 @query("SELECT DISTINCT donor_name FROM donors", ("donors",))
