@@ -118,3 +118,9 @@ def watchlist(sectors: DataFrame, donors: DataFrame, contracts: DataFrame, funda
         chosen = band
     sound = chosen.join(fundamentals, "scrip_code", "left").filter(fundamentals_pass(F.col("de"), F.col("ocf"), params)[0])
     return sound.orderBy("turn", "arrived").limit(most).select("scrip_code", "source", "arrived")
+
+
+def lowest_bids(bids: DataFrame, watched: DataFrame) -> DataFrame:
+    """tender_id, scrip_code, amount: the tenders whose lowest bid is a company's of watched(scrip_code); bids are (tender_id, scrip_code, amount), of equals the first by code."""
+    best = bids.filter("amount > 0").groupBy("tender_id").agg(F.min(F.struct("amount", "scrip_code")).alias("x"))
+    return best.select("tender_id", "x.scrip_code", "x.amount").join(watched.select("scrip_code").distinct(), "scrip_code", "left_semi").select("tender_id", "scrip_code", "amount")

@@ -88,3 +88,12 @@ def pledge_release_alerts(t):
     known = t.niches.filter("cin <> ''").select("scrip_code")
     rows = t.pledges.filter("action = 'Released' AND pct_change > 15").join(known, "scrip_code", "left_semi").select("scrip_code", "pledge_date", "seq", "pct_change")
     return signals.connected(rows, _top(t), LEAST)
+
+
+@query(f"""WITH {STRONG}, b AS (SELECT l_orderkey AS tender_id, l_suppkey::VARCHAR AS scrip_code, l_extendedprice AS amount FROM lineitem), l AS (SELECT tender_id, arg_min(scrip_code, (amount, scrip_code)) AS scrip_code, min(amount) AS amount FROM b GROUP BY 1)
+SELECT tender_id, scrip_code, round(amount, 2) AS amount, score FROM l JOIN niches USING (scrip_code) JOIN strong USING (scrip_code) WHERE in_watchlist AND cin <> ''""", A_)
+def lowest_bid_alerts(t):
+    """Orders are tenders, and their lines the suppliers' bids."""
+    bids = t.lineitem.select(F.col("l_orderkey").alias("tender_id"), F.col("l_suppkey").cast("string").alias("scrip_code"), F.col("l_extendedprice").alias("amount"))
+    won = signals.lowest_bids(bids, t.niches.filter("in_watchlist AND cin <> ''"))
+    return signals.connected(won.select("tender_id", "scrip_code", F.round("amount", 2).alias("amount")), _top(t), LEAST)
