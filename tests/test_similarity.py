@@ -105,3 +105,30 @@ def test_tracked_names_plan(spark):
     for part in plan.split("ArrowEvalPython")[1:]:
         below = part.split("Relation")[0]
         assert "Aggregate" not in below and "Join" not in below
+
+
+def test_no_side_of_names_is_sent_whole(spark):
+    """Stored names are small files: no join may take that for a small side, which the driver would have to hold."""
+    from pyspark.sql import functions as F
+
+    left = similarity.stored(spark.range(3000).select(F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("s")), "left")
+    right = similarity.stored(spark.createDataFrame([("NATION_1",), ("CUSTOMER 7",)], "s string"), "right")
+    plan = lambda pairs: pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan(similarity.candidates(left, right, 75.0, 1))
+    assert "BroadcastExchange" not in plan(similarity.candidates(left, right, 92.0, 3))
+    assert "BroadcastExchange" not in plan(similarity.sharing_words(left, right, 75.0))
+
+
+def test_shared_words_beside_words_of_one_side(spark):
+    """Words that the other side lacks weigh too, and are no reason to meet."""
+    import itertools
+
+    a = [" ".join(x) for x in itertools.permutations(["ab", "cde", "longerword", "q7", "zz"], 3)][::3] + ["only here", "ab"]
+    b = [" ".join(x) for x in itertools.permutations(["ab", "cde", "elsewhere", "q7", "y"], 2)] + ["longerword", "not there", "ab cde"]
+    left, right = spark.createDataFrame([(x,) for x in a], "s string"), spark.createDataFrame([(x,) for x in b], "s string")
+    weigh = lambda ws: sum(len(w) + 1 for w in ws)
+    for threshold in (60.0, 75.0, 92.0):
+        share = threshold / (200 - threshold)
+        want = {(x, y) for x in a for y in b if weigh(set(x.split()) & set(y.split())) >= min(weigh(set(x.split())), weigh(set(y.split()))) * share - 1e-9}
+        got = [tuple(r) for r in similarity.sharing_words(left, right, threshold).select("a", "b").collect()]
+        assert sorted(got) == sorted(want)

@@ -101,7 +101,7 @@ def tracked_names(names: DataFrame, donors: DataFrame, stars: tuple[str, ...] =
     star = seen.filter(F.size("may") > 0).select("client", "a", F.explode("may").alias("star")).filter(token_set_ratio(F.col("star"), F.col("a")) > star_score)
     near = S.alike_by_words(seen.filter("NOT institution").select(F.col("a").alias("s")), donors.select(F.col("name").alias("s")), donor_score)
     donor = near.filter(token_set_ratio(F.col("a"), F.col("b")) >= donor_score).select("a").distinct().withColumn("donor", F.lit("donor"))
-    out = seen.join(star.select("client").distinct().withColumn("star", F.lit("superstar")), "client", "left").join(donor, "a", "left")
+    out = S.whole_side(seen).join(star.select("client").distinct().withColumn("star", F.lit("superstar")), "client", "left").join(S.whole_side(donor), "a", "left")
     return out.select("client", F.coalesce("star", F.when(F.col("institution"), "institution"), "donor").alias("why")).filter("why IS NOT NULL")
 
 
@@ -114,11 +114,11 @@ def tender_winners(tenders: DataFrame, companies: DataFrame, threshold: float =
     clean = lambda c: F.trim(F.replace(F.replace(F.lower(c), F.lit(" ltd"), F.lit("")), F.lit(" limited"), F.lit("")))
     won = tenders.select(clean(F.col("winner")).alias("a")).distinct()
     register = S.stored(companies.groupBy(clean(F.col("name")).alias("b")).agg(F.min("scrip_code").alias("scrip_code")), "register")
-    exact = won.join(register, F.col("a") == F.col("b")).select("a", "scrip_code", F.lit(1.0).alias("ratio"))
-    pairs = S.stored(S.alike(won.join(exact, "a", "left_anti").select(F.col("a").alias("s")), register.select(F.col("b").alias("s")), 100 * threshold), "pairs")
-    near = pairs.withColumn("ratio", block_ratio(F.col("a"), F.col("b"))).filter(F.col("ratio") >= threshold).join(register, "b")
+    exact = won.join(S.whole_side(register), F.col("a") == F.col("b")).select("a", "scrip_code", F.lit(1.0).alias("ratio"))
+    pairs = S.stored(S.alike(S.whole_side(won).join(exact, "a", "left_anti").select(F.col("a").alias("s")), register.select(F.col("b").alias("s")), 100 * threshold), "pairs")
+    near = pairs.withColumn("ratio", block_ratio(F.col("a"), F.col("b"))).filter(F.col("ratio") >= threshold).join(S.whole_side(register), "b")
     best = near.groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "scrip_code")).alias("x")).select("a", "x.scrip_code", (-F.col("x.r")).alias("ratio"))
-    return tenders.withColumn("a", clean(F.col("winner"))).join(exact.unionByName(best), "a").drop("a")
+    return S.whole_side(tenders.withColumn("a", clean(F.col("winner")))).join(exact.unionByName(best), "a").drop("a")
 
 
 def best_match(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -133,8 +133,8 @@ def best_match(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     a, b = S.stored(a, "names"), S.stored(b.filter(F.length("n") >= 3).select("right_name", "weight", by_words(F.col("n")).alias("b")), "register")
     pairs = S.stored(S.alike(a.select(F.col("a").alias("s")), b.select(F.col("b").alias("s")), threshold), "pairs")
     scored = pairs.withColumn("score", indel_ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
-    best = scored.join(b, "b").groupBy("a").agg(F.max(F.struct("score", "weight", "right_name")).alias("x"))
-    return a.join(best, "a").select("left_name", "x.right_name", F.round("x.score", 4).alias("score"))
+    best = scored.join(S.whole_side(b), "b").groupBy("a").agg(F.max(F.struct("score", "weight", "right_name")).alias("x"))
+    return S.whole_side(a).join(best, "a").select("left_name", "x.right_name", F.round("x.score", 4).alias("score"))
 
 
 def resolve(names: DataFrame, register: DataFrame, threshold: float = 92.0) -> DataFrame:
@@ -143,9 +143,9 @@ def resolve(names: DataFrame, register: DataFrame, threshold: float = 92.0) -> D
     Of register(name, weight, seq) names that are the same when normalised, the one with the last seq stands.
     """
     reg = register.groupBy(normal_name(F.col("name")).alias("n")).agg(F.max_by("name", "seq").alias("match"))
-    tier = S.stored(names.select("name", normal_name(F.col("name")).alias("n")).distinct().join(reg, "n", "left"), "tier")
+    tier = S.stored(names.select("name", normal_name(F.col("name")).alias("n")).distinct().join(S.whole_side(reg), "n", "left"), "tier")
     rest = best_match(tier.filter("match IS NULL").select("name"), register, threshold)
-    out = tier.join(rest.select(F.col("left_name").alias("name"), "right_name"), "name", "left")
+    out = S.whole_side(tier).join(rest.select(F.col("left_name").alias("name"), "right_name"), "name", "left")
     how = F.when(F.col("match").isNotNull(), "exact").when(F.col("right_name").isNotNull(), "fuzzy").otherwise("none")
     return out.select("name", F.coalesce("match", "right_name").alias("match"), how.alias("how"))
 
@@ -157,10 +157,10 @@ def resolve_companies(asked: DataFrame, companies: DataFrame, threshold: float =
     """
     known = companies.filter("cin <> ''")
     codes = known.groupBy("scrip_code").agg(F.max("cin").alias("by_code"))
-    coded = S.stored(asked.select("name", "scrip_code").join(codes, "scrip_code", "left"), "coded")
+    coded = S.stored(asked.select("name", "scrip_code").join(S.whole_side(codes), "scrip_code", "left"), "coded")
     register = known.select("name", F.lit(1.0).alias("weight"), F.col("scrip_code").alias("seq"))
     told = resolve(coded.filter("by_code IS NULL AND name IS NOT NULL").select("name"), register, threshold)
     cins = known.groupBy(F.col("name").alias("match")).agg(F.max_by("cin", "scrip_code").alias("by_name"))
-    out = coded.join(told.join(cins, "match", "left"), "name", "left")
+    out = S.whole_side(coded).join(S.whole_side(told).join(cins, "match", "left"), "name", "left")
     how = F.when(F.col("by_code").isNotNull(), "scrip").otherwise(F.coalesce("how", F.lit("none")))
     return out.select("name", "scrip_code", F.coalesce("by_code", "by_name").alias("cin"), how.alias("how"))

@@ -17,6 +17,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_side(df: DataFrame) -> DataFrame:
+    """df as a side of a join that sorts both: stored names look far smaller by their files than they are, and a side that Spark takes to be small goes through the driver to every task."""
+    return df.hint("merge")
+
+
 def bound(value: Column, then) -> Column:
     """then(value), with value worked out once: a lambda that names an expression works it out for every element."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -57,7 +62,8 @@ class Shared:
 
 def _prefixes(names: DataFrame, order: DataFrame, rule: Shared) -> DataFrame:
     """s, n, size, at, gram: each text's grams by frequency, rare first, as many as any partner has to share one of."""
-    each = names.select("s", F.length("s").alias("n"), F.explode(grams(F.col("s"), rule.q)).alias("gram")).join(order, "gram")
+    each = names.select("s", F.length("s").alias("n"), F.explode(grams(F.col("s"), rule.q)).alias("gram"))
+    each = each.join(F.broadcast(order), "gram") if rule.q == 1 else whole_side(each).join(order, "gram")  # characters are as many as an alphabet has
     w = Window.partitionBy("s").orderBy("f", "gram")
     each = each.withColumn("at", F.row_number().over(w)).withColumn("size", F.count("gram").over(Window.partitionBy("s")))
     least = F.greatest(rule.least(F.col("n") + rule.shortest(F.col("n"))), F.lit(1))
@@ -83,7 +89,7 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float, q: int, both
     met = x.join(y, "gram").filter(fits).groupBy("a", "b", both.alias("both")).agg(F.count("gram").alias("m"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("ga").alias("ga"), F.first("gb").alias("gb"))
     met = met.filter(F.col("m") + F.least(F.col("ga") - F.col("i"), F.col("gb") - F.col("j")) >= rule.least(F.col("both")))
     whole = lambda d, name: d.select(F.col("s").alias(name), grams(F.col("s"), q).alias(f"{name}q"), grams(F.col("s"), 1).alias(f"{name}1"))
-    met = met.select("a", "b", "both").join(whole(left, "a"), "a").join(whole(right, "b"), "b")
+    met = met.select("a", "b", "both").join(whole_side(whole(left, "a")), "a").join(whole_side(whole(right, "b")), "b")
     common = lambda k: F.size(F.array_intersect(f"a{k}", f"b{k}"))
     return met.filter((common("q") >= rule.least(F.col("both"))) & (common(1) >= F.ceil(F.col("both") * rule.part - 1e-9))).select("a", "b")
 
@@ -134,21 +140,23 @@ def shares_words(a: Column, b: Column, threshold: float) -> Column:
 def sharing_words(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """a, b: pairs of left(s) and right(s) whose shared words are enough of one of them (share_of).
 
-    A side's prefix is its rarest words, up to the point where the rest weighs less than that share; a pair that
-    qualifies by that side has a word of the prefix in common. Pairs meet on it, and are then weighed.
+    Words that one side alone has can't be shared, and go first. Of the others a side's prefix is its rarest, up to the
+    point where the rest weighs less than that share; a pair that qualifies by that side has a word of the prefix in
+    common. Pairs meet on it, and are then weighed.
     """
     share = share_of(threshold)
-    word = lambda d, name: d.select(F.col("s").alias(name), F.explode(words(F.col("s"))).alias("w"))
-    order = word(left, "s").unionByName(word(right, "s")).groupBy("w").agg(F.count("w").alias("f"))
+    word = lambda d, name: d.select(F.col("s").alias(name), weight(words(F.col("s"))).alias("whole"), F.explode(words(F.col("s"))).alias("w"))
+    count = lambda d, f: word(d, "s").groupBy("w").agg(F.count("w").alias(f))
+    order = stored(whole_side(count(left, "f")).join(count(right, "g"), "w").select("w", (F.col("f") + F.col("g")).alias("f")), "words")
+    known = lambda d, name: whole_side(word(d, name)).join(order, "w")
 
     def prefix(d: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(name).orderBy("f", "w")
-        before = F.coalesce(F.sum(F.length("w") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        whole = F.sum(F.length("w") + 1).over(Window.partitionBy(name))
-        each = word(d, name).join(order, "w").select(name, "w", (whole - before).alias("rest"), whole.alias("whole"))
+        after = Window.partitionBy(name).orderBy(F.desc("f"), F.desc("w")).rowsBetween(Window.unboundedPreceding, 0)
+        each = known(d, name).select(name, "w", F.sum(F.length("w") + 1).over(after).alias("rest"), "whole")
         return each.filter(F.col("rest") >= F.col("whole") * share - 1e-9).select(name, "w")
 
-    met = prefix(left, "a").join(word(right, "b"), "w").select("a", "b").unionByName(word(left, "a").join(prefix(right, "b"), "w").select("a", "b"))
+    both = lambda x, y: whole_side(x).join(y, "w").select("a", "b")
+    met = both(prefix(left, "a"), known(right, "b").select("b", "w")).unionByName(both(known(left, "a").select("a", "w"), prefix(right, "b")))
     return met.distinct().filter(shares_words(words(F.col("a")), words(F.col("b")), threshold))
 
 
@@ -162,5 +170,5 @@ def alike_by_words(left: DataFrame, right: DataFrame, threshold: float) -> DataF
     left, right = named(left), named(right)
     key = lambda d: d.select(F.col("k").alias("s")).distinct()
     whole = candidates(key(left), key(right), threshold, 1).toDF("ka", "kb")
-    whole = whole.join(left.toDF("a", "ka"), "ka").join(right.toDF("b", "kb"), "kb").select("a", "b")
+    whole = whole.join(whole_side(left.toDF("a", "ka")), "ka").join(whole_side(right.toDF("b", "kb")), "kb").select("a", "b")
     return stored(sharing_words(left.select("s"), right.select("s"), threshold).unionByName(whole).distinct(), "alike")
