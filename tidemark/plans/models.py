@@ -91,8 +91,8 @@ def donors_resolved(t):
 
 
 @query(
-    """WITH e AS (SELECT scrip_code, event_date, CASE WHEN event_date - lag(event_date) OVER w <= 180 THEN 0 ELSE 1 END AS f FROM announcements WHERE is_contract WINDOW w AS (PARTITION BY scrip_code ORDER BY event_date, id)),
-g AS (SELECT *, sum(f) OVER (PARTITION BY scrip_code ORDER BY event_date ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT scrip_code, min(event_date)::TIMESTAMP AS since, max(event_date)::TIMESTAMP + INTERVAL 180 DAY AS expires, count(*) AS alerts FROM g GROUP BY scrip_code, s""",
+    """WITH e AS (SELECT scrip_code, event_date, id, CASE WHEN event_date - lag(event_date) OVER w <= 180 THEN 0 ELSE 1 END AS f FROM announcements WHERE is_contract WINDOW w AS (PARTITION BY scrip_code ORDER BY event_date, id)),
+g AS (SELECT *, sum(f) OVER (PARTITION BY scrip_code ORDER BY event_date, id ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT scrip_code, min(event_date)::TIMESTAMP AS since, max(event_date)::TIMESTAMP + INTERVAL 180 DAY AS expires, count(*) AS alerts FROM g GROUP BY scrip_code, s""",
     ("announcements",),
 )
 def held_spans(t):
