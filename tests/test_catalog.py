@@ -4,6 +4,8 @@ import datetime
 import decimal
 import math
 import os
+import random
+import re
 from collections import Counter
 
 import duckdb
@@ -47,3 +49,20 @@ def test_query(spark, sf_dir, duck, name):
 @pytest.mark.parametrize(("name", "count"), [("kelly_size_all", "count(*) FROM lineitem"), ("director_upsert_all", "count(DISTINCT (l_partkey, l_suppkey)) FROM lineitem"), ("event_props_all", "count(*) FROM events")])
 def test_whole_tables(spark, sf_dir, duck, name, count):
     assert catalog.QUERIES[name](spark, sf_dir).count() == duck.execute(f"SELECT {count}").fetchone()[0]
+
+
+@pytest.mark.parametrize("name", ["technical_score", "conviction"])
+def test_level_volume_has_no_sign(duck, name):
+    """A series that reads the same both ways has a slope of 0, not of some last digit."""
+    rng, rows = random.Random(3), []
+    for k in range(60):
+        half = [rng.randrange(-400, 400) for _ in range(5)]
+        rows += [f"('s{k}', {i}, {300 + i}, {90000 + v}::DOUBLE)" for i, v in enumerate(half + half[::-1])]
+    slope = re.search(r"\bl AS \(SELECT scrip_code, CASE.*? GROUP BY scrip_code\)", catalog.SQL[name]).group()
+    told = duck.execute(f"WITH o AS (SELECT * FROM (VALUES {', '.join(rows)}) v(scrip_code, trade_date, rn, obv)), {slope} SELECT slope FROM l").fetchall()
+    assert [x for (x,) in told] == [0] * 60
+
+
+def test_spans_are_numbered_in_one_order(duck):
+    """Alerts of one day come in the order that says where a stretch starts: every window has the whole of it."""
+    assert set(re.findall(r"ORDER BY (\w+(?:, \w+)*)", catalog.SQL["held_spans"])) == {"event_date, id"}

@@ -516,7 +516,11 @@ tech AS (SELECT scrip_code, trade_date, close, score::DOUBLE AS ta_score, CASE W
   CASE WHEN score >= 8 THEN 2.5 WHEN score >= 6 THEN 1.0 WHEN score >= 4 THEN 0.0 ELSE -1.5 END::DOUBLE AS ta_adjustment, close - 2 * atr AS stop FROM z)"""
 
 
-@query(f"WITH {TECH} SELECT scrip_code, trade_date, ta_score, ta_signal, ta_adjustment, round(stop, 4) AS atr_stop FROM tech", P)
+#: The same slope from sums of whole numbers, which are exact: one that is 0 has no sign, which regr_slope's last digits give it.
+EXACT = SLOPE.replace("regr_slope(obv, rn)", "(10 * sum(obv * rn) - sum(obv) * sum(rn)) / (10 * sum(rn * rn) - sum(rn) * sum(rn))")
+
+
+@query(f"WITH {TECH.replace(SLOPE, EXACT)} SELECT scrip_code, trade_date, ta_score, ta_signal, ta_adjustment, round(stop, 4) AS atr_stop FROM tech", P)
 def technical_score(t):
     return indicators.technical_score(t.prices).select("scrip_code", "trade_date", "ta_score", "ta_signal", "ta_adjustment", F.round("atr_stop", 4).alias("atr_stop"))
 
@@ -726,7 +730,7 @@ def _convictions(t):
     rows = rows.join(signals.tracked_buys(t.bulk_deals, _tracked(t)).withColumn("has_bulk_buy", F.lit(True)), "scrip_code", "left")
     rows = rows.join(signals.new_entries(t.holdings).withColumn("has_superstar", F.lit(True)), "scrip_code", "left")
     rows = rows.join(indicators.technical_score(t.prices).select("scrip_code", "ta_adjustment"), "scrip_code", "left")
-    rows = rows.join(t.pledges.groupBy("scrip_code").agg(F.max_by("pledged", F.struct("pledge_date", "seq")).alias("pledged")), "scrip_code", "left")
+    rows = rows.join(t.pledges.groupBy("scrip_code").agg(F.max_by("pledged", F.struct("pledge_date", "seq", "pledged")).alias("pledged")), "scrip_code", "left")
     rules = _values(t, STATE_PARTIES, "s string, w string").groupBy("s").agg(F.collect_list("w").alias("tokens"))
     rows = rows.join(F.broadcast(rules), F.col("s") == F.col("region"), "left")
     fits = F.col("party").isNull() | F.col("tokens").isNull() | F.exists("tokens", lambda w: F.contains(F.lower("party"), w))
@@ -735,7 +739,7 @@ def _convictions(t):
     return signals.conviction(rows)
 
 
-@query(f"WITH {FEAT} SELECT scrip_code, conviction, breakdown FROM cv", F_)
+@query(f"WITH {FEAT.replace(SLOPE, EXACT).replace('ORDER BY pledge_date DESC, seq DESC)', 'ORDER BY pledge_date DESC, seq DESC, pledged DESC)')} SELECT scrip_code, conviction, breakdown FROM cv", F_)
 def conviction(t):
     return _convictions(t).select("scrip_code", "conviction", "breakdown")
 
