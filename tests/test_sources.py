@@ -41,3 +41,23 @@ def test_headlines_and_amounts(spark):
     assert (row.donor, row.amount) == ("Some Donor Ltd", 2.5e6)
     a, b = spark.createDataFrame([("c1", 1)], "cin string, v int"), spark.createDataFrame([("c1", 2), ("c2", 3)], "cin string, v int")
     assert {(r.cin, r.v) for r in readers.ranked([a, b], "cin").collect()} == {("c1", 1), ("c2", 3)}
+
+
+def test_pages_of_many_companies_share_files(spark, tmp_path):
+    """Files and partitions follow shelves of companies, not companies; a landing that skips a shelf loses nothing of the next."""
+    import glob
+    from types import SimpleNamespace
+
+    from tidemark.plans import landed
+
+    companies = spark.range(600).select(F.col("id").cast("string").alias("scrip_code"))
+    told = spark.range(600 * 30).select((F.col("id") % 600).cast("string").alias("scrip_code"), "id", F.lit(1.5).alias("value"), F.lit("2001-01-01").cast("date").alias("event_date"), F.lit(True).alias("is_contract"))
+    t = SimpleNamespace(spark=spark, companies=companies, announcements=told)
+    landed._land_pages(t, str(tmp_path / "a"), 0, lambda p: p >= 0)
+    assert len(glob.glob(f"{tmp_path}/a/*/*/*.json")) == 3
+    rows = spark.read.format(landed._paged(t, str(tmp_path / "a"))).load()
+    assert rows.rdd.getNumPartitions() == 3
+    assert rows.agg(F.count("id"), F.sum("id"), F.countDistinct("scrip_code")).first()[:] == (18000, 18000 * 17999 // 2, 600)
+    t.announcements = told.filter("id < 600 OR scrip_code = '7'")
+    landed._land_pages(t, str(tmp_path / "b"), 1, lambda p: p > 0)
+    assert spark.read.format(landed._paged(t, str(tmp_path / "b"))).load().count() == 10

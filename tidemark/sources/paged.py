@@ -80,7 +80,7 @@ def landed_pages(path: str) -> tuple[Callable[[str], int], Callable[[str, int],
         return [(store, f) for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True))]
 
     def pages(key: str) -> int:
-        return sum(f.base_name.startswith("page=") for _, f in files(key))
+        return max((int(f.base_name[5:]) + 1 for _, f in files(key) if f.base_name.startswith("page=")), default=0)  # a number that has nothing is an empty page
 
     def page(key: str, number: int) -> list[dict]:
         import json
