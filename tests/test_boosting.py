@@ -127,3 +127,27 @@ def test_cut_points(spark):
     many = spark.range(5000).select(((__import__("pyspark.sql.functions").sql.functions.col("id") * 7919) % 5000).cast("double").alias("x"))
     cuts = boosting.cut_points(many, ["x"], 16)[0]
     assert len(cuts) <= 16 and cuts[-1] == 4999 and np.all(np.diff(cuts) > 0)
+
+
+def test_margins_of_past_rounds_are_removed(spark, tmp_path, monkeypatch):
+    """Of all rounds' margins one table at a time stands between passes, and none at the end."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import boosting
+
+    monkeypatch.setattr(boosting, "landing_dir", lambda _, what: f"{tmp_path}/{what}")
+    seen, store = [], boosting.Cells.store
+
+    def watched(self, table):
+        store(self, table)
+        if self.home.endswith("margins"):
+            seen.append(len(os.listdir(f"{tmp_path}/margins")))
+
+    monkeypatch.setattr(boosting.Cells, "store", watched)
+    rows = spark.range(400).select((F.col("id") % 4).alias("fold"), (F.col("id") % 50).alias("x"), (F.col("id") % 3 == 0).alias("won"))
+    models = [(boosting.Setting(depth=1, rounds=4, step=0.1 + k / 100), 1) for k in range(boosting.FEW + 1)]
+    boosting.boost(boosting.cells(rows, ["x"], "won"), models)
+    assert seen and set(seen) == {1}
+    assert not os.path.exists(f"{tmp_path}/margins") and os.path.exists(f"{tmp_path}/cells")

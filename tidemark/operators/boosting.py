@@ -18,6 +18,8 @@ HELD, FAN = 1 << 19, 64
 TOGETHER = 16
 #: Rounds after which the margins are stored; until then they are worked out from the trees since. With more than FEW models each round is.
 STORED, FEW = 10, 16
+#: Spark's setting to drop a query's shuffle files when it has ended: passes are many, and none reads another's.
+DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The fold of a model that trains on all rows.
 ALL = 1 << 30
 
@@ -116,11 +118,17 @@ class Cells:
         return np.array([len(c) for c in self.cuts], np.uint16)
 
     def store(self, table: DataFrame) -> None:
+        """table as the cells from now on; what stood under the same home before is removed once it is written."""
         self.number += 1
         path = f"{self.home}/{self.number}"
         table.write.parquet(path)
         self.table = table.sparkSession.read.schema(table.schema).parquet(path)
         self.parts = self.table.rdd.getNumPartitions()
+        self.remove(f"{self.home}/{self.number - 1}")
+
+    def remove(self, path: str) -> None:
+        at = self.table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut_points(rows: DataFrame, features: list[str], most: int = 256) -> list[np.ndarray]:
@@ -301,16 +309,8 @@ class Boosted:
         return {f: (float(gain[j] / count[j]), int(count[j])) for j, f in enumerate(self.names) if count[j]}
 
 
-def boost(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, ...] = ()) -> Boosted:
-    """Trains every (setting, fold) model on the rows of earlier folds (ALL: on all rows), and tests it on its own fold after the rounds asked for.
-
-    A pass reads the cells once for all models: each task sums gradient and hessian by model, node, feature and bin,
-    groups of at most FAN partial sums are added, and each model's total chooses its splits in a task of its own. The driver gets a
-    row per model and node. Passes are as many as the deepest setting has levels, times the rounds; sizes of sums follow
-    models, nodes and bins, not rows. The margin of a row starts at 0 (a probability of one half).
-    """
+def _boost(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, ...]) -> Boosted:
     spark = data.table.sparkSession
-    data = replace(data, home=landing_dir(spark, "margins"), number=0)
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-data.table.count() * len(models) // (HELD // 4)))
     if parts > data.parts:  # cells are few where rows are alike, but each has a margin for every model
         data.store(data.table.repartition(parts, "fold", "cell"))
@@ -364,6 +364,26 @@ def boost(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, ..
     return Boosted(models, data.names, rounds, tested)
 
 
+def boost(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, ...] = ()) -> Boosted:
+    """Trains every (setting, fold) model on the rows of earlier folds (ALL: on all rows), and tests it on its own fold after the rounds asked for.
+
+    A pass reads the cells once for all models: each task sums gradient and hessian by model, node, feature and bin,
+    groups of at most FAN partial sums are added, and each model's total chooses its splits in a task of its own. The driver gets a
+    row per model and node. Passes are as many as the deepest setting has levels, times the rounds; sizes of sums follow
+    models, nodes and bins, not rows. The margin of a row starts at 0 (a probability of one half).
+
+    On disk are the margins of two rounds at most, and the shuffle of one pass.
+    """
+    spark = data.table.sparkSession
+    data, before = replace(data, home=landing_dir(spark, "margins"), number=0), spark.conf.get(DROP)
+    spark.conf.set(DROP, "true")
+    try:
+        return _boost(data, models, test_at)
+    finally:
+        spark.conf.set(DROP, before)
+        data.remove(data.home)
+
+
 def walk_forward(rows: DataFrame, features: list[str], label: str, k: int = 3, setting: Setting = Setting()) -> DataFrame:  # noqa: B008
     """fold, n, accuracy: a model for each fold from 1 to k, trained on all earlier rows and tested on that fold. rows have fold (see stats.folds)."""
     told = boost(cells(rows, features, label), [(setting, f) for f in range(1, k + 1)], (setting.rounds,)).tested[setting.rounds]
