@@ -444,3 +444,22 @@ def test_paths_between(spark, hops):
     ids = lambda x: spark.createDataFrame([(i,) for i in x], "id string")
     got = [(tuple(r.path), r.length) for r in graph.paths_between(frame, ids(starts), ids(sorted(ends)), hops).collect()]
     assert sorted(p for p, _ in got) == sorted(want) and all(n == len(p) - 1 for p, n in got)
+
+
+def test_accounts_across_batches(spark):
+    """Accounts that batches cut give what they give whole, and no account is gathered as a group."""
+    orders = spark.createDataFrame([(a, k, 100.0 + 7 * k, 4 + k % 6) for a in (None, 1, 2, 3) for k in range(9)], "account long, seq long, price double, conviction int")
+    whole = sorted(map(str, portfolio.paper_trades(orders).collect()))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        cut = portfolio.paper_trades(orders)
+        assert sorted(map(str, cut.collect())) == whole
+    finally:
+        spark.conf.set(name, before)
+    assert "FlatMapGroupsInPandas" not in cut._jdf.queryExecution().executedPlan().toString()
+    by = {}
+    for r in portfolio.paper_trades(orders).collect():
+        by.setdefault(r.account, []).append((r.seq, r.quantity, r.spent, r.cash))
+    assert len(by) == 4 and all(sorted(x) == sorted(by[1]) for x in by.values())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,27 +37,32 @@ def paper_trades(orders: DataFrame, cash: float = 100_000.0) -> DataFrame:
     """account, seq, quantity, spent, cash: each account's buys in order, each sized by the cash that earlier ones left.
 
     orders: account, seq, price, conviction. A share of the cash by conviction (8: 25 %, 6: 15 %, 4: 5 %) is spent, 1000 at
-    least, and 99 % of it on whole shares. What an order may spend hangs on all before it, so an account's orders are
-    one sorted group, gone through once; an account's orders have to fit in a task.
+    least, and 99 % of it on whole shares. What an order may spend hangs on all before it, so a partition has whole accounts,
+    sorted, and is gone through once, a batch at a time: only the last account and its cash are kept.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["seq", "price", "conviction"])
-        left, rows = cash, []
-        for seq, price, conviction in zip(group.seq, group.price, group.conviction, strict=True):
-            share = 0.25 if conviction >= 8 else 0.15 if conviction >= 6 else 0.05 if conviction >= 4 else 0.0
-            target = left * share
-            quantity = int(0.99 * target / (price * (1 + SLIPPAGE))) if target >= 1000 and price > 0 else 0
-            spent = quantity * price * (1 + SLIPPAGE)
-            left -= spent
-            rows.append((seq, quantity, spent, left))
-        out = pd.DataFrame(rows, columns=["seq", "quantity", "spent", "cash"])
-        out.insert(0, "account", group.account.iloc[0])
-        return out
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, left = None, cash
+        for batch in batches:
+            rows = []
+            for account, price, conviction in zip(batch.account, batch.price, batch.conviction, strict=True):
+                if account != last and not (account != account and last != last):  # a missing account is one, too
+                    last, left = account, cash
+                share = 0.25 if conviction >= 8 else 0.15 if conviction >= 6 else 0.05 if conviction >= 4 else 0.0
+                target = left * share
+                quantity = int(0.99 * target / (price * (1 + SLIPPAGE))) if target >= 1000 and price > 0 else 0
+                spent = quantity * price * (1 + SLIPPAGE)
+                left -= spent
+                rows.append((quantity, spent, left))
+            out = pd.DataFrame(rows, columns=["quantity", "spent", "cash"])
+            out.insert(0, "seq", batch.seq.to_numpy())
+            out.insert(0, "account", batch.account.to_numpy())
+            yield out
 
     asked = orders.select("account", "seq", F.col("price").cast("double").alias("price"), F.col("conviction").cast("double").alias("conviction"))
     kinds = dict(asked.dtypes)
-    done = asked.groupBy("account").applyInPandas(fold, f"account {kinds['account']}, seq {kinds['seq']}, quantity long, spent double, cash double")
+    lined = asked.repartition("account").sortWithinPartitions("account", "seq", "price", "conviction")
+    done = lined.mapInPandas(fold, f"account {kinds['account']}, seq {kinds['seq']}, quantity long, spent double, cash double")
     return done.select("account", "seq", "quantity", F.round("spent", 2).alias("spent"), F.round("cash", 2).alias("cash"))
 
 
