@@ -66,3 +66,16 @@ def test_level_volume_has_no_sign(duck, name):
 def test_spans_are_numbered_in_one_order(duck):
     """Alerts of one day come in the order that says where a stretch starts: every window has the whole of it."""
     assert set(re.findall(r"ORDER BY (\w+(?:, \w+)*)", catalog.SQL["held_spans"])) == {"event_date, id"}
+
+
+def test_no_large_table_is_sent_whole(spark, sf_dir):
+    """Files of customers, orders and parts are many times smaller than their rows: no view may take them for a small side, which the driver would have to hold."""
+    from tidemark.operators import graph, signals
+    from tidemark.plans.bindings import Tables
+
+    t = Tables(spark, sf_dir)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (t.deals, t.donors, t.donor_boards, t.announcements, signals.tracked_buys(t.bulk_deals, t.deals.select("client"))):
+        assert "BroadcastExchange" not in plan(df)
+    for part in plan(graph.top_connections(catalog._connections(t))).split("BroadcastExchange")[1:]:
+        assert not re.search("p_partkey|c_custkey|o_orderkey", next(line for line in part.splitlines() if "Scan " in line))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators.similarity import whole_side
+
 #: By view: its SQL, in the dialect that Spark and DuckDB share. Later views may use earlier ones.
 VIEWS = {
     "companies": """
@@ -72,6 +74,8 @@ VIEWS = {
 }
 #: The order in which views build on each other.
 NEEDS = {"prices": ("ticks",), "benchmark_prices": ("ticks",), "bulk_deals": ("deals",), "niches": ("companies",)}
+#: Tables of views whose files are many times smaller than their rows: Spark's size check would send them whole through the driver.
+LARGE = ("customer", "orders", "part")
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
 
@@ -90,6 +94,7 @@ class Tables:
                 sql = VIEWS[name]
                 for t in used:
                     sql = _swap(sql, t)
+                used |= {t: whole_side(d) for t, d in used.items() if t in LARGE}
                 self._made[name] = self.spark.sql(sql, **used)
             else:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions.params import BOARD_CHANGE, CONTRACT, EXCLUDED, SECTOR_KEYWORDS, STAR, SUPERSTARS
 from tidemark.operators import entity, events, graph, indicators, portfolio, signals, stats, tables
+from tidemark.operators.similarity import whole_side
 from tidemark.plans.bindings import Tables, with_views
 from tidemark.sources import readers
 
@@ -747,7 +748,7 @@ def conviction(t):
 @query(f"WITH {FEAT} SELECT a.id, scrip_code, event_date, conviction FROM announcements a JOIN cv USING (scrip_code) JOIN niches n USING (scrip_code) JOIN fundamentals f USING (scrip_code) WHERE is_contract AND score IS NOT NULL AND conviction >= 4 AND cin <> '' AND NOT (coalesce(de > 5, false) OR coalesce(ocf < 0, false) OR (de IS NULL AND ocf IS NULL))", (*F_, "niches", "fundamentals"))
 def contract_alerts(t):
     sound = t.fundamentals.filter(signals.fundamentals_pass(F.col("de"), F.col("ocf"))[0]).join(t.niches.filter("cin <> ''"), "scrip_code", "left_semi").select("scrip_code")
-    rows = _convictions(t).filter((F.col("conviction") >= 4) & F.col("alpha_score").isNotNull()).join(sound, "scrip_code", "left_semi").select("scrip_code", "conviction")
+    rows = _convictions(t).filter((F.col("conviction") >= 4) & F.col("alpha_score").isNotNull()).join(whole_side(sound), "scrip_code", "left_semi").select("scrip_code", "conviction")
     return t.announcements.filter("is_contract").join(rows, "scrip_code").select("id", "scrip_code", "event_date", "conviction")
 
 
