@@ -463,3 +463,13 @@ def test_accounts_across_batches(spark):
     for r in portfolio.paper_trades(orders).collect():
         by.setdefault(r.account, []).append((r.seq, r.quantity, r.spent, r.cash))
     assert len(by) == 4 and all(sorted(x) == sorted(by[1]) for x in by.values())
+
+
+def test_averages_of_a_series_share_a_sort(spark):
+    """A task holds each sort of its series: by day, and by block for all averages; a day's lag after them is a third."""
+    from tidemark.operators import indicators
+
+    rows = spark.createDataFrame([("1", date(2024, 1, 1 + i), float(i % 7)) for i in range(30)], "scrip_code string, trade_date date, close double")
+    sorts = lambda df: sum(line.strip(" :+-").startswith("Sort [") for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert [sorts(x) for x in (indicators.macd(rows), indicators.rsi(rows), indicators.macd_bullish(indicators.macd(rows)))] == [2, 2, 3]
+    assert indicators.macd(rows).columns == [*rows.columns, "rn", "macd", "macd_signal", "macd_hist"] and indicators.rsi(rows).columns == [*rows.columns, "rn", "rsi"]

@@ -25,17 +25,23 @@ def numbered(prices: DataFrame) -> DataFrame:
     return prices.withColumn("rn", F.row_number().over(by_day()))
 
 
+def blocked(rows: DataFrame) -> DataFrame:
+    """Adds __b and __i, a row's block and its place there (rows have rn): averages that share them share one sort."""
+    return rows.withColumn("__b", F.floor((F.col("rn") - 1) / BLOCK)).withColumn("__i", (F.col("rn") - 1) % BLOCK)
+
+
 def ema(rows: DataFrame, source: str, name: str, alpha: float, adjust: bool = False) -> DataFrame:
     """Exponential average of source as column name; rows have rn. adjust weighs as if nothing came before the first row.
 
     y[t] = a x[t] + (1 - a) y[t-1] is a prefix sum of x[i] (1 - a) ** -i, taken per BLOCK rows so that the weights stay
     small; what came before a block reaches it through the block before it (older ones weigh under (1 - a) ** BLOCK).
-    Nulls are skipped as zeros of no weight only where adjust is set.
+    Nulls are skipped as zeros of no weight only where adjust is set. Rows that are blocked already stay so.
     """
     decay = 1.0 - alpha
+    own = () if "__b" in rows.columns else ("__b", "__i")
+    rows = blocked(rows) if own else rows
     block = Window.partitionBy(KEY, "__b").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(KEY).orderBy("__b").rangeBetween(-1, -1)
-    rows = rows.withColumn("__b", F.floor((F.col("rn") - 1) / BLOCK)).withColumn("__i", (F.col("rn") - 1) % BLOCK)
     scale, down = F.pow(F.lit(decay), -F.col("__i")), F.pow(F.lit(decay), F.col("__i"))
     x = F.col(source)
     weight = F.lit(1.0) if adjust else F.when(F.col("rn") == 1, 1.0).otherwise(alpha)
@@ -46,24 +52,24 @@ def ema(rows: DataFrame, source: str, name: str, alpha: float, adjust: bool = Fa
         rows = rows.withColumn("__w", down * F.sum(F.when(x.isNotNull(), scale)).over(block))
         rows = rows.withColumn("__q", F.max_by("__w", "rn").over(before))
         weights = F.col("__w") + F.coalesce(F.col("__q"), F.lit(0.0)) * F.pow(F.lit(decay), F.col("__i") + 1)
-        return rows.withColumn(name, total / weights).drop("__b", "__i", "__s", "__p", "__w", "__q")
-    return rows.withColumn(name, total).drop("__b", "__i", "__s", "__p")
+        return rows.withColumn(name, total / weights).drop(*own, "__s", "__p", "__w", "__q")
+    return rows.withColumn(name, total).drop(*own, "__s", "__p")
 
 
 def rsi(prices: DataFrame, span: int = 14) -> DataFrame:
     """Adds rsi; null before row span, and where nothing was lost."""
     rows = numbered(prices).withColumn("__d", F.col("close") - F.lag("close").over(by_day()))
     rows = rows.withColumn("__g", F.greatest(F.coalesce("__d", F.lit(0.0)), F.lit(0.0))).withColumn("__l", F.greatest(-F.coalesce("__d", F.lit(0.0)), F.lit(0.0)))
-    rows = ema(ema(rows, "__g", "__ag", 1 / span, adjust=True), "__l", "__al", 1 / span, adjust=True)
+    rows = ema(ema(blocked(rows), "__g", "__ag", 1 / span, adjust=True), "__l", "__al", 1 / span, adjust=True)
     rs = F.col("__ag") / F.nullif(F.col("__al"), F.lit(0.0))
-    return rows.withColumn("rsi", F.when(F.col("rn") >= span, 100 - 100 / (1 + rs))).drop("__d", "__g", "__l", "__ag", "__al")
+    return rows.withColumn("rsi", F.when(F.col("rn") >= span, 100 - 100 / (1 + rs))).drop("__d", "__g", "__l", "__ag", "__al", "__b", "__i")
 
 
 def macd(prices: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Adds macd, macd_signal and macd_hist."""
-    rows = ema(ema(numbered(prices), "close", "__f", 2 / (fast + 1)), "close", "__s2", 2 / (slow + 1))
+    rows = ema(ema(blocked(numbered(prices)), "close", "__f", 2 / (fast + 1)), "close", "__s2", 2 / (slow + 1))
     rows = ema(rows.withColumn("macd", F.col("__f") - F.col("__s2")).drop("__f", "__s2"), "macd", "macd_signal", 2 / (signal + 1))
-    return rows.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    return rows.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__b", "__i")
 
 
 def macd_bullish(rows: DataFrame) -> DataFrame:
