@@ -473,3 +473,17 @@ def test_averages_of_a_series_share_a_sort(spark):
     sorts = lambda df: sum(line.strip(" :+-").startswith("Sort [") for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
     assert [sorts(x) for x in (indicators.macd(rows), indicators.rsi(rows), indicators.macd_bullish(indicators.macd(rows)))] == [2, 2, 3]
     assert indicators.macd(rows).columns == [*rows.columns, "rn", "macd", "macd_signal", "macd_hist"] and indicators.rsi(rows).columns == [*rows.columns, "rn", "rsi"]
+
+
+def test_held_stream_reads_its_alerts_once(spark):
+    """The years land from alerts that are worked out once, not anew for each year."""
+    from types import SimpleNamespace
+
+    from tidemark.plans import models
+
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda i: seen.add(1) or True, "boolean").asNondeterministic()
+    days = F.date_add(F.lit("1999-01-01").cast("date"), (F.col("id") * 400).cast("int"))
+    rows = spark.range(4).select(F.lit("7").alias("scrip_code"), days.alias("event_date"), told("id").alias("is_contract"))
+    got = models.held_stream(SimpleNamespace(spark=spark, announcements=rows)).collect()
+    assert (len(got), seen.value) == (3, 4)

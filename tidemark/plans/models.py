@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.answers import answered
 from tidemark.operators import entity, graph, stats
+from tidemark.operators.similarity import stored
 from tidemark.plans.catalog import BM, C_, CAR, CONNECTIONS, G_, LINKED, RET, TOP, WELCH, _car, _connections, _excess, _linked, _soon, query
 from tidemark.sources.landing import landing_dir
 from tidemark.streaming import streams
@@ -135,6 +136,7 @@ def held_stream(t):
 
     home = landing_dir(t.spark, "held")
     rows = t.announcements.filter("is_contract").select("scrip_code", F.col("event_date").cast("timestamp").alias("ts"))
+    rows = stored(rows, "alerts")  # read for each year
     first, last = rows.agg(F.min(F.year("ts")), F.max(F.year("ts"))).first()
     name = "spark.sql.streaming.stateStore.providerClass"
     before = t.spark.conf.get(name)
