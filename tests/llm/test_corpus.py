@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -276,6 +277,27 @@ def test_pipeline(spark, tmp_path):
     assert packed.count() == stages["best-fit packing"].count() > 0
 
 
+def test_lines_leave_no_shuffles(spark, monkeypatch):
+    """Each stored step's shuffle files go with it, whether or not the driver's garbage is collected."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_(\d+)_", manager.getAllFiles().mkString(" ")))
+    before, stored, written = files(), [], line_dedup.Scratch.written
+
+    def watched(self, df, what, **options):
+        out, until = written(self, df, what, **options), time.monotonic() + 5
+        while (found := files() - before) and time.monotonic() < until:  # they go in the background
+            time.sleep(0.1)
+        assert not found
+        stored.append(what)
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "written", watched)
+    monkeypatch.setattr(line_dedup.Scratch, "release", lambda self: None)
+    docs = [(i, f"some line of words that is much like others {i % 7}\nanother {i}") for i in range(40)]
+    line_dedup.repeated_lines(table(spark, docs))
+    assert "alike" in stored
+
+
 def test_lines_without_spaces(spark):
     """All of a line counts, whether it has spaces or not."""
     urls = [f"https://example.org/a/b/{name}.html" for name in ("first", "zzz/other", "quite-another-page")]
