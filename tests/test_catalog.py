@@ -79,3 +79,23 @@ def test_no_large_table_is_sent_whole(spark, sf_dir):
         assert "BroadcastExchange" not in plan(df)
     for part in plan(graph.top_connections(catalog._connections(t))).split("BroadcastExchange")[1:]:
         assert not re.search("p_partkey|c_custkey|o_orderkey", next(line for line in part.splitlines() if "Scan " in line))
+
+
+def test_graph_json_is_written_in_parts(spark, sf_dir, monkeypatch):
+    """No task sorts and writes the whole document."""
+    plans, land = [], landed.land
+    monkeypatch.setattr(landed, "land", lambda df, *args: plans.append(df._jdf.queryExecution().executedPlan().toString()) or land(df, *args))
+    catalog.QUERIES["graph_json"](spark, sf_dir)
+    (plan,) = plans
+    assert "Coalesce" not in plan and "rangepartitioning(k" in plan
+
+
+def test_graph_in_several_files(spark, tmp_path):
+    """Files that hold a part each, the head alone too, are one graph."""
+    from tidemark.sources import readers
+
+    parts = ['{"directed": true, "nodes": [', '{"id": "1", "node_type": "Director {"},\n{"id": "2", "node_type": "Director {"}', '], "links": [', '{"source": "1", "target": "a", "edge_type": "X"},', '{"source": "2", "target": "a", "edge_type": "X"}\n]}']
+    for i, text in enumerate(parts):
+        (tmp_path / f"part-{i}.txt").write_text(text + "\n")
+    v, e = readers.node_link_graph(spark, str(tmp_path))
+    assert sorted(r.id for r in v.collect()) == ["1", "2"] and sorted(r.src for r in e.collect()) == ["1", "2"]

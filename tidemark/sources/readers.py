@@ -228,7 +228,7 @@ _OBJECT = r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*(?:\}|$)'
 
 
 def node_link_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """vertices (id, kind) and edges (src, dst, kind) of a graph in node-link JSON, as large as it may be.
+    """vertices (id, kind) and edges (src, dst, kind) of a graph in node-link JSON, as large as it may be: a file, or a folder of files that follow each other.
 
     The document is cut after each object, so that its parts are read and parsed by as many tasks as the file has
     splits. Objects in its lists have plain values, and no text in them holds a brace before a comma.
