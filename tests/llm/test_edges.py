@@ -180,3 +180,27 @@ def test_quality_rules_columns(spark):
     text = "the cat sat on the mat and looked at the dog of the house in the morning with a smile on the face"
     rows = quality.quality(clashing(spark, [(1, text), (1, text)])).collect()
     assert len(rows) == 2 and len({(r.kept, r.base_failed) for r in rows}) == 1
+
+
+def test_jaccard_further_hubs(spark, monkeypatch):
+    """Copies of a text that isn't there, cut at many lengths: hub after hub links them, and few pairs between parts are left to compare."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(150)]
+    docs = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        docs.append((i, " ".join(w[: rng.randrange(100, 150)])))
+    compared = []
+    real = jaccard_join._verified
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_copies(clashing(spark, docs)).collect()}
+    assert got == links_of(docs)[0]
+    assert compared[-1] < 15 * len(docs)

@@ -28,6 +28,8 @@ SKETCH = 16
 VERIFIED = 2
 #: A border set's commonest names, by which it finds its second hub.
 COMMON = 4
+#: Further hubs for sets still at the border, at most; fewer where one round links nothing any more.
+ROUNDS = 4
 #: Names in a pack of sets.
 SET_PACK = 1 << 19
 
@@ -404,10 +406,29 @@ def _second_hubs(border: DataFrame, scratch: Scratch) -> DataFrame:
     return best.select(F.col("rep").alias("x"), (-F.col("best.back")).alias("y"))
 
 
+def _further_hubs(border: DataFrame, number: int) -> DataFrame:
+    """(x, y): y is, of the sets that lead border sets with a name of x's prefix and are in another part, the one that most of those names lead to.
+
+    A name is led by the set whose hash for this round is least, so that each round has other hubs: sets that are alike
+    with some of a part, but not with the hubs they were held against before, join it one after the other.
+    """
+    held = border.select("rep", "part", F.explode("names").alias("name"))
+    lead = held.groupBy("name").agg(F.min(F.struct(F.xxhash64(F.lit(number), "rep").alias("order"), F.col("rep").alias("hub"), F.col("part").alias("hub_part"))).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    seen = held.join(lead.select("name", "lead.hub", "lead.hub_part"), "name").filter("part <> hub_part").groupBy("rep", "hub").count()
+    best = seen.groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("back"))).alias("best"))
+    return best.select(F.col("rep").alias("x"), (-F.col("best.back")).alias("y"))
+
+
+def _replaced(border: DataFrame, links: DataFrame) -> DataFrame:
+    """border with the components of links as parts."""
+    parts = components(links)
+    return border.drop("part").join(parts, border["rep"] == parts["id"], "left").withColumn("part", F.coalesce("component", "rep")).drop("id", "component")
+
+
 def _across(sets: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The pairs (x, y) of sets in different parts that may link, all of them, by prefixes; and the links between parts found on the way.
 
-    The parts are the components of links, and of those with a second hub for the sets at the border of parts. Of a pair, x is the smaller, and the lower level's matches are asked. A key's main part, the one that has it most
+    The parts are the components of links, and of those with second and further hubs for the sets at the border of parts. Of a pair, x is the smaller, and the lower level's matches are asked. A key's main part, the one that has it most
     often, isn't held against itself: its sets meet only those of other parts.
     """
     parts = components(links)
@@ -418,9 +439,15 @@ def _across(sets: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -
     shape = "rep long, part long, n long, across long, more long, common array<bigint>, names array<bigint>"
     border = scratch.written(L.asked(packs, replies, "replies").mapInArrow(_border(percent, buckets), shape), "border")
     found = scratch.written(_verified(_second_hubs(border, scratch), sets, percent), "second_links")
-    parts = components(links.unionByName(found))
-    joined = border.drop("part", "common").join(parts, border["rep"] == parts["id"], "left").withColumn("part", F.coalesce("component", "rep")).drop("id", "component")
-    border = scratch.written(joined.mapInArrow(_set_packs, "pack_id long, body binary"), "border_packs", compression="none")
+    border = _replaced(border.drop("common"), links.unionByName(found))
+    for number in range(ROUNDS):
+        border = scratch.written(border, "placed")
+        more = scratch.written(_verified(_further_hubs(border, number), sets, percent), "further_links")
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+        border = _replaced(border, links.unionByName(found))
+    border = scratch.written(border.mapInArrow(_set_packs, "pack_id long, body binary"), "border_packs", compression="none")
     replies = L.exchange(border, _keys_question(percent, buckets), _mains, buckets)
     some = L.asked(border, replies, "replies").mapInArrow(_prefixes(percent, buckets), "name long, rep long, part long, n long, across long, more long, place long, side int, main boolean")
     some = scratch.written(some, "prefixes")
@@ -446,7 +473,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. Every set's names are in hash order, and the prefix in which a partner must share FIRST_CUT hundredths of its size
        is asked about: sets with too few shared names have no partner. Equal sets get one representative.
     2. Each representative left is held against one other, its hub; links are put together to components. Sets that may
-       still have a partner elsewhere are held against a second hub.
+       still have a partner elsewhere are held against a second hub, then against others as long as that links any.
     3. For sets in different components all pairs that adaptive prefixes allow are verified, in an order of names from
        rare to frequent. So no link is lost, and a group of very many near copies isn't expanded into its pairs.
     """
