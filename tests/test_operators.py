@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import entity, graph, indicators, portfolio, signals, stats, tables
+from tidemark.plans import catalog
 
 
 def one(spark, column):
@@ -487,3 +488,11 @@ def test_held_stream_reads_its_alerts_once(spark):
     rows = spark.range(4).select(F.lit("7").alias("scrip_code"), days.alias("event_date"), told("id").alias("is_contract"))
     got = models.held_stream(SimpleNamespace(spark=spark, announcements=rows)).collect()
     assert (len(got), seen.value) == (3, 4)
+
+
+def test_insert_absent_dealt_finely(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "d")], "k long, v string")
+    out = tables.insert_absent(old, new, ["k"])
+    assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, "b"), (3, "d")]
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()

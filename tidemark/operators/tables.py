@@ -36,9 +36,19 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__x")).select(*keys, *[F.col(f"__x.{c}").alias(c) for c in rest])
 
 
+#: Parts of a step that sorts or hashes the same rows several times in one task, for each of spark.sql.shuffle.partitions.
+FINE = 4
+
+
+def fine(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys into FINE times the shuffle partitions, a number that adaptive execution keeps: it puts parts
+    together by their compressed bytes, whatever a task then makes of them."""
+    return rows.repartition(FINE * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old, and of new one row per key that old lacks."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+    """old, and of new one row per key that old lacks. new is dealt finely, as a task hashes and sorts its rows."""
+    return old.unionByName(fine(new, *keys).dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
 
 def last_rows(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
