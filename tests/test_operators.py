@@ -490,6 +490,14 @@ def test_held_stream_reads_its_alerts_once(spark):
     assert (len(got), seen.value) == (3, 4)
 
 
+@pytest.mark.parametrize("name", ["macd", "macd_bullish", "rsi", "atr_stop"])
+def test_series_dealt_once(spark, sf_dir, name):
+    """Days and windows of a series share one shuffle, into more parts than others have and a number that stays."""
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and plan.count("Exchange") == 1
+    assert "REPARTITION_BY_NUM" in plan and f", {4 * int(spark.conf.get('spark.sql.shuffle.partitions'))})" in plan
+
+
 def test_insert_absent_dealt_finely(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "d")], "k long, v string")

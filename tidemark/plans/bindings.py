@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.similarity import whole_side
+from tidemark.operators.tables import fine
 
 #: By view: its SQL, in the dialect that Spark and DuckDB share. Later views may use earlier ones.
 VIEWS = {
@@ -72,8 +73,10 @@ VIEWS = {
         SELECT CAST(l_suppkey AS STRING) AS scrip_code, max(l_quantity) / 50 AS alpha_score, max(CAST(l_shipdate AS DATE)) AS alert_date
         FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey""",
 }
+#: The prices again, for windows that sort series several times: ticks are dealt finely by scrip, once for days and windows.
+VIEWS["series"] = VIEWS["prices"]
 #: The order in which views build on each other.
-NEEDS = {"prices": ("ticks",), "benchmark_prices": ("ticks",), "bulk_deals": ("deals",), "niches": ("companies",)}
+NEEDS = {"prices": ("ticks",), "series": ("ticks",), "benchmark_prices": ("ticks",), "bulk_deals": ("deals",), "niches": ("companies",)}
 #: Tables of views whose files are many times smaller than their rows: Spark's size check would send them whole through the driver.
 LARGE = ("customer", "orders", "part")
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
@@ -95,6 +98,8 @@ class Tables:
                 for t in used:
                     sql = _swap(sql, t)
                 used |= {t: whole_side(d) for t, d in used.items() if t in LARGE}
+                if name == "series":
+                    used["ticks"] = fine(used["ticks"], "scrip_code")
                 self._made[name] = self.spark.sql(sql, **used)
             else:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -443,7 +443,7 @@ r AS (SELECT scrip_code, trade_date, CASE WHEN rn >= 14 THEN 100 - 100 / (1 + ag
 
 @query(f"WITH {RSI} SELECT scrip_code, trade_date, round(rsi, 4) AS rsi FROM r", P)
 def rsi(t):
-    return indicators.rsi(t.prices).select("scrip_code", "trade_date", F.round("rsi", 4).alias("rsi"))
+    return indicators.rsi(t.series).select("scrip_code", "trade_date", F.round("rsi", 4).alias("rsi"))
 
 
 MACD = f"""m0 AS (SELECT *, {_ema("close", "(2.0::DOUBLE / 13)")} - {_ema("close", "(2.0::DOUBLE / 27)")} AS macd FROM n),
@@ -453,12 +453,12 @@ h AS (SELECT scrip_code, trade_date, macd, sig, macd - sig AS hist, lag(macd - s
 
 @query(f"WITH {N}, {MACD} SELECT scrip_code, trade_date, round(macd, 4) AS macd, round(sig, 4) AS macd_signal FROM h", P)
 def macd(t):
-    return indicators.macd(t.prices).select("scrip_code", "trade_date", F.round("macd", 4).alias("macd"), F.round("macd_signal", 4).alias("macd_signal"))
+    return indicators.macd(t.series).select("scrip_code", "trade_date", F.round("macd", 4).alias("macd"), F.round("macd_signal", 4).alias("macd_signal"))
 
 
 @query(f"WITH {N}, {MACD} SELECT scrip_code, count(*) AS days, sum(CASE WHEN coalesce(hist > 0 AND (h2 <= 0 OR hist > h1) AND h2 IS NOT NULL, false) THEN 1 ELSE 0 END)::BIGINT AS bullish FROM h GROUP BY scrip_code", P)
 def macd_bullish(t):
-    return indicators.macd_bullish(indicators.macd(t.prices)).groupBy("scrip_code").agg(F.count("rn").alias("days"), F.count_if("macd_bullish").alias("bullish"))
+    return indicators.macd_bullish(indicators.macd(t.series)).groupBy("scrip_code").agg(F.count("rn").alias("days"), F.count_if("macd_bullish").alias("bullish"))
 
 
 OBV = f"o0 AS (SELECT *, coalesce(volume * sign(close - lag(close) {W}), 0) AS v FROM n), o AS (SELECT scrip_code, trade_date, rn, sum(v) OVER (PARTITION BY scrip_code ORDER BY trade_date) AS obv FROM o0)"
@@ -484,7 +484,7 @@ t AS (SELECT scrip_code, trade_date, close, {_ema("tr", "(2.0::DOUBLE / 15)")} A
 
 @query(f"WITH {N}, {ATR} SELECT scrip_code, trade_date, round(atr, 4) AS atr, round(close - 2 * atr, 4) AS atr_stop FROM t", P)
 def atr_stop(t):
-    return indicators.atr(t.prices).select("scrip_code", "trade_date", F.round("atr", 4).alias("atr"), F.round("atr_stop", 4).alias("atr_stop"))
+    return indicators.atr(t.series).select("scrip_code", "trade_date", F.round("atr", 4).alias("atr"), F.round("atr_stop", 4).alias("atr_stop"))
 
 
 VWAP = "v AS (SELECT scrip_code, trade_date, close, CASE WHEN count(*) OVER a = 20 THEN sum((high + low + close) / 3 * volume) OVER a / nullif(sum(volume) OVER a, 0) END AS vwap FROM prices WINDOW a AS (PARTITION BY scrip_code ORDER BY trade_date ROWS 19 PRECEDING))"
