@@ -80,3 +80,19 @@ def test_paged_stream_numbers_pages_once(spark):
     t = Told(spark=spark, companies=spark.range(600).select(F.col("id").cast("string").alias("scrip_code")))
     assert landed.paged_stream(t).agg(F.count("n"), F.sum("n"), F.sum("ids")).first()[:] == (600, 18000, 18000 * 17999 // 2)
     assert len(read) == 1 and not spark.streams.active
+
+
+def test_html_rows_in_slices():
+    """A batch's cells are never all Python objects at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page = "<table>" + "".join(f"<tr><td>name {i}</td><td>{i} Lakh</td></tr>" for i in range(40)) + "</table>"
+    pages = pa.array([page, None, ""] * 1000)
+    tracemalloc.start()
+    rows = readers.html_rows.func(pages)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [len(r) for r in rows.to_pylist()] == [40, 0, 0] * 1000
+    assert peak < 5_000_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -131,8 +131,12 @@ class _Tables(HTMLParser):
             self.cell = None
 
 
-@F.pandas_udf(ArrayType(ArrayType(StringType())))
-def html_rows(html: pd.Series) -> pd.Series:
+#: Pages whose rows are Python lists at once; a batch has many more.
+PAGES = 256
+
+
+@F.arrow_udf(ArrayType(ArrayType(StringType())))
+def html_rows(html: pa.Array) -> pa.Array:
     """The rows of all tables of a page, in Arrow batches; pages without one give an empty array."""
 
     def parse(x):
@@ -140,7 +144,9 @@ def html_rows(html: pd.Series) -> pd.Series:
         p.feed(x or "")
         return [r for r in p.rows if r]
 
-    return html.map(parse)
+    kind = pa.list_(pa.list_(pa.string()))
+    parts = [pa.array([parse(x) for x in html.slice(lo, PAGES).to_pylist()], kind) for lo in range(0, len(html), PAGES)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def directors(pages: DataFrame, html: str = "html", current: bool = False) -> DataFrame:
