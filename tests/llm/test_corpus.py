@@ -337,6 +337,49 @@ def test_lines_with_boilerplate(spark, monkeypatch, few):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_lines_of_two_groups(spark, monkeypatch):
+    """Two groups of near copies whose texts are half alike: no pairs between them are made, all copies go, and the nearly alike line stays."""
+    rng = random.Random(17)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared, own = letters(200), [letters(80), letters(80)]
+    edited = lambda t: "".join("#" if k in (rng.randrange(len(t)),) else c for k, c in enumerate(t))
+    lines = [edited(shared + own[k % 2]) for k in range(120)]
+    made, stored = Counter(), line_dedup.Scratch.written
+
+    def watched(self, df, what, **options):
+        out = stored(self, df, what, **options)
+        if what.startswith("pairs"):
+            made[what] += out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "written", watched)
+    got = {r.doc_id for r in line_dedup.repeated_lines(table(spark, list(enumerate(lines)))).collect()}
+    assert got == set(range(2, 120))
+    assert sum(made.values()) < 6 * len(lines)
+
+
+@pytest.mark.parametrize("words", [1, 32])
+def test_sketches_lose_no_pair(spark, monkeypatch, words):
+    """Every alike pair passes the sketches, lines that repeat themselves and full sketches included."""
+    monkeypatch.setattr(line_dedup, "WORDS", words)
+    rng = random.Random(19)
+    letters = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    lines, q = ["ab" * 40, "ab" * 30 + "c", "x", "xy", ""], line_dedup.SHINGLE
+    for _ in range(25):
+        t = letters(rng.randrange(8, 300))
+        lines += [t, t[: rng.randrange(6, 9) * len(t) // 8], t + t, t.replace("a", "é", 1)]
+    sets = [{t[k : k + q] for k in range(max(1, len(t) - q + 1))} for t in lines]
+    want = {(j, i) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    frame = spark.createDataFrame(list(enumerate(lines)), "rep long, line string")
+    sketches = line_dedup._sketches(frame)
+    side = line_dedup._side
+    both = side(sketches, "x").crossJoin(side(sketches, "y")).filter("x_rep > y_rep").filter(line_dedup._may_be_alike(75))
+    passed = {(r.x_rep, r.y_rep) for r in both.select("x_rep", "y_rep").collect()}
+    assert want and want <= passed
+    pairs = spark.createDataFrame([(j, i) for j in range(len(lines)) for i in range(j)], "x long, y long")
+    assert {(r.u, r.v) for r in line_dedup._alike(pairs, frame.join(sketches, "rep"), 75).collect()} == want
+
+
 def test_repeated_rows(spark):
     """A row that stands twice stays once, and an id keeps the text of its own that no other row has."""
     long = " ".join(f"word{i}" for i in range(40))
