@@ -151,3 +151,33 @@ def test_margins_of_past_rounds_are_removed(spark, tmp_path, monkeypatch):
     boosting.boost(boosting.cells(rows, ["x"], "won"), models)
     assert seen and set(seen) == {1}
     assert not os.path.exists(f"{tmp_path}/margins") and os.path.exists(f"{tmp_path}/cells")
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_whole_models(spark, monkeypatch, block):
+    """Models trained in a task each are those of the passes, and take no job for each level."""
+    data = table(150, 6)
+    frame = spark.createDataFrame(data, "id int, fold int, a int, b double, c double, y boolean").repartition(3)
+    models = [(Setting(depth=d, step=0.2, l2=0.1, l1=l1, rounds=r), f) for d, l1, r in ((1, 0.1, 6), (4, 0.0, 5), (3, 1.0, 6)) for f in (1, 3, ALL)]
+    found = []
+    monkeypatch.setattr(boosting, "BLOCK", block)
+    for many in (0, 10**6):
+        monkeypatch.setattr(boosting, "MANY", many)
+        cells, tracker = boosting.cells(frame, ["a", "b", "c"], "y"), spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(f"whole {many} {block}", "")
+        done = boosting.boost(cells, models, (2, 6))
+        found.append((done, len(tracker.getJobIdsForGroup(f"whole {many} {block}"))))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    (whole, few), (passes, more) = found
+    assert whole.tested == passes.tested and few < 6 < more
+    for a, b in zip(whole.rounds, passes.rounds, strict=True):
+        assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.array_equal(a.missing_left, b.missing_left)
+        assert np.allclose(a.gain, b.gain) and np.allclose(a.value, b.value)
+
+
+def test_many_cells_take_passes(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "WHOLE", 5)
+    monkeypatch.setattr(boosting, "MANY", 0)
+    monkeypatch.setattr(boosting, "_whole", None)
+    frame = spark.createDataFrame(table(80, 7), "id int, fold int, a int, b double, c double, y boolean")
+    assert boosting.walk_forward(frame, ["a", "b", "c"], "y", setting=Setting(rounds=2)).count() == 3

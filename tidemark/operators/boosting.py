@@ -18,6 +18,8 @@ HELD, FAN = 1 << 19, 64
 TOGETHER = 16
 #: Rounds after which the margins are stored; until then they are worked out from the trees since. With more than FEW models each round is.
 STORED, FEW = 10, 16
+#: With more passes than MANY and at most WHOLE cells, tasks hold all cells (some 30 bytes each) and train whole models, BLOCK cells at a time.
+MANY, WHOLE, BLOCK = 16, 1 << 21, 1 << 16
 #: Spark's setting to drop a query's shuffle files when it has ended: passes are many, and none reads another's.
 DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The fold of a model that trains on all rows.
@@ -309,6 +311,131 @@ class Boosted:
         return {f: (float(gain[j] / count[j]), int(count[j])) for j, f in enumerate(self.names) if count[j]}
 
 
+def _assign(trees: Trees, m: int, level: int, node: int, r: dict) -> None:
+    """The split of a node of a level in the tree of model m."""
+    at = 2**level - 1 + node
+    if not level:
+        trees.value[m, 0] = r["value"]
+    elif trees.feature[m, (at - 1) // 2] < 0:
+        return
+    if r["feature"] >= 0:
+        trees.feature[m, at], trees.cut[m, at], trees.missing_left[m, at], trees.gain[m, at] = r["feature"], r["cut"], r["missing_left"], r["gain"]
+        trees.value[m, 2 * at + 1], trees.value[m, 2 * at + 2] = r["left"], r["right"]
+
+
+@dataclass
+class Held:
+    """All cells in order of fold and bins, as arrays."""
+
+    fold: np.ndarray
+    bins: np.ndarray
+    n: np.ndarray
+    pos: np.ndarray
+    missing: np.ndarray
+
+    @classmethod
+    def of(cls, data: Cells) -> Held:
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fold, n, pos = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c in ("fold", "n", "pos"))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (fold, n, pos, b"".join(batch.column("cell").to_pylist()))], ["fold", "n", "pos", "cell"])
+
+        rows = data.table.mapInArrow(packed, "fold binary, n binary, pos binary, cell binary").toArrow()
+        fold, n, pos = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("fold", "n", "pos"))
+        bins = np.frombuffer(b"".join(rows.column("cell").to_pylist()), np.uint16).reshape(len(fold), len(data.cuts))
+        order = np.lexsort((*bins.T[::-1], fold))
+        return cls(fold[order].astype(np.int32), bins[order], n[order].astype(np.float64), pos[order].astype(np.float64), data.missing)
+
+    def trained(self, s: Setting, until: int, last: int, test_at: tuple[int, ...]) -> tuple[list[Trees], list[tuple[int, int]]]:
+        """The trees of a model, and of each round of test_at the rows of its test fold and those told right."""
+        train, end = np.searchsorted(self.fold, until), np.searchsorted(self.fold, until, "right")
+        blocks = [(lo, min(lo + BLOCK, end), min(max(train - lo, 0), BLOCK)) for lo in range(0, end, BLOCK)]
+        bins, size = np.ascontiguousarray(self.bins[:end]), self.missing.astype(np.int64) + 1
+        columns = [bins[:, j].astype(np.int64) for j in range(len(size))]
+        margins, g, h, node = np.zeros(end), np.zeros(train), np.zeros(train), np.zeros(end, np.int64)
+        place, most = np.arange(BLOCK) * len(size), int(size.max(initial=1))
+        rounds, tested = [], []
+        for number in range(1, last + 1):
+            trees = Trees.of(1, s.depth)
+            inner = len(trees.feature[0])
+            node[:] = 0
+            for level in range(s.depth if number <= s.rounds else 0):
+                width = 2**level
+                if level and (trees.feature[0, (width - 2) // 2 : width - 1] < 0).all():
+                    break
+                sums = [np.zeros((2, width * b)) for b in size]
+                for lo, _, used in blocks:
+                    at = slice(lo, lo + used)
+                    if not used:
+                        break
+                    if not level:
+                        p = 1 / (1 + np.exp(-margins[at]))
+                        g[at], h[at] = self.n[at] * p - self.pos[at], self.n[at] * p * (1 - p)
+                    k, u, v = node[at] - (width - 1), g[at], h[at]
+                    if level and (k < 0).any():
+                        on = np.flatnonzero(k >= 0)
+                        k, u, v = k[on], u[on], v[on]
+                    else:
+                        on = slice(None)
+                    for j, b in enumerate(size):
+                        cell = k * b + columns[j][at][on]
+                        sums[j][0] += np.bincount(cell, u, width * b)
+                        sums[j][1] += np.bincount(cell, v, width * b)
+                for k, r in enumerate(best_splits([x.reshape(2, width, -1).transpose(1, 2, 0) for x in sums], s)):
+                    _assign(trees, 0, level, k, r)
+                feature = np.concatenate([trees.feature[0], np.full(inner + 1, -1, np.int32)]).astype(np.int64)
+                left = np.zeros((len(feature), most), bool)
+                for k in range(width - 1, 2 * width - 1):
+                    if feature[k] >= 0:
+                        left[k] = np.arange(most) <= trees.cut[0, k]
+                        left[k, self.missing[feature[k]]] = trees.missing_left[0, k]
+                for lo, hi, _ in blocks:
+                    k = node[lo:hi]
+                    f = feature[k]
+                    b = bins[lo:hi].reshape(-1)[place[: hi - lo] + np.maximum(f, 0)]
+                    # a node of an earlier level that has split has no rows left, one that hasn't keeps its rows
+                    node[lo:hi] = np.where(f >= 0, 2 * k + 2 - left.reshape(-1)[k * most + b], k)
+            if number <= s.rounds:
+                margins += trees.value[0][node]
+            rounds.append(trees)
+            if number in test_at:
+                n, pos = self.n[train:end], self.pos[train:end]
+                tested.append((int(n.sum()), int(np.where(margins[train:end] > 0, pos, n - pos).sum())))
+        return rounds, tested
+
+
+#: What a task tells of a model: the arrays of its trees, one after the other, and its tests.
+PARTS = {"feature": np.int32, "cut": np.int32, "missing_left": bool, "gain": np.float64, "value": np.float64}
+
+
+def _whole(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, ...]) -> Boosted:
+    """Each model in a task of its own, which holds all cells."""
+    spark, last = data.table.sparkSession, max(s.rounds for s, _ in models)
+    at = tuple(sorted({t for t in test_at if t <= last}))
+    held = spark.sparkContext.broadcast(Held.of(data))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m in batch.column(0).to_pylist():
+                rounds, tested = held.value.trained(*models[m], last, at)
+                trees = [pa.array([b"".join(getattr(t, c).tobytes() for t in rounds)], pa.binary()) for c in PARTS]
+                yield pa.RecordBatch.from_arrays([pa.array([m]), *trees, pa.array([[x for pair in tested for x in pair]], pa.list_(pa.int64()))], ["model", *PARTS, "tested"])
+
+    depth = max(s.depth for s, _ in models)
+    rounds = [Trees.of(len(models), depth) for _ in range(last)]
+    tested = {t: [(0, 0)] * len(models) for t in at}
+    told = spark.range(0, len(models), 1, len(models)).mapInArrow(run, "model long, " + ", ".join(f"{c} binary" for c in PARTS) + ", tested array<long>")
+    for r in told.toArrow().to_pylist():
+        for c, kind in PARTS.items():
+            each = np.frombuffer(r[c], kind).reshape(last, -1)
+            for t, x in zip(rounds, each, strict=True):
+                getattr(t, c)[r["model"], : len(x)] = x
+        for t, pair in zip(at, zip(r["tested"][::2], r["tested"][1::2], strict=True), strict=True):
+            tested[t][r["model"]] = pair
+    held.destroy()
+    return Boosted(models, data.names, rounds, tested)
+
+
 def _boost(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, ...]) -> Boosted:
     spark = data.table.sparkSession
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-data.table.count() * len(models) // (HELD // 4)))
@@ -341,14 +468,7 @@ def _boost(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, .
                 left = -(-left // FAN)
                 parts = parts.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("model", "part").applyInArrow(_added, parts.schema)
             for r in parts.groupBy("model").applyInArrow(_chosen(now, level, active), SPLIT).toArrow().to_pylist():
-                m, node = r["model"], 2**level - 1 + r["node"]
-                if not level:
-                    trees.value[m, 0] = r["value"]
-                elif trees.feature[m, (node - 1) // 2] < 0:
-                    continue
-                if r["feature"] >= 0:
-                    trees.feature[m, node], trees.cut[m, node], trees.missing_left[m, node], trees.gain[m, node] = r["feature"], r["cut"], r["missing_left"], r["gain"]
-                    trees.value[m, 2 * node + 1], trees.value[m, 2 * node + 2] = r["left"], r["right"]
+                _assign(trees, r["model"], level, r["node"], r)
         rounds.append(trees)
         recent.append(trees)
         if number in test_at:
@@ -372,8 +492,11 @@ def boost(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, ..
     row per model and node. Passes are as many as the deepest setting has levels, times the rounds; sizes of sums follow
     models, nodes and bins, not rows. The margin of a row starts at 0 (a probability of one half).
 
-    On disk are the margins of two rounds at most, and the shuffle of one pass.
+    On disk are the margins of two rounds at most, and the shuffle of one pass. Where passes are many and all cells fit in a task
+    (at most WHOLE of them), each model is trained in a task of its own instead, with no pass, margin or shuffle.
     """
+    if max(s.depth for s, _ in models) * max(s.rounds for s, _ in models) > MANY and data.table.limit(WHOLE + 1).count() <= WHOLE:
+        return _whole(data, models, test_at)
     spark = data.table.sparkSession
     data, before = replace(data, home=landing_dir(spark, "margins"), number=0), spark.conf.get(DROP)
     spark.conf.set(DROP, "true")
