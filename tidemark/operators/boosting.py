@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.landing import landing_dir
+from tidemark.sources.landing import dropped_shuffles, landing_dir
 
 #: Numbers (rows times models) that a task holds at once, and partial histograms that one group adds up.
 HELD, FAN = 1 << 19, 64
@@ -20,8 +20,6 @@ TOGETHER = 16
 STORED, FEW = 10, 16
 #: With more passes than MANY and at most WHOLE cells, tasks hold all cells (some 30 bytes each) and train whole models, BLOCK cells at a time.
 MANY, WHOLE, BLOCK = 16, 1 << 21, 1 << 16
-#: Spark's setting to drop a query's shuffle files when it has ended: passes are many, and none reads another's.
-DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The fold of a model that trains on all rows.
 ALL = 1 << 30
 
@@ -497,13 +495,11 @@ def boost(data: Cells, models: list[tuple[Setting, int]], test_at: tuple[int, ..
     """
     if max(s.depth for s, _ in models) * max(s.rounds for s, _ in models) > MANY and data.table.limit(WHOLE + 1).count() <= WHOLE:
         return _whole(data, models, test_at)
-    spark = data.table.sparkSession
-    data, before = replace(data, home=landing_dir(spark, "margins"), number=0), spark.conf.get(DROP)
-    spark.conf.set(DROP, "true")
+    data = replace(data, home=landing_dir(data.table.sparkSession, "margins"), number=0)
     try:
-        return _boost(data, models, test_at)
+        with dropped_shuffles(data.table.sparkSession):
+            return _boost(data, models, test_at)
     finally:
-        spark.conf.set(DROP, before)
         data.remove(data.home)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import boosting, events, graph, indicators, stats
 from tidemark.plans.catalog import CONNECTIONS, G_, RET, TOP, _connections, _soon, query
-from tidemark.sources.landing import landing_dir
+from tidemark.sources.landing import Landed, dropped_shuffles, landing_dir
 
 FEATURES = ["alpha_score", "materiality_pct", "vol_z_score", "election_mult"]
 #: Contract events with a 90-day return: their connection, size, the day's volume against the 14 rows before, the election, and whether they gained.
@@ -17,19 +17,33 @@ panel AS (SELECT ret.id, ret.event_date, ret.ret > 0 AS won, coalesce(top.score,
   FROM ret JOIN announcements a ON a.id = ret.id JOIN companies c ON c.scrip_code = ret.scrip_code LEFT JOIN top ON top.scrip_code = ret.scrip_code LEFT JOIN soon s ON s.party = top.party LEFT JOIN vz ON vz.scrip_code = ret.scrip_code AND vz.trade_date = ret.event_date WHERE days = 90)"""
 
 
-def panel(t) -> DataFrame:
-    """Stored, as training reads it again and again."""
-    contracts = t.announcements.filter("is_contract")
-    ret = events.forward_returns(contracts, t.prices, (30, 60, 90, 180, 360)).filter("days = 90").select("id", "scrip_code", "event_date", (F.col("ret") > 0).alias("won"))
-    top = graph.top_connections(_connections(t)).select("scrip_code", "score", "party").join(F.broadcast(_soon(t).withColumn("boosted", F.lit(1.5))), "party", "left").drop("party")
+class Steps:
+    """Contract events, prices, the events' returns after 90 days and each company's best connection, each stored by itself."""
+
+    def __init__(self, t):
+        self.at = Landed(t.spark, "steps")
+        self.contracts, self.prices = self.at.stored(t.announcements.filter("is_contract")), self.at.stored(t.prices)
+        ret = events.forward_returns(self.contracts, self.prices, (30, 60, 90, 180, 360)).filter("days = 90").drop("days")
+        self.ret, self.top = self.at.stored(ret), self.at.stored(graph.top_connections(_connections(t)).select("scrip_code", "score", "party"))
+
+
+def panel(t, steps: Steps | None = None) -> DataFrame:
+    """Stored, as training reads it again and again. steps: where the caller has them; it removes them."""
+    own = steps or Steps(t)
+    contracts, ret, top = own.contracts, own.ret, own.top
+    ret = ret.select("id", "scrip_code", "event_date", (F.col("ret") > 0).alias("won"))
+    top = top.join(F.broadcast(_soon(t).withColumn("boosted", F.lit(1.5))), "party", "left").drop("party")
     w = indicators.by_day().rowsBetween(-14, -1)
     z = F.when((F.count("volume").over(w) == 14) & (F.stddev_pop("volume").over(w) > 0), F.round((F.col("volume") - F.avg("volume").over(w)) / F.stddev_pop("volume").over(w), 2))
-    spikes = t.prices.select("scrip_code", F.col("trade_date").alias("event_date"), z.alias("vol_z_score"))
+    spikes = own.prices.select("scrip_code", F.col("trade_date").alias("event_date"), z.alias("vol_z_score"))
     rows = ret.join(contracts.select("id", "value"), "id").join(t.companies.select("scrip_code", "market_cap"), "scrip_code").join(top, "scrip_code", "left").join(spikes, ["scrip_code", "event_date"], "left")
     size = F.when(F.col("market_cap") > 0, F.round(F.col("value") / F.col("market_cap") * 100, 1))
     rows = rows.select("id", "event_date", "won", F.coalesce("score", F.lit(0.0)).alias("alpha_score"), size.alias("materiality_pct"), "vol_z_score", F.coalesce("boosted", F.lit(1.0)).alias("election_mult"))
     path = landing_dir(t.spark, "panel")
-    rows.write.parquet(path)
+    with dropped_shuffles(t.spark):
+        rows.write.parquet(path)
+    if not steps:
+        own.at.remove()
     return t.spark.read.schema(rows.schema).parquet(path)
 
 
@@ -94,8 +108,15 @@ def overall_verdict(t):
     """One row: the base rate of companies that aren't watched, the win rate, the model's accuracy over its folds, and what they come to."""
     from tidemark.plans import models, state
 
-    base = state.base_rate_differential(t).select("control", "meaningful")
-    wins = models.win_rate_boosted(t).select("win_rate_pct", F.col("viable").alias("win_viable"))
-    model = gbt_walk_forward(t).agg(F.round(100 * F.avg("accuracy"), 2).alias("accuracy_pct"), (F.avg("accuracy") > 0.55).alias("model_viable"))
+    steps, at = Steps(t), Landed(t.spark, "verdict")
+    base = at.stored(state.base_rate_differential(t, steps.top).select("control", "meaningful"))
+    wins = at.stored(models.win_rate_boosted(t, steps.ret, steps.top).select("win_rate_pct", F.col("viable").alias("win_viable")))
+    with dropped_shuffles(t.spark):
+        told = boosting.walk_forward(stats.folds(panel(t, steps), ["event_date", "id"]), FEATURES, "won").withColumn("accuracy", F.round("accuracy", 6))
+    model = told.agg(F.round(100 * F.avg("accuracy"), 2).alias("accuracy_pct"), (F.avg("accuracy") > 0.55).alias("model_viable"))
     out = base.crossJoin(F.broadcast(wins)).crossJoin(F.broadcast(model))  # a row each
-    return out.select("control", "win_rate_pct", "accuracy_pct", stats.verdict(F.col("meaningful"), F.col("win_viable"), F.col("model_viable")).alias("verdict"))
+    out = out.select("control", "win_rate_pct", "accuracy_pct", stats.verdict(F.col("meaningful"), F.col("win_viable"), F.col("model_viable")).alias("verdict"))
+    out = t.spark.createDataFrame(out.collect(), out.schema)
+    steps.at.remove()
+    at.remove()
+    return out

@@ -62,11 +62,12 @@ def ols_inference(t):
 SELECT count(*) AS signals, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses, count(*) FILTER (won AND boosted) AS boosted_wins, round(100.0 * count(*) FILTER (won) / count(*), 1) AS win_rate_pct, 100.0 * count(*) FILTER (won) / count(*) >= 55 AS viable FROM w""",
     G_,
 )
-def win_rate_boosted(t):
+def win_rate_boosted(t, ret=None, top=None):
+    """ret, top: the returns after 90 days and the best connections, where the caller has them."""
     from tidemark.operators import events
 
-    rows = events.forward_returns(t.announcements.filter("is_contract"), t.prices).filter("days = 90")
-    top = graph.top_connections(_connections(t)).select("scrip_code", "party").join(F.broadcast(_soon(t).withColumn("boosted", F.lit(True))), "party", "left").select("scrip_code", "boosted")
+    rows = ret or events.forward_returns(t.announcements.filter("is_contract"), t.prices).filter("days = 90")
+    top = (top or graph.top_connections(_connections(t))).select("scrip_code", "party").join(F.broadcast(_soon(t).withColumn("boosted", F.lit(True))), "party", "left").select("scrip_code", "boosted")
     rows = rows.join(top, "scrip_code", "left").select((F.col("ret") > 0).alias("won"), F.coalesce("boosted", F.lit(False)).alias("boosted"))
     wins = F.count_if("won")
     rate = 100.0 * wins / F.count("won")

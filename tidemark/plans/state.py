@@ -249,8 +249,9 @@ LINK = f"{CONNECTIONS}{TOP}, x AS (SELECT in_watchlist AS w, coalesce(score >= 0
 
 
 @query(f"WITH {LINK}, r AS (SELECT 100.0 * avg(CASE WHEN l THEN 1.0 ELSE 0 END) FILTER (w) AS a, 100.0 * avg(CASE WHEN l THEN 1.0 ELSE 0 END) FILTER (NOT w) AS b FROM x) SELECT round(a, 4) AS watched, round(b, 4) AS control, round(a - b, 4) AS differential, b < 50 AS meaningful FROM r", ("companies", *CHAIN))
-def base_rate_differential(t):
-    top = graph.top_connections(_connections(t)).select("scrip_code", (F.col("score") >= 0.75).alias("linked"))
+def base_rate_differential(t, top=None):
+    """top: the best connections, where the caller has them."""
+    top = (top or graph.top_connections(_connections(t))).select("scrip_code", (F.col("score") >= 0.75).alias("linked"))
     rows = t.companies.join(top, "scrip_code", "left").select("in_watchlist", F.coalesce("linked", F.lit(False)).cast("double").alias("x"))
     rate = lambda c: 100 * F.avg(F.when(c, F.col("x")))
     r = rows.agg(rate(F.col("in_watchlist")).alias("a"), rate(~F.col("in_watchlist")).alias("b"))
